@@ -180,7 +180,7 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     offsets = offsets.select("b", "cls", "len", "salt", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("b", "cls", "len", "salt").orderBy("k", "piece")) - 1)
     slot = F.shiftleft(F.col("b") * width + 3 * F.col("len") + F.col("cls"), _RANK_BITS) + F.col("off") + F.col("r")
-    ranked = ranked.join(offsets, ["b", "cls", "len", "salt"]).withColumn("slot", slot)
+    ranked = ranked.join(offsets.hint("merge"), ["b", "cls", "len", "salt"]).withColumn("slot", slot)
 
     @F.pandas_udf("array<struct<container:bigint,at:bigint,size:bigint>>")
     def slots(slot: pd.Series) -> pd.Series:

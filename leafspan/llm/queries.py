@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, pii, tokens
+from . import encoding, packing, pii, residue, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id")
+
+
+def p1_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_free_pages(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.damaged_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.damaged_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id", "restored")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +43,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_clean_pages": p1_clean_pages, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
