@@ -35,12 +35,13 @@ MEMO_CHUNKS = 200_000
 PRIOR = 7.0
 #: The same where the page has other nodes damaged by that channel.
 PRIOR_ON_PAGE = 0.5
-#: Mean log score of a character above which a chunk is taken as correct unseen.
-SOUND = -2.6
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word with a character outside ASCII, or one sign outside ASCII.
 _FOREIGN_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*|[^\x00-\x7f\w]")
+_NO_SIGNS = str.maketrans("", "", COMMON_SIGNS)
+#: A sign within a word, where only apostrophes belong.
+_SIGN_IN_WORD = re.compile(r"[^\W\d_][" + COMMON_SIGNS.replace("’", "").replace("º", "").replace("ª", "") + r"][^\W\d_]")
 _C1 = re.compile("[\x80-\x9f]")
 _CHUNK = re.compile(r"[^ \t\r\n\x0b\x0c]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
@@ -148,7 +149,8 @@ class Repairer:
         for k, v in self.skeleton.items():
             v.sort(key=lambda x: (-x[1] * math.exp(0.2 * self.model.score(x[0])), x[0]))
             self.skeleton[k] = v[:8]
-        self.bases: dict[str, tuple[float, bool]] = {}
+        self.bases: dict[str, tuple[float, float]] = {}
+        self.ones: dict[tuple[str, int], float | None] = {}
         self.memo: dict[str, dict[int, tuple[float, str]]] = {}
         self.by_text: dict[str, tuple[str, str] | None] = {}
 
@@ -167,12 +169,18 @@ class Repairer:
             return s
         return 0.6 * s + self.model.score(chunk)
 
-    def _base(self, chunk: str) -> tuple[float, bool]:
-        """(score, whether the chunk looks like correct text)."""
+    def _base(self, chunk: str) -> tuple[float, float]:
+        """(score, doubt): 0 if the surroundings of each character outside ASCII occur
+        in correct text, else minus the mean score of a character."""
         got = self.bases.get(chunk)
         if got is None:
-            m = self.model.score(chunk)
-            got = (self.score(chunk), len(chunk) > 1 and m > SOUND * (len(chunk) + 1))
+            core = chunk.translate(_NO_SIGNS)
+            if core.isascii() and not _SIGN_IN_WORD.search(chunk):
+                got = (self.score(chunk), 0.0)
+            else:
+                s, tri = "  " + chunk + " ", self.model.tri
+                ok = all(s[i - 2 : i + 1] in tri for i in range(2, len(s)) if not s[i - 2 : i + 1].isascii())
+                got = (self.score(chunk), 0.0 if ok else -self.model.score(chunk) / len(chunk))
             if len(self.bases) < MEMO_CHUNKS:
                 self.bases[chunk] = got
         return got
@@ -204,21 +212,37 @@ class Repairer:
     def gains(self, text: str) -> dict[int, float]:
         """For each channel that explains the whole text, its gain in nats over the
         text as it stands. Empty at once if every chunk looks correct."""
-        chunks = [c for c in _CHUNK.findall(text) if not c.isascii()]
-        bases = [self._base(c) for c in chunks]
-        if all(ok for _, ok in bases):
+        if text.translate(_NO_SIGNS).isascii() and not _SIGN_IN_WORD.search(text):
             return {}
-        total: dict[int, float] = {}
-        for n, (c, (base, _)) in enumerate(zip(chunks, bases, strict=True)):
-            fixes = self._chunk(c)
-            if n == 0:
-                total = {i: s - base - self.COST[i] for i, (s, _) in fixes.items()}
-            else:
-                total = {i: g + fixes[i][0] - base for i, g in total.items() if i in fixes}
+        counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
+        bases = {c: self._base(c) for c in counts}
+        doubt, worst = max((d, c) for c, (_, d) in bases.items())
+        if doubt <= 0:
+            return {}
+        # the most doubtful chunk says which channels come into question
+        base = bases[worst][0]
+        n = counts.pop(worst)
+        total = {i: n * (s - base) - self.COST[i] for i, (s, _) in self._chunk(worst).items() if s - base > 0.5}
+        for c, n in counts.items():
             if not total:
                 break
+            base, step = bases[c][0], {}
+            for i, g in total.items():
+                f = self._one(c, i)
+                if f is not None:
+                    step[i] = g + n * (f - base)
+            total = step
         return total
 
+    def _one(self, chunk: str, channel: int) -> float | None:
+        key = (chunk, channel)
+        if key not in self.ones:
+            fixed = undo(chunk, *self.CHANNELS[channel])
+            if len(self.ones) > 4 * MEMO_CHUNKS:
+                self.ones.clear()
+            self.ones[key] = None if fixed is None else self.score(fixed)
+        return self.ones[key]
+
     def best_channel(self, text: str) -> tuple[int, float]:
         """(channel, gain); -1 if none applies."""
         total = self.gains(text)

@@ -123,9 +123,8 @@ _ERROR = re.compile(
     r"\s*(?:[45]\d\d\s?[–:-]\s?)?" + _INTERJECTION + r"?(?:" + _SAYS + r"|" + _FIXED + r")" + _CODE + r"\s*[.!…]*(?:\s*" + _TRAILER + r"\s*[.!]*){0,3}\s*",
     re.I | re.S,
 )
-_ERROR_CUE = re.compile(
-    r"\d{3}|not|n’|n'|error|erro|fehler|fout|refus|denied|deni|negad|negat|forbid|gateway|wrong|repair|expired|answer|everywhere|broken|removed|moved|longer|unavail|time|problem|requests|oops|ups|oups|hoppla|nicht|verweigert|gewartet|introuvable|indisponible|maintenance|survenue|error|manten|manut|no |não|non |nie |odmow|bł|не|запрещ|ошиб", re.I
-)
+_CODE_ONLY = re.compile(r"\s*[45]\d\d\s*")
+_FILLER_CUE = re.compile(r"placeholder|sample|dummy|filler|text text|test |example|demo|mock|blindtext|platzhalter|remplissage|fictif|segnaposto|prova|fittizio|ejemplo|relleno|exemplo|prueba|simulado|provis|przyk|текст", re.I)
 _BARE = re.compile(r"\s*(?:\d{3}|\w+)[!.]?\s*")
 _REQUEST_ID = re.compile(r"\s*(?:request|incident|error|trace|reference|ray|event)[ -]?id\b.{0,60}", re.I)
 
@@ -143,14 +142,38 @@ _SCRIPT_WORD = re.compile(_SCRIPT, re.I)
 _PROSE = re.compile(r"\b(?:course|courses|lesson|book|lecture|class|workshop|teaches|taught|learn(?:s|ed)?|kurs|cours|curso|corso|fills|fridays|yesterday|century|play|theatre|museum)\b", re.I)
 
 
-def _word_share(text: str, words: frozenset) -> float:
-    w = re.findall(r"[^\W\d_]+", text.lower())
-    return sum(x in words for x in w) / len(w) if len(w) >= 4 else 0.0
+# One look at the words of a text decides whether a pattern can match at all: every
+# alternative of the patterns above holds one of these.
+_BREAK = re.compile(r"[^\W\d_]+")
+_CUES = LATIN_FILLER | NONSENSE | frozenset("""
+content demo mock example copy paragraph layout publish live blindtext platzhaltertext texte testo texto tekst текст
+here point characters own about ici aquí aqui qui hier tu tutaj сюда здесь replace einfügen eingeben ergänzen
+ajoutez añada adicione aggiungi dodaj добавьте
+add enter insert paste type write put fill describe provide edit change upload ajouter insérez insérer saisir saisissez écrire écrivez escriba introduzca
+introduce inserte añadir agregue insira introduza escreva acrescente inserisci inserire scrivi scrivere wpisz wprowadź wstaw вставьте введите напишите
+todo tbd fixme xxx compléter faire pendiente fazer fare zrobienia сделать erledigen
+found refused answer respond broken repaired problem exist moved removed deleted invalid expired nowhere timed maintenance unavailable offline available
+displayed shown opened reached loaded established longer down
+gefunden existiert verfügbar erreichbar vorhanden antwortet gewartet meldet entfernt verschoben gelöscht angezeigt abgelaufen
+introuvable existe disponible répond indisponible signale trouvé trouvée supprimé supprimée déplacé déplacée expiré
+responde encontrado encontró mostrar mantenimiento informa eliminado eliminada caducado encontrado encontrada manutenção comunica reporta relata indica
+removido removida movido movida expirou disponível esiste risponde trovato trovata manutenzione segnala scaduto scaduta rimosso rimossa spostato spostata
+istnieje odpowiada znaleziona znaleziony dostępna dostępny konserwacji naprawiana naprawiany zgłasza wygasła
+существует отвечает найден найдена найдено недоступен недоступна сообщает обслуживании
+error fehler erreur errore erro błąd ошибка oops ups oups hoppla trouvée gefunden encontrada trovata znaleziono найдена denied forbidden verweigert refusé
+denegado negado negato odmowa запрещён запрещен permission gateway service temporarily momentanément momento temporariamente momentaneamente chwilowo временно
+wrong occurred aufgetreten survenue producido ocorreu verificato wystąpił произошла everywhere requests fatal warning notice parse request incident trace reference ray event
+javascript java script scripts scripting active blocker skript skripte skripts skrypt skrypty skryptów скрипт скрипты скрипта
+""".split())
+
+
+def _word_share(words: list[str], known: frozenset) -> float:
+    return sum(x in known for x in words) / len(words) if len(words) >= 4 else 0.0
 
 
 def is_error(text: str) -> bool:
     """Whether a text consists of an error message."""
-    return len(text) < 300 and bool(_ERROR_CUE.search(text)) and bool(_ERROR.fullmatch(text))
+    return len(text) < 300 and bool(_ERROR.fullmatch(text))
 
 
 def is_notice(text: str) -> bool:
@@ -164,10 +187,19 @@ def kind_of(text: str) -> str | None:
         return None
     if _QUICK.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
+    words = text.lower().split()
+    odd = [w for w in words if not w.isalpha()]
+    if odd:
+        words = [w for w in words if w.isalpha()] + _BREAK.findall(" ".join(odd))
+    if _CUES.isdisjoint(words):
+        return "error" if _CODE_ONLY.fullmatch(text) else None
+    words = _BREAK.findall(text.lower())
     s = text.strip()
     if len(s) < 140 and (_INSTRUCTION.fullmatch(s) or _TODO.fullmatch(s)):
         return "instruction"
-    if _word_share(s, LATIN_FILLER) > 0.8 or _word_share(s, NONSENSE) > 0.8 or _FILLER.fullmatch(s):
+    if _word_share(words[:8], LATIN_FILLER | NONSENSE) > 0.6 and (_word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8):
+        return "filler"
+    if _FILLER_CUE.search(s) and _FILLER.fullmatch(s):
         return "filler"
     if is_error(s):
         return "error"
@@ -192,21 +224,24 @@ class Finder:
         return k
 
     def texts(self, page: Page) -> dict[int, str]:
-        """Text nodes outside script and style, with damaged encodings undone."""
-        at = [i for i, n in enumerate(page.names) if n is None and page.data[i] and not page.raw(i)]
-        texts = [page.data[i] for i in at]
-        odd = [k for k, t in enumerate(texts) if not t.isascii()]
-        if odd:
-            for k, r in zip(odd, self.fixer.repair_all([texts[k] for k in odd]), strict=True):
-                if r:
-                    texts[k] = r[0]
-        return dict(zip(at, texts, strict=True))
+        """Text nodes outside script and style."""
+        return {i: page.data[i] for i, n in enumerate(page.names) if n is None and page.data[i] and not page.raw(i)}
+
+    def _repaired(self, page: Page, texts: dict[int, str]) -> dict[int, str]:
+        """Short texts in damaged encodings, undone: messages are short, and
+        placeholders are ASCII, which damage leaves alone."""
+        odd = [i for i, t in texts.items() if len(t) < 220 and not t.isascii() and self.memo.get(t) is None]
+        fixed = self.fixer.repair_all([texts[i] for i in odd]) if odd else []
+        return {i: r[0] for i, r in zip(odd, fixed, strict=True) if r}
 
     def find(self, page: Page, texts: dict[int, str] | None = None) -> dict[int, str]:
         """Position -> kind."""
         texts = self.texts(page) if texts is None else texts
         out: dict[int, str] = {}
         heads = []
+        fixed = self._repaired(page, texts)
+        if fixed:
+            texts = texts | fixed
         for i, t in texts.items():
             if page.in_code[i]:
                 continue
