@@ -93,9 +93,9 @@ def page_chunks(nodes: DataFrame, pages: DataFrame | None = None, attributes: bo
     page's url arrives in rows of its own (the first in order, if urls differ)."""
     attrs = F.when(F.col("local_name").isNotNull(), F.concat_ws(SEP, F.transform("attrs", lambda a: F.concat(a["name"], F.lit("="), F.coalesce(a["value"], F.lit(""))))))
     rows = nodes.where("kind in ('element', 'text') and page_id is not null and node_id is not null").select(
-        "page_id", F.col("node_id").cast("int"), F.coalesce(F.col("parent_id").cast("int"), F.lit(-1)),
-        F.when(F.col("kind") == "element", F.coalesce(F.col("local_name"), F.lit(""))),
-        F.coalesce("content", attrs if attributes else F.lit(None).cast("string")), "endpoint_id",
+        "page_id", F.col("node_id").cast("int"), F.coalesce(F.col("parent_id").cast("int"), F.lit(-1)).alias("parent"),
+        F.when(F.col("kind") == "element", F.coalesce(F.col("local_name"), F.lit(""))).alias("name"),
+        F.coalesce("content", attrs if attributes else F.lit(None).cast("string")).alias("data"), "endpoint_id",
     )
     chunks = rows.mapInArrow(_chunk, "page_id bigint, blob binary, endpoint string").withColumn("url", F.lit(None).cast("string"))
     if pages is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding, packing, pii, residue, tokens
+from . import boilerplate, encoding, language, markup, packing, pii, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,22 @@ def p1_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_free_pages(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.boilerplate_nodes(*(table(spark, sf_dir, t) for t in ("nodes", "pages", "lang_samples")))
+
+
+def p2_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_bodies(*(table(spark, sf_dir, t) for t in ("nodes", "pages", "lang_samples")))
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_labels(*(table(spark, sf_dir, t) for t in ("nodes", "pages", "lang_samples")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_labels(spark, sf_dir).where("kind in ('page', 'text')").select("page_id", "node_id", "lang")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id")
 
@@ -26,6 +42,18 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id", "restored")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id", "markup")
+
+
+def p5_clean_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples"))
+
+
+def p5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_documents(table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +71,11 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean_pages": p1_clean_pages, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    found = (
+        p1_found, p1_clean_pages, p2_found, p2_main_body, p3_found, p3_labels, p4_found, p4_restored,
+        p5_found, p5_clean_nodes, p5_clean_documents, p6_ids, p7_pack, p8_found, p8_redacted,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
