@@ -362,26 +362,23 @@ def foreign_word_counts(nodes: DataFrame, content: str = "content") -> DataFrame
     nodes, over all rows. Counted per partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        texts: Counter = Counter()
-
-        def fold():
-            for t, n in texts.items():
-                for w in _FOREIGN_WORD.findall(t):
-                    counts[w] += n
-            texts.clear()
+        chunks: Counter = Counter()
 
         def out():
-            w = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return w
+            counts: Counter = Counter()
+            for c, n in chunks.items():
+                for w in _FOREIGN_WORD.findall(c):
+                    counts[w] += n
+            chunks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            texts.update(t for t in batch.column(0).to_pylist() if not t.isascii())
-            fold()
-            if len(counts) > 500_000:
+            for t in batch.column(0).to_pylist():
+                if not t.isascii():
+                    chunks.update([c for c in t.split() if not c.isascii()])
+            if len(chunks) > 500_000:
                 yield out()
-        if counts:
+        if chunks:
             yield out()
 
     rows = nodes.where("kind = 'text' and content is not null").select(content)
