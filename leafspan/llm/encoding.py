@@ -39,7 +39,7 @@ PRIOR_ON_PAGE = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word with a character outside ASCII, or one sign outside ASCII.
 _FOREIGN_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*|[^\x00-\x7f\w]")
-_NO_SIGNS = str.maketrans("", "", COMMON_SIGNS)
+_ODD = re.compile(r"[^\x00-\x7f" + COMMON_SIGNS + "]")
 #: A sign within a word, where only apostrophes belong.
 _SIGN_IN_WORD = re.compile(r"[^\W\d_][" + COMMON_SIGNS.replace("’", "").replace("º", "").replace("ª", "") + r"][^\W\d_]")
 _C1 = re.compile("[\x80-\x9f]")
@@ -174,8 +174,7 @@ class Repairer:
         in correct text, else minus the mean score of a character."""
         got = self.bases.get(chunk)
         if got is None:
-            core = chunk.translate(_NO_SIGNS)
-            if core.isascii() and not _SIGN_IN_WORD.search(chunk):
+            if not _ODD.search(chunk) and not _SIGN_IN_WORD.search(chunk):
                 got = (self.score(chunk), 0.0)
             else:
                 s, tri = "  " + chunk + " ", self.model.tri
@@ -212,7 +211,7 @@ class Repairer:
     def gains(self, text: str) -> dict[int, float]:
         """For each channel that explains the whole text, its gain in nats over the
         text as it stands. Empty at once if every chunk looks correct."""
-        if text.translate(_NO_SIGNS).isascii() and not _SIGN_IN_WORD.search(text):
+        if not _ODD.search(text) and not _SIGN_IN_WORD.search(text):
             return {}
         counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
         bases = {c: self._base(c) for c in counts}
@@ -381,7 +380,7 @@ def foreign_word_counts(nodes: DataFrame, content: str = "content") -> DataFrame
         if chunks:
             yield out()
 
-    rows = nodes.where("kind = 'text' and content is not null").select(content)
+    rows = nodes.where("kind = 'text' and octet_length(content) <> char_length(content)").select(content)
     return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -414,4 +413,6 @@ def damaged_nodes(nodes: DataFrame, lang_samples: DataFrame) -> DataFrame:
 
     spark = nodes.sparkSession
     model = spark.sparkContext.broadcast((sample_texts(lang_samples), vocabulary(nodes)))
-    return map_pages(page_chunks(nodes, attributes=False), lambda pages: _rows(pages, *model.value), "page_id bigint, node_id int, restored string, channel string")
+    # text outside ASCII, and the elements whose text doesn't count
+    needed = nodes.where("(kind = 'text' and octet_length(content) <> char_length(content)) or local_name in ('script', 'style')")
+    return map_pages(page_chunks(needed, attributes=False), lambda pages: _rows(pages, *model.value), "page_id bigint, node_id int, restored string, channel string")
