@@ -1,11 +1,506 @@
-"""The queries of the engine's own operators."""
+"""The queries of the engine's own operators, each with SQL that gives the same rows.
+
+The node table of the data is the standard tree of the pages, so parsing is checked
+against it; operators on nodes run over that table or over freshly parsed pages."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.options import ParseOptions, first_tag
+from ..operators import filters, helpers, predicates as P, query as Q, text as T
+from ..operators.serialize import serialize
+from ..session import scratch_dir, table
+from ..sources import charset, html as H
+from ..sources.files import cache_name
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pages; exact duplicate rows are parsed once."""
+    return table(spark, d, "pages").distinct()
+
+
+def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct nodes, of the columns wanted."""
+    return table(spark, d, "nodes").select("page_id", "node_id", *columns).dropDuplicates(["page_id", "node_id"])
+
+
+_N = "n as (select distinct page_id, node_id, parent_id, sub_end, depth, child_no, kind, local_name, attrs, content from nodes)"
+_ATTR = "list_filter(attrs, lambda x: x.name = '{0}')[1].value"
+_TOKS = "list_filter(regexp_split_to_array(coalesce(" + _ATTR.format("class") + ", ''), '[\\t\\n\\r\\f ]'), lambda x: x <> '')"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Parse, then the chain ``nav li a`` and the text of its matches, in one pass per page."""
+    pages = H.parse_nested(_pages(spark, d))
+    hits = Q.query_all_nested(pages.withColumn("all", F.col("nodes")), P.tag("nav"), P.tag("li"), P.tag("a"))
+    return hits.select("page_id", "all", F.explode("nodes").alias("x")).select(
+        "page_id", F.col("x.node_id").alias("node_id"),
+        F.array_join(F.transform(F.filter("all", lambda n: (n["kind"] == "text") & (n["node_id"] > F.col("x.node_id")) & (n["node_id"] <= F.col("x.sub_end"))), lambda n: n["content"]), "").alias("text"),
+    )
+
+
+# ------------------------------------------------------------------ parsing
+_LINE = "coalesce(array_to_string(list_transform(attrs, lambda x: x.name || '=' || x.value), '|'), '')"
+
+
+@_query(f"select distinct page_id, node_id, parent_id, sub_end, depth, child_no, kind, local_name, {_LINE} as attr_line, content from nodes")
+def q_nodes(spark, d):
+    nodes = H.parse(_pages(spark, d), columns=["node_id", "parent_id", "sub_end", "depth", "child_no", "kind", "local_name", "attrs", "content"])
+    line = F.coalesce(F.array_join(F.transform("attrs", lambda a: F.concat(a["name"], F.lit("="), a["value"])), "|"), F.lit(""))
+    return nodes.withColumn("attr_line", line).drop("attrs")
+
+
+@_query(f"with {_N} select page_id, count(*) as n_nodes, count(*) filter (kind = 'element') as n_elements, max(depth) as max_depth from n group by page_id")
+def q_nested_counts(spark, d):
+    pages = H.parse_nested(_pages(spark, d)).where("nodes is not null")
+    return pages.select(
+        "page_id", F.size("nodes").cast("bigint").alias("n_nodes"), F.size(F.filter("nodes", lambda x: x["kind"] == "element")).cast("bigint").alias("n_elements"),
+        F.array_max(F.transform("nodes", lambda x: x["depth"])).alias("max_depth"),
+    )
+
+
+@_query(f"with {_N} select page_id, local_name, count(*) as n from n where kind = 'element' group by 1, 2")
+def q_tag_counts(spark, d):
+    return H.parse(_pages(spark, d), columns=["kind", "local_name"]).where("kind = 'element'").groupBy("page_id", "local_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""with {_N}, b as (select page_id, node_id, sub_end from n where kind = 'element' and local_name = 'body' and depth = 2)
+select n.page_id, count(*) as n_elements from n join b on n.page_id = b.page_id and n.node_id >= b.node_id and n.node_id <= b.sub_end and n.kind = 'element' group by 1""")
+def q_body_subtree(spark, d):
+    nodes = Q.query_all(_nodes(spark, d, "sub_end", "kind", "local_name"), start=P.tag("body"))
+    return nodes.where("kind = 'element'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_elements"))
+
+
+@_query()
+def q_parse_body_id_only(spark, d):
+    """The benchmark's parse: only ``body``, no comments and scripts, only ids."""
+    o = ParseOptions(skip_comments=True, skip_script_text=True, skip_raw_text=True, skip_rcdata_text=True, skip_cdata=True, skip_plaintext=True, keep_attrs={"id"})
+    return H.parse(_pages(spark, d), options=o, token_filter=first_tag("body"), columns=["node_id", "parent_id", "kind", "local_name", "attrs"])
+
+
+@_query()
+def q_tokens(spark, d):
+    return H.tokenize(_pages(spark, d)).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ tokens, lexical
+_LEX = r"""
+p as (select distinct page_id, html from pages where html is not null),
+t0 as (select page_id, regexp_extract_all(regexp_replace(html, '(<script[^>]*>).*?(</script>)', '\1\2', 'gis'), '(?is)<!--.*?-->|<[/!a-z][^>]*>|[^<]+|<') as a from p),
+t1 as (select page_id, unnest(a) as tok, generate_subscripts(a, 1) - 1 as tok_no from t0),
+tok as (select *, case when regexp_matches(tok, '(?i)^<[a-z]') then 'start' when regexp_matches(tok, '(?i)^</[a-z]') then 'end' when regexp_matches(tok, '^<!--') then 'comment'
+  when regexp_matches(tok, '(?i)^<!doctype') then 'doctype' when regexp_matches(tok, '^<!') then 'comment' else 'text' end as type,
+  lower(regexp_extract(tok, '(?i)^</?([a-z][a-z0-9]*)', 1)) as name, regexp_matches(tok, '(?s)^<[a-zA-Z].*/>$') as self_closing from t1)
+"""
+
+
+@_query(f"with {_LEX} select page_id, type, count(*) as n from tok group by 1, 2")
+def q_token_count(spark, d):
+    return H.lexical_tokens(_pages(spark, d)).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _filter_sql(cond: str, void_aware: bool = False) -> str:
+    skip = " and name not in ('area','base','basefont','bgsound','br','col','embed','frame','hr','img','input','keygen','link','meta','param','source','track','wbr')" if void_aware else ""
+    return f"""with {_LEX},
+a as (select *, bool_or(type = 'start' and ({cond})) over w as started from tok window w as (partition by page_id order by tok_no rows between unbounded preceding and current row)),
+b as (select *, sum(case when not started then 0 when type = 'start' and not self_closing{skip} then 1 when type = 'end' then -1 else 0 end) over (partition by page_id order by tok_no rows between unbounded preceding and current row) as depth from a),
+c as (select *, bool_or(started and depth <= 0) over (partition by page_id order by tok_no rows between unbounded preceding and current row) as stopped from b)
+select page_id, count(*) as n, max(tok_no) as last_tok from c where started and not stopped group by 1"""
+
+
+def _kept(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("tok_no").cast("bigint").alias("last_tok"))
+
+
+@_query(_filter_sql("name = 'nav'"))
+def q_first_tag_nav(spark, d):
+    return _kept(filters.first_tag_and_children(H.lexical_tokens(_pages(spark, d)), "nav"))
+
+
+@_query(_filter_sql("name = 'head'"))
+def q_first_tag_head_lexical(spark, d):
+    return _kept(filters.first_tag_and_children(H.lexical_tokens(_pages(spark, d)), "head"))
+
+
+@_query(_filter_sql("name = 'article'", True))
+def q_first_tag_article_void_aware(spark, d):
+    return _kept(filters.first_tag_and_children(H.lexical_tokens(_pages(spark, d)), "article", void_aware=True))
+
+
+@_query(_filter_sql("name = 'div' and regexp_matches(tok, ' id=\"topbar\"')"))
+def q_only_element_with_id(spark, d):
+    """Lexical twin of the filter by id, comparable in SQL."""
+    return _kept(filters.token_filter(H.lexical_tokens(_pages(spark, d)), (F.col("name") == "div") & F.col("tok").rlike(' id="topbar"')))
+
+
+@_query()
+def q_only_element_with_id_exact(spark, d):
+    return _kept(filters.only_element_with_id(H.tokenize(_pages(spark, d)), "div", "topbar"))
+
+
+@_query(_filter_sql("regexp_matches(tok, 'role=\"navigation\"')"))
+def q_token_filter_delegate(spark, d):
+    return _kept(filters.token_filter(H.lexical_tokens(_pages(spark, d)), F.col("tok").rlike('role="navigation"')))
+
+
+# ------------------------------------------------------------------ scans and projections
+@_query(f"with {_N} select page_id, node_id, unnest(attrs).name as name, unnest(attrs).value as value, generate_subscripts(attrs, 1) - 1 as attr_no from n where kind = 'element'")
+def q_attributes(spark, d):
+    return Q.attributes(_nodes(spark, d, "kind", "attrs").where("kind = 'element'")).withColumn("attr_no", F.col("attr_no").cast("bigint"))
+
+
+@_query(f"with {_N} select page_id, {_ATTR.format('lang')} as lang from n where local_name = 'html' and kind = 'element'")
+def q_attr_lang(spark, d):
+    return _nodes(spark, d, "kind", "local_name", "attrs").where(P.tag("html").on_row()).select("page_id", filters.attribute("lang").alias("lang"))
+
+
+@_query(f"with {_N} select page_id, node_id, {_ATTR.format('charset')} as charset from n where local_name = 'meta' and list_contains(list_transform(attrs, lambda x: x.name), 'charset')")
+def q_attr_charset(spark, d):
+    n = _nodes(spark, d, "kind", "local_name", "attrs").where((P.tag("meta") & P.with_attr("charset")).on_row())
+    return n.select("page_id", "node_id", filters.attribute("charset").alias("charset"))
+
+
+@_query(f"with {_N} select page_id, node_id, coalesce({_ATTR.format('href')}, '') as href, len(attrs) > 0 and list_contains(list_transform(attrs, lambda x: x.name), 'class') as has_class from n where kind = 'element' and local_name = 'a'")
+def q_links_href(spark, d):
+    n = _nodes(spark, d, "kind", "local_name", "attrs").where(P.tag("a").on_row())
+    return n.select("page_id", "node_id", P.get_attribute("href").alias("href"), P.has_attribute("class").alias("has_class"))
+
+
+@_query(f"with {_N} select page_id, parent_id, count(*) as n_children from n where parent_id is not null group by 1, 2")
+def q_child_counts(spark, d):
+    return Q.child_counts(_nodes(spark, d, "parent_id"))
+
+
+@_query(f"with {_N} select c.page_id, c.node_id, c.kind from n c join n u on c.page_id = u.page_id and c.parent_id = u.node_id where u.local_name = 'ul' and u.kind = 'element' and c.child_no = 1")
+def q_second_child(spark, d):
+    n = _nodes(spark, d, "parent_id", "child_no", "kind", "local_name")
+    return Q.children(n, n.where(P.tag("ul").on_row()), 1).select("page_id", "node_id", "kind")
+
+
+@_query(f"with {_N} select distinct u.page_id, u.node_id, u.local_name from n c join n u on c.page_id = u.page_id and c.parent_id = u.node_id where c.kind = 'text'")
+def q_parents_of_text(spark, d):
+    n = _nodes(spark, d, "parent_id", "kind", "local_name")
+    return Q.parents(n, n.where("kind = 'text'")).select("page_id", "node_id", "local_name")
+
+
+@_query(f"with {_N} select page_id, node_id, local_name, sub_end from n where kind = 'element' and local_name in ('head', 'body') and depth = 2")
+def q_head_body(spark, d):
+    n = _nodes(spark, d, "depth", "kind", "local_name", "sub_end")
+    return Q.accessor(n, "head").unionByName(Q.accessor(n, "body")).select("page_id", "node_id", "local_name", "sub_end")
+
+
+@_query(f"with {_N} select a.page_id, a.node_id as under, count(*) as n_below, count(*) filter (d.kind = 'text') as n_texts from n a join n d on d.page_id = a.page_id and d.node_id > a.node_id and d.node_id <= a.sub_end where a.local_name = 'ul' and a.kind = 'element' group by 1, 2")
+def q_descendants(spark, d):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name")
+    below = Q.descendants(n, n.where(P.tag("ul").on_row()))
+    return below.groupBy("page_id", "under").agg(F.count(F.lit(1)).alias("n_below"), F.count(F.when(F.col("kind") == "text", 1)).alias("n_texts"))
+
+
+# ------------------------------------------------------------------ predicates
+@_query(f"""with {_N}, e as (select page_id, {_ATTR.format('class')} as cls, {_TOKS} as toks, local_name from n where kind = 'element'),
+i as (select distinct page_id, class_name from class_inputs where class_name is not null)
+select i.page_id, i.class_name, count(e.page_id) as n from i left join e on e.page_id = i.page_id and (e.cls = i.class_name or list_contains(e.toks, i.class_name)) group by 1, 2""")
+def q_class_inputs(spark, d):
+    """How many elements of its page each class input matches, by class tokens and whole
+    values; an equi-join on (page, class) over the exploded tokens."""
+    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'").select("page_id", "node_id", filters.attribute("class").alias("cls")).where("cls is not null")
+    values = F.array_distinct(F.array_append(helpers.split_set("cls", "\t\n\r\f "), F.col("cls")))
+    hits = n.select("page_id", "node_id", F.explode(values).alias("class_name"))
+    counts = hits.groupBy("page_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
+    inputs = table(spark, d, "class_inputs").where("class_name is not null").select("page_id", "class_name").distinct()
+    return inputs.join(counts, ["page_id", "class_name"], "left").select("page_id", "class_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_PREDICATES = {
+    "id_topbar": (P.with_id("topbar"), f"{_ATTR.format('id')} = 'topbar'"),
+    "class_menu": (P.with_class("menu"), f"({_ATTR.format('class')} = 'menu' or list_contains({_TOKS}, 'menu'))"),
+    "class_whole": (P.with_class("menu main-menu"), f"{_ATTR.format('class')} = 'menu main-menu'"),
+    "classes": (P.with_classes("main-menu", "menu"), f"(list_contains({_TOKS}, 'main-menu') and list_contains({_TOKS}, 'menu'))"),
+    "classes_same": (P.with_classes("menu", "menu"), "false"),
+    "attr": (P.with_attr("role"), "list_contains(list_transform(attrs, lambda x: x.name), 'role')"),
+    "attr_value": (P.with_attr("role", "main"), f"{_ATTR.format('role')} = 'main'"),
+    "tag_id": (P.tag_id("div", "topbar"), f"local_name = 'div' and {_ATTR.format('id')} = 'topbar'"),
+    "tag_class": (P.tag_class("section", "related"), f"local_name = 'section' and list_contains({_TOKS}, 'related')"),
+    "tag_classes": (P.tag_classes("div", "menu", "main-menu"), f"local_name = 'div' and list_contains({_TOKS}, 'menu') and list_contains({_TOKS}, 'main-menu')"),
+    "lambda": (P.where(lambda f: (f("depth") > 4) & (f("child_no") == 0)) & ~P.tag("a"), "depth > 4 and child_no = 0 and local_name <> 'a'"),
+}
+
+
+@_query(f"with {_N} " + " union all ".join(f"select '{k}' as predicate, page_id, node_id from n where kind = 'element' and coalesce({sql}, false)" for k, (_, sql) in _PREDICATES.items()))
+def q_predicates(spark, d):
+    """All predicates in one scan."""
+    n = _nodes(spark, d, "kind", "local_name", "attrs", "depth", "child_no").where("kind = 'element'")
+    hits = F.array_compact(F.array(*[F.when(p.on_row(), F.lit(k)) for k, (p, _) in _PREDICATES.items()]))
+    return n.select("page_id", "node_id", F.explode(hits).alias("predicate"))
+
+
+@_query(f"with {_N}, s as (select page_id, node_id, list_sort(list_transform(attrs, lambda x: x.name || chr(1) || x.value)) as a from n where kind = 'element' and len(attrs) > 0) select x.page_id, x.node_id, y.node_id as twin from s x join s y on x.page_id = y.page_id and y.node_id = x.node_id + 1 and x.a = y.a")
+def q_same_attributes(spark, d):
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'")
+    n = n.withColumn("twin", F.lead("node_id").over(w)).withColumn("theirs", F.lead("attrs").over(w))
+    return n.where((F.col("twin") == F.col("node_id") + 1) & (F.size("attrs") > 0) & P.same_attributes(F.col("attrs"), F.col("theirs"))).select("page_id", "node_id", "twin")
+
+
+# ------------------------------------------------------------------ chains
+def _chain_sql(*conds: str) -> str:
+    steps = [f"m0 as (select page_id, node_id, sub_end from n where {conds[0]})"]
+    for i, c in enumerate(conds[1:], 1):
+        steps.append(f"m{i} as (select page_id, node_id, sub_end from n where ({c}) and exists (select 1 from m{i - 1} a where a.page_id = n.page_id and n.node_id > a.node_id and n.node_id <= a.sub_end))")
+    return f"with {_N}, {', '.join(steps)} select page_id, node_id from m{len(conds) - 1}"
+
+
+def _is(tag: str) -> str:
+    return f"kind = 'element' and local_name = '{tag}'"
+
+
+@_query(_chain_sql(_is("nav"), _is("li"), _is("a")))
+def q_chain_nav_li_a(spark, d):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    return Q.query_all(n, P.tag("nav"), P.tag("li"), P.tag("a")).select("page_id", "node_id")
+
+
+@_query(_chain_sql(_is("nav"), _is("li"), _is("a")))
+def q_chain_nested(spark, d):
+    pages = Q.query_all_nested(H.parse_nested(_pages(spark, d)), P.tag("nav"), P.tag("li"), P.tag("a"))
+    return pages.select("page_id", F.explode("nodes").alias("x")).select("page_id", F.col("x.node_id").alias("node_id"))
+
+
+@_query(_chain_sql(_is("div"), _is("div"), _is("a")))
+def q_chain_div_div_a(spark, d):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    return Q.query_all(n, P.tag("div"), P.tag("div"), P.tag("a")).select("page_id", "node_id")
+
+
+@_query(_chain_sql(f"{_is('section')} and list_contains({_TOKS}, 'related')", _is("ul"), _is("a")))
+def q_chain_class(spark, d):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    return Q.query_all(n, P.tag_class("section", "related"), P.tag("ul"), P.tag("a")).select("page_id", "node_id")
+
+
+@_query(f"with {_N}, b as (select page_id, node_id, sub_end from n where kind = 'element' and local_name = 'body') select n.page_id, min(n.node_id) as node_id from n join b on n.page_id = b.page_id and n.node_id >= b.node_id and n.node_id <= b.sub_end where n.kind = 'element' and n.local_name = 'a' group by 1")
+def q_query_one_first_link(spark, d):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    return Q.query_one(n, P.tag("a"), start=P.tag("body")).select("page_id", "node_id")
+
+
+# ------------------------------------------------------------------ text and printing
+def _text_sql(cond: str, piece: str = "t.content", whole: str = "coalesce(string_agg(s, '' order by tn), '')") -> str:
+    return f"""with {_N}, a as (select page_id, node_id, sub_end from n where {cond}),
+j as (select a.page_id, a.node_id, t.node_id as tn, {piece} as s from a left join n t on t.page_id = a.page_id and t.kind = 'text' and t.node_id > a.node_id and t.node_id <= a.sub_end)
+select page_id, node_id, {whole} as text from j group by 1, 2"""
+
+
+def _texts(spark, d, pred, trim, **more):
+    n = _nodes(spark, d, "sub_end", "kind", "local_name", "content")
+    return T.text_content(n, n.where(pred.on_row()), trim, **more)
+
+
+@_query(_text_sql(_is("title")))
+def q_title_text(spark, d):
+    return _texts(spark, d, P.tag("title"), "none")
+
+
+@_query(_text_sql(_is("h1")))
+def q_h1_text(spark, d):
+    return _texts(spark, d, P.tag("h1"), "none")
+
+
+_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+_HTML_SPACE = "chr(9) || chr(10) || chr(12) || chr(13) || ' '"
+
+
+@_query(_text_sql(_is("li"), f"trim(t.content, {_SPACES})"))
+def q_li_text_trim_nodes(spark, d):
+    return _texts(spark, d, P.tag("li"), "nodes")
+
+
+@_query(
+    _text_sql(
+        _is("p"),
+        f"case when t.node_id = min(t.node_id) over (partition by a.page_id, a.node_id) then ltrim(t.content, {_SPACES}) else t.content end",
+        f"case when length(rtrim(coalesce(string_agg(s, '' order by tn), ''), {_HTML_SPACE})) = 0 then left(coalesce(string_agg(s, '' order by tn), ''), 1) else rtrim(string_agg(s, '' order by tn), {_HTML_SPACE}) end",
+    )
+)
+def q_p_text_trim_ends(spark, d):
+    return _texts(spark, d, P.tag("p"), "ends")
+
+
+@_query(_text_sql(_is("body"), "t.content", "length(coalesce(string_agg(s, '' order by tn), ''))"))
+def q_text_content_body(spark, d):
+    """With a consumer: the length of each body's text."""
+    return _texts(spark, d, P.tag("body"), "none", consume=lambda c: F.length(c).cast("bigint"))
+
+
+@_query(f"""with {_N}, e as (
+select page_id, node_id as place, 0 as ends, node_id as ord, case when kind = 'document' then '<#document>' || chr(10) when kind = 'element' then '<' || local_name || array_to_string(list_transform(attrs, lambda x: ' ' || x.name || '="' || x.value || '"'), '') || '>' || chr(10) when kind = 'text' then content when kind = 'comment' then '<!--' || content || '-->' when kind = 'doctype' then '<!DOCTYPE html  >' || chr(10) end as s from n
+union all select page_id, sub_end, 1, -node_id, case when kind = 'document' then '</#document>' || chr(10) else '</' || local_name || '>' || chr(10) end from n where kind in ('element', 'document'))
+select page_id, string_agg(s, '' order by place, ends, ord) as markup from e group by 1""")
+def q_print_document(spark, d):
+    return serialize(_nodes(spark, d, "sub_end", "kind", "local_name", "attrs", "content"))
+
+
+# ------------------------------------------------------------------ downloads and helpers
+_DL = "dl as (select distinct * from downloads)"
+_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
+
+
+def _downloads(spark, d):
+    return table(spark, d, "downloads").distinct()
+
+
+@_query(f"with {_DL} select download_id, coalesce(endpoint_id, {_HOST}, 'unknown') as endpoint from dl")
+def q_endpoint_key(spark, d):
+    return _downloads(spark, d).select("download_id", helpers.endpoint_key().alias("endpoint"))
+
+
+_RING = f"""with {_DL}, k as (select *, coalesce(endpoint_id, {_HOST}, 'unknown') as endpoint from dl),
+r as (select download_id, endpoint, cast(trunc(sum(total_bytes) over w / count(total_bytes) over w) as bigint) as ring_avg, content_length, expected_size from k window w as (partition by endpoint order by received_at, download_id rows between 16 preceding and 1 preceding))
+select """
+
+
+@_query(_RING + "download_id, endpoint, ring_avg from r")
+def q_ring_avg(spark, d):
+    k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
+    return helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"]).select("download_id", "endpoint", "ring_avg")
+
+
+@_query(_RING + "download_id, coalesce(ring_avg, content_length, expected_size, 0) as size_hint from r")
+def q_size_hint(spark, d):
+    """The ring cut by day, so that a hot endpoint is sorted in many tasks."""
+    k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
+    r = helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"], slice_of=F.to_date("received_at"))
+    return r.select("download_id", helpers.size_hint("ring_avg", "content_length", "expected_size").alias("size_hint"))
+
+
+@_query(
+    f"""with {_DL}, h as (select download_id, nullif(trim(regexp_extract(content_type, '(?i)(?:^|;)\\s*charset\\s*=\\s*([^;]*)', 1)), '') as c from dl)
+select download_id, case when length(c) > 2 and starts_with(c, '"') and ends_with(c, '"') then substring(c, 2, length(c) - 2) else c end as charset from h"""
+)
+def q_header_charset(spark, d):
+    return _downloads(spark, d).select("download_id", charset.header_charset().alias("charset"))
+
+
+@_query("select distinct page_id, md5(html) as h, md5(html) as h_latin, md5(html) as h16 from pages where html is not null and not regexp_matches(html, '[^\\x00-\\xff]')")
+def q_charset_decode(spark, d):
+    """Bodies with a mark, in the announced Latin-1, and in UTF-16 decode to the text."""
+    p = _pages(spark, d).where("html is not null and not html rlike '[^\\\\x00-\\\\xff]'")
+    utf8 = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))
+    utf16 = F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))
+    none = F.lit(None).cast("string")
+    return p.select(
+        "page_id", F.md5(charset.decode(utf8, none)).alias("h"), F.md5(charset.decode(F.encode("html", "ISO-8859-1"), F.lit('text/html; charset="iso-8859-1"'))).alias("h_latin"),
+        F.md5(charset.decode(utf16, none)).alias("h16"),
+    )
+
+
+@_query(f"with p as (select distinct page_id, url from pages), h as (select page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) as host from p) select page_id, replace(replace(replace(replace(host, 'www.', ''), '.com', ''), '.de', ''), '.org', '') || '.html' as file from h where coalesce(host, '') <> ''")
+def q_cache_name(spark, d):
+    return _pages(spark, d).select("page_id", cache_name().alias("file")).where("file is not null")
+
+
+@_query(
+    f"""with {_N}, w as (select page_id, node_id, content, list_filter(regexp_split_to_array(content, '[ ,.]'), lambda x: x <> '') as a, list_filter(string_split(content, ' the '), lambda x: x <> '') as b from n where kind = 'text')
+select page_id, node_id, contains(upper(content), upper('the ')) as has, len(a) as n_pieces, a[2] as second, a[100] as far, len(b) as n_split, array_to_string(b, '|') as rejoined,
+trim(content, {_SPACES}) = '' as blank from w"""
+)
+def q_text_helpers(spark, d):
+    n = _nodes(spark, d, "kind", "content").where("kind = 'text'")
+    a, b = helpers.split_set("content", " ,."), helpers.split_on("content", " the ")
+    return n.select(
+        "page_id", "node_id", helpers.contains_i("content", "the ").alias("has"), F.size(a).cast("bigint").alias("n_pieces"), helpers.try_at(a, 1).alias("second"), helpers.try_at(a, 99).alias("far"),
+        F.size(b).cast("bigint").alias("n_split"), F.array_join(b, "|").alias("rejoined"), helpers.is_null_or_whitespace("content").alias("blank"),
+    )
+
+
+@_query(f"with {_DL} select download_id, case when coalesce(endpoint_id, '') = '' then content_type else coalesce(endpoint_id || ':' || content_type, endpoint_id) end as name from dl")
+def q_combine(spark, d):
+    return _downloads(spark, d).select("download_id", helpers.combine("endpoint_id", "content_type").alias("name"))
+
+
+# ------------------------------------------------------------------ what drives the reference's tests
+_TAGS = ("a", "b", "i", "p", "q", "ul", "li", "td")
+
+
+@_query(f"with {_N}, t as (select unnest({list(_TAGS)!r}) as tag), f as (select distinct page_id from n), c as (select page_id, local_name, count(*) as k from n where kind = 'element' group by 1, 2) select f.page_id, t.tag, coalesce(c.k, 0) as n from f cross join t left join c on c.page_id = f.page_id and c.local_name = t.tag")
+def q_file_tag_counts(spark, d):
+    """Counts for each page and each of a fixed list of tags, zeros included: one pass that
+    counts by condition, instead of a product of pages and tags."""
+    n = _nodes(spark, d, "kind", "local_name")
+    counts = n.groupBy("page_id").agg(*[F.count(F.when((F.col("kind") == "element") & (F.col("local_name") == t), 1)).alias(t) for t in _TAGS])
+    return counts.select("page_id", F.explode(F.create_map(*[x for t in _TAGS for x in (F.lit(t), F.col(t))])).alias("tag", "n"))
+
+
+_BAD_NAME = r"""[:()\[\]%/.! ?&'",]"""
+
+
+@_query(f"""with {_N}, i as (select page_id, {_ATTR.format('id')} as ident, min(node_id) as first from n where kind = 'element' and {_ATTR.format('id')} is not null group by 1, 2),
+g as (select * from i where not regexp_matches(ident, '{_BAD_NAME.replace(chr(39), chr(39) * 2)}')), r as (select *, row_number() over (partition by page_id order by first) as k from g) select page_id, ident, k from r where k <= 75""")
+def q_ids_at_most_75(spark, d):
+    """The ids a page's tests use: distinct, of harmless characters, the first 75."""
+    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'").select("page_id", "node_id", filters.attribute("id").alias("ident")).where("ident is not null")
+    ids = n.where(~F.col("ident").rlike(_BAD_NAME)).groupBy("page_id", "ident").agg(F.min("node_id").alias("first"))
+    return ids.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("first")).cast("bigint")).where("k <= 75").select("page_id", "ident", "k")
+
+
+@_query(f"with {_N}, e as (select page_id, node_id, local_name from n where kind = 'element'), z as (select page_id, node_id, local_name as a, lead(local_name) over w as b, lead(local_name, 2) over w as c from e window w as (partition by page_id order by node_id)) select a, b, c, count(*) as n from z where b is not null group by 1, 2, 3")
+def q_zip_tags(spark, d):
+    """Sliding pairs and triples of a page's elements."""
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    e = _nodes(spark, d, "kind", "local_name").where("kind = 'element'")
+    z = e.select(F.col("local_name").alias("a"), F.lead("local_name").over(w).alias("b"), F.lead("local_name", 2).over(w).alias("c"))
+    return z.where("b is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""with {_N}, i as (select distinct page_id, class_name from class_inputs where class_name is not null), e as (select page_id, {_TOKS} as toks from n where kind = 'element')
+select i.page_id, i.class_name from i where not exists (select 1 from e where e.page_id = i.page_id and list_contains(e.toks, i.class_name))""")
+def q_class_inputs_missing(spark, d):
+    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'")
+    toks = n.select("page_id", F.explode(helpers.split_set(F.coalesce(filters.attribute("class"), F.lit("")), "\t\n\r\f ")).alias("class_name"))
+    inputs = table(spark, d, "class_inputs").where("class_name is not null").select("page_id", "class_name").distinct()
+    return inputs.join(toks, ["page_id", "class_name"], "left_anti")
+
+
+# ------------------------------------------------------------------ streams
+@_query("select distinct page_id, count(distinct node_id) as n_nodes from nodes group by page_id")
+def q_stream_parse(spark, d):
+    """Pages arrive as a stream, are parsed, and the node counts land in a table."""
+    import uuid
+
+    from ..streaming import page_stream
+
+    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    nodes = H.parse(page_stream(spark, f"{d}/pages.parque[t]", columns=["node_id"])  # a pattern, as the table may be one file
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.groupBy("page_id").agg(F.countDistinct("node_id").alias("n_nodes")).write.mode("append").parquet(f"{out}/t")
+
+    nodes.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("page_id bigint, n_nodes bigint").parquet(f"{out}/t").distinct()
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
