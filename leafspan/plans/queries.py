@@ -489,7 +489,8 @@ def q_stream_parse(spark, d):
     from ..streaming import page_stream
 
     out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    nodes = H.parse(page_stream(spark, f"{d}/pages.parque[t]", columns=["node_id"])  # a pattern, as the table may be one file
+    # a pattern, as the table may be one file
+    nodes = H.parse(page_stream(spark, f"{d}/pages.parque[t]"), columns=["node_id"])
 
     def batch(df: DataFrame, _: int) -> None:
         df.groupBy("page_id").agg(F.countDistinct("node_id").alias("n_nodes")).write.mode("append").parquet(f"{out}/t")
