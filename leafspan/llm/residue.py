@@ -187,7 +187,8 @@ def kind_of(text: str) -> str | None:
         return None
     if _QUICK.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
-    words = text.lower().split()
+    # messages and instructions are short; filler of any length begins as it goes on
+    words = (text if len(text) < 300 else text[:150]).lower().split()
     odd = [w for w in words if not w.isalpha()]
     if odd:
         words = [w for w in words if w.isalpha()] + _BREAK.findall(" ".join(odd))
