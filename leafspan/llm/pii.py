@@ -65,7 +65,7 @@ _ACC = r"""\\(?:["'`^~=.]\s?(?:\{\\?[A-Za-z]\s?\}|\\[ij](?![A-Za-z])\s?|[A-Za-z]
 _TRANSDUCE = re.compile(
     r"\{" + _ACC + r"\}|" + _ACC
     + r"|\{\\(?:aa|AA|ae|AE|oe|OE|ss|dh|th|[oOlLij])\}|\\(?:aa|AA|ae|AE|oe|OE|ss|[oOlL])(?:\{\}|(?![A-Za-z])\s?)"
-    + r"|\$@\$|\\[@_&#%]|\\(?=[ ]\d)"
+    + r"|\$@\$|\\[@_&#%]|\\\\|\\(?=[ ]\d)"
     + r"|[\[({<]\s?(?:[aA][tT]|[dD][oO][tT])\s?[\])}>]\s{0,2}(?=[\w{])"
     + r"|[" + "".join(_HOMOGLYPHS) + _INVISIBLE + "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff0b\uff08\uff09\uff0d]"
 )
@@ -93,6 +93,8 @@ def _letter(m: str) -> str:
         out = "@"
     elif s in ("\\_", "\\&", "\\#", "\\%"):
         out = s[1]
+    elif m == "\\\\":
+        out = m
     elif s == "\\":
         out = ""
     elif re.fullmatch(r"[\[({<]?\s*at\s*[\])}>]?", s, re.I):
@@ -221,7 +223,7 @@ _PHONE_FORMS = re.compile(
     r"|0\d(?:[ .]{1,2}\d{2}){4}"
     r"|0\d{8,10}"
 )
-_PHONE_LABEL = re.compile(r"(?:\b(?:phone|telephone|mobile|cell|call|fax|tel|ph|t[ée]l|tel[ée]fono|telefon|handy|m[óo]vil|contact)\b)[.:]{0,2}\W{0,4}(?:(?:no|number|at|us|is)\b[.:]?\W{0,3})?$", re.I)
+_PHONE_LABEL = re.compile(r"(?:\b(?:phone|telephone|mobile|cell|call|dial|ring|fax|tel|ph|t[ée]l|tel[ée]fono|telefon|handy|m[óo]vil|contact)\b)[.:]{0,2}\W{0,4}(?:(?:no|number|at|us|is)\b[.:]?\W{0,3})?$", re.I)
 _NOT_PHONE = re.compile(r"(?:grant|project|doi|isbn|issn|seed|run|node|id|entry|catalogue|catalog|version|no|nos|number|nr|arxiv|page|pp|eq|art|award|contract|dataset|section|sect)\b[^\w]{0,5}$", re.I)
 
 

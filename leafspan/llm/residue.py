@@ -30,7 +30,7 @@ PLACEHOLDER = re.compile(
     r"|(?<![\w%])%[A-Z][A-Z0-9_]{2,}%(?![\w%])|(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)|@@" + _IDENT + r"@@"
     r"|\[[A-Z][A-Z0-9]+(?:[ _][A-Z0-9]+)*\](?!\()|(?<![\w}\\^_$\])])\{\d\}"
     r"|(?<![\w}\\^_$\])])\{" + r"[a-z]\w*(?:[._][a-z]\w*)+\}"
-    r"|\[(?:First|Last|Your|Full|Customer|Company|Product|User|Recipient|Insert|Date|Client|Member)(?: ?[nN]ame| [a-z]+){1,3}\](?!\()"
+    r"|\[(?:First|Last|Your|Full|Customer|Company|Product|User|Recipient|Date|Client|Member)(?: ?[nN]ame| [a-z]+){1,3}\](?!\()"
     r"|\[object [A-Z]\w+\]|%\(\w+\)[sd]|\{\{\s*\}\}"
     r"|^(?:undefined|null|NaN|\(null\)|None)$|\b(?:Dear|Hello|Hi|Welcome|Hallo|Bonjour|Hola|Liebe[r]?|Ciao|Olá)[ ,]+(?:undefined|null|None|NaN)\b"
 )
