@@ -33,8 +33,10 @@ MAX_WORDS = 200_000
 MEMO_CHUNKS = 200_000
 #: Nats by which a channel must beat the text as it stands.
 PRIOR = 7.0
-#: The same where the page has other nodes damaged by that channel.
-PRIOR_ON_PAGE = 0.5
+#: The same where other texts of the page are damaged by that channel, and where most are.
+PRIOR_ON_PAGE, PRIOR_ON_BAD_PAGE = 2.5, -4.5
+#: Nats that a chunk costs which a channel can't have made.
+UNMADE = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word with a character outside ASCII, or one sign outside ASCII.
@@ -111,6 +113,7 @@ class CharModel:
                     for i in range(2, len(s)):
                         tri[s[i - 2 : i + 1]] += 1
                         bi[s[i - 2 : i]] += 1
+        self.sound = frozenset(tri)  # what correct text surely has
         self.tri, self.bi, self.alpha, self.size = tri, bi, alpha, len(chars) + 400
         self.chars = chars | set(signs)
         self.memo: dict[str, float] = {}
@@ -134,15 +137,20 @@ class Repairer:
     ASCII; ``samples`` correct texts for the character model."""
 
     CHANNELS = [(w, "utf-8") for w in SINGLE] + [(w, r) for r in SINGLE for w in SINGLE if w != r]
+    BY_NAME = {">".join(c[::-1]): i for i, c in enumerate(CHANNELS)}
     COST = [(0.0 if r == "utf-8" else 2.0) + 2.0 * (w in RARE) + 2.0 * (r in RARE) for w, r in CHANNELS]
 
-    def __init__(self, samples: Iterable[str], words: dict[str, int] | None = None):
+    def __init__(self, samples: Iterable[str], words: dict[str, int] | None = None, more: Iterable[str] = ()):
+        samples = list(samples)
         self.words = words or {}
-        total = sum(self.words.values())
-        self.model = CharModel(samples, [*COMMON_SIGNS] + [w for w, n in self.words.items() if len(w) == 1 and n > 1e-4 * total])
+        self.model = CharModel(samples, COMMON_SIGNS)
         self.log_total = math.log(sum(self.words.values()) + 1.0)
         self.skeleton: dict[str, list[tuple[str, int]]] = {}
-        for w, n in self.words.items():
+        # words that lost bytes may have stood for: those of the corpus, or else of the samples and ``more``
+        known = self.words or Counter(w for t in (*samples, *more) for w in _FOREIGN_WORD.findall(t))
+        if not self.words:
+            self.log_total = math.log(sum(known.values()) + 1.0)
+        for w, n in known.items():
             if not w[0].isalpha():
                 continue
             self.skeleton.setdefault(_NON_ASCII.sub(LOST, w), []).append((w, n))
@@ -162,8 +170,11 @@ class Repairer:
         if not known:
             return self.model.score(chunk)
         s = 0.0
-        for w in _FOREIGN_WORD.findall(chunk):
+        for m in _FOREIGN_WORD.finditer(chunk):
+            w = m.group()
             n = known.get(w) or 0.5 * known.get(w.lower(), 0)
+            if len(w) == 1 and w != "’" and not w.isalpha() and chunk[m.start() - 1 : m.start()].isalpha() and chunk[m.end() : m.end() + 1].isalpha():
+                n = 0  # a sign within a word, however frequent elsewhere
             s += math.log(n + 0.02) - self.log_total
         if len(chunk) == 1:
             return s
@@ -177,7 +188,7 @@ class Repairer:
             if not _ODD.search(chunk) and not _SIGN_IN_WORD.search(chunk):
                 got = (self.score(chunk), 0.0)
             else:
-                s, tri = "  " + chunk + " ", self.model.tri
+                s, tri = "  " + chunk + " ", self.model.sound
                 ok = all(s[i - 2 : i + 1] in tri for i in range(2, len(s)) if not s[i - 2 : i + 1].isascii())
                 got = (self.score(chunk), 0.0 if ok else -self.model.score(chunk) / len(chunk))
             if len(self.bases) < MEMO_CHUNKS:
@@ -208,9 +219,17 @@ class Repairer:
                 self.memo[chunk] = got
         return got
 
-    def gains(self, text: str) -> dict[int, float]:
-        """For each channel that explains the whole text, its gain in nats over the
-        text as it stands. Empty at once if every chunk looks correct."""
+    def gains(self, text: str, only: int | None = None) -> dict[int, float]:
+        """For each channel that explains the text, its gain in nats over the text as it
+        stands; a chunk that the channel can't have made (it may have come as a
+        character reference) costs UNMADE. Empty at once if every chunk looks correct.
+        With ``only`` that channel is tried whatever the text looks like."""
+        if only is not None:
+            total = 0.0
+            for c, n in Counter(c for c in _CHUNK.findall(text) if not c.isascii()).items():
+                f = self._one(c, only)
+                total += -UNMADE if f is None else n * (f - self._base(c)[0])
+            return {only: total}
         if not _ODD.search(text) and not _SIGN_IN_WORD.search(text):
             return {}
         counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
@@ -223,13 +242,10 @@ class Repairer:
         n = counts.pop(worst)
         total = {i: n * (s - base) - self.COST[i] for i, (s, _) in self._chunk(worst).items() if s - base > 0.5}
         for c, n in counts.items():
-            if not total:
-                break
             base, step = bases[c][0], {}
             for i, g in total.items():
                 f = self._one(c, i)
-                if f is not None:
-                    step[i] = g + n * (f - base)
+                step[i] = g - UNMADE if f is None else g + n * (f - base)
             total = step
         return total
 
@@ -319,7 +335,7 @@ class Repairer:
             self.by_text[text] = out
         return out
 
-    def _repair(self, text: str, depth: int = 0, only: int | None = None) -> tuple[str, str] | None:
+    def _repair(self, text: str, depth: int = 0, only: int | None = None, bar: float = 0.0) -> tuple[str, str] | None:
         if LOST in text:
             return _CHUNK.sub(lambda m: self.fill(m.group()) if LOST in m.group() else m.group(), text), "lost"
         if only is None:
@@ -328,10 +344,12 @@ class Repairer:
             if channel < 0 or gain < (0.0 if _C1.search(text) else PRIOR):
                 return (text, "unknown") if _C1.search(text) and not depth else None
         else:
-            channel, gain = only, self.gains(text).get(only, 0.0)
-            if gain < PRIOR_ON_PAGE:
+            channel, gain = only, self.gains(text, only)[only]
+            if gain < bar:
                 return None
         fixed = self.apply(text, channel)
+        if fixed == text:
+            return None
         name = ">".join(self.CHANNELS[channel][::-1])
         if depth < 2:
             again = self._repair(fixed, depth + 1) if not fixed.isascii() else None
@@ -345,11 +363,10 @@ class Repairer:
         out = [self.repair(t) for t in texts]
         names = Counter(r[1].rpartition(" ")[2] for r in out if r and r[1] not in ("lost", "unknown"))
         if names:
-            by_name = {">".join(c[::-1]): i for i, c in enumerate(self.CHANNELS)}
             for i, t in enumerate(texts):
                 if out[i] is None and not t.isascii():
-                    for name, _ in names.most_common(2):
-                        out[i] = self._repair(t, 0, by_name[name])
+                    for name, n in names.most_common(2):
+                        out[i] = self._repair(t, 0, self.BY_NAME[name], PRIOR_ON_BAD_PAGE if 2 * n >= len(texts) else PRIOR_ON_PAGE)
                         if out[i]:
                             break
         return out

@@ -213,7 +213,8 @@ class Finder:
     """Finds residue page by page; verdicts on texts are memoised."""
 
     def __init__(self, samples: list[str]):
-        self.fixer = Repairer(samples)
+        # the words of the messages looked for, so that those with lost bytes are known too
+        self.fixer = Repairer(samples, more=[" ".join(_CUES), *_SUBJECT.values(), *_VERDICT.values(), _FIXED, _TRAILER, _INSTRUCTION.pattern, _NOTICE.pattern])
         self.memo: dict[str, str | None] = {}
 
     def _kind(self, text: str) -> str | None:
