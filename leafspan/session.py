@@ -54,5 +54,15 @@ def scratch_table(df: DataFrame, label: str, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A table that a scan would read in fewer tasks than there are cores (a small file, or
+    one file), dealt out to ``tasks`` of them. Large tables are left as they are: their
+    scan has tasks enough, and moving the rows would cost a shuffle."""
+    if df.isStreaming:
+        return df
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def package_root() -> str:
     return os.path.dirname(os.path.abspath(__file__))

@@ -14,24 +14,17 @@ from ..functions.options import ParseOptions, TokenFilter
 from ..functions.tokenizer import tokenize as tokens_of
 from ..functions.tree import COLUMNS, parse_nodes
 from ..schema import NODE_STRUCT, NODES, TOKENS
+from ..session import spread
 
 #: Rows of an output batch, about; a page's rows are never split.
 BATCH_ROWS = 16_384
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """A table that a scan would read in fewer tasks than there are cores (a small file, or
-    one file), dealt out to ``tasks`` of them. Large tables are left as they are: their
-    scan has tasks enough, and moving the pages would cost a shuffle."""
-    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
-
-
 def _keyed(pages: DataFrame, key: str, html: str | Column, length: str | Column | None) -> tuple[DataFrame, str]:
     text = F.col(html) if isinstance(html, str) else html
     if length is not None:
         text = F.substring(text, F.lit(1), F.col(length) if isinstance(length, str) else length)
-    return pages.select(F.col(key).alias("k"), text.alias("h")), pages.schema[key].dataType.simpleString()
+    return spread(pages.select(F.col(key).alias("k"), text.alias("h"))), pages.schema[key].dataType.simpleString()
 
 
 def _rows(df: DataFrame, key: str, kind: str, columns: str, of) -> DataFrame:
