@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # ---------------------------------------------------------------- fixed values
@@ -440,7 +442,7 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             keys = batch.column(0).take(pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["k", "kind", "s", "e"])
 
-    cols = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    cols = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return cols.mapInArrow(run, f"k {kind}, kind string, s bigint, e bigint").toDF(key, "kind", "start_char", "end_char")
 
 
@@ -452,5 +454,5 @@ def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redact(t.as_py()) for t in batch.column(1)], pa.string())], names=["k", "t"])
 
-    cols = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    cols = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return cols.mapInArrow(run, f"k {kind}, t string").toDF(key, text)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 
@@ -150,7 +152,7 @@ def encode_documents(
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["k", "v"])
 
-    cols = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    cols = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return cols.mapInArrow(run, f"k {kind}, v array<int>").toDF(key, out)
 
 
@@ -171,7 +173,7 @@ def count_tokens(
             n = array("q", [len(enc.encode(t.as_py())) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["k", "v"])
 
-    cols = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    cols = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return cols.mapInArrow(run, f"k {kind}, v bigint").toDF(key, out)
 
 
