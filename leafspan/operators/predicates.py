@@ -23,10 +23,11 @@ class Predicate:
         self.tag_name = tag_name
 
     def on_row(self) -> Column:
-        return F.coalesce(self.build(F.col), F.lit(False))
+        # null means no match, as in any filter; left as it is, so that comparisons reach the scan
+        return self.build(F.col)
 
     def on_struct(self, x: Column) -> Column:
-        return F.coalesce(self.build(lambda f: x[f]), F.lit(False))
+        return self.build(lambda f: x[f])
 
     def __and__(self, other: Predicate) -> Predicate:
         return Predicate(lambda f: self.build(f) & other.build(f))
