@@ -39,10 +39,9 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Distinct nodes, of the columns wanted. They are exchanged by page, which serves the
-    removal of repeated rows and all that follows by page; few rows repeat, so that
-    combining before the exchange would save nothing."""
-    return table(spark, d, "nodes").select("page_id", "node_id", *columns).repartition("page_id").distinct()
+    """Distinct nodes, of the columns wanted. Repeated rows collapse before the exchange,
+    so that a page with very many copies is no larger than another behind it."""
+    return table(spark, d, "nodes").select("page_id", "node_id", *columns).distinct()
 
 
 _N = "n as (select distinct page_id, node_id, parent_id, sub_end, depth, child_no, kind, local_name, attrs, content from nodes)"
@@ -382,13 +381,14 @@ select """
 
 @_query(_RING + "download_id, endpoint, ring_avg from r")
 def q_ring_avg(spark, d):
+    """The ring cut by day, so that a hot endpoint is sorted in many tasks."""
     k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
-    return helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"]).select("download_id", "endpoint", "ring_avg")
+    r = helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"], slice_of=F.to_date("received_at"))
+    return r.select("download_id", "endpoint", "ring_avg")
 
 
 @_query(_RING + "download_id, coalesce(ring_avg, content_length, expected_size, 0) as size_hint from r")
 def q_size_hint(spark, d):
-    """The ring cut by day, so that a hot endpoint is sorted in many tasks."""
     k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
     r = helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"], slice_of=F.to_date("received_at"))
     return r.select("download_id", helpers.size_hint("ring_avg", "content_length", "expected_size").alias("size_hint"))
