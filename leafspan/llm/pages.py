@@ -33,8 +33,6 @@ class Page:
         self.page_id, self.url, self.endpoint = page_id, url, endpoint
         if len(chunks) == 1:
             ids, par, names, data = marshal.loads(chunks[0])
-            if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
-                ids, par, names, data = _merge([(ids, par, names, data)])
         else:
             ids, par, names, data = _merge([marshal.loads(c) for c in chunks])
         self.ids, self.names, self.data = ids, names, data
@@ -73,7 +71,14 @@ def _merge(parts):
     return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [])
 
 
+#: Chunks a task remembers to leave out exact copies of; forgetting some costs nothing but space.
+REMEMBERED = 200_000
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to chunks. Copies of rows and of whole chunks go before the shuffle, so that
+    a page with very many copies is moved a few times per task."""
+    seen: set[int] = set()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -81,10 +86,29 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = batch.column(0)
         keys = page.to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), n]
+        ids = batch.column(1).to_numpy(zero_copy_only=False)
+        # where a page's ids don't rise there are copies
+        back = (np.flatnonzero((ids[1:] <= ids[:-1]) & (keys[1:] == keys[:-1])) + 1).tolist()
         cols = [batch.column(k).to_pylist() for k in (1, 2, 3, 4)]
-        blobs = [marshal.dumps([c[a:b] for c in cols]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        first = pa.array(cuts[:-1], pa.int64())
-        yield pa.RecordBatch.from_arrays([page.take(first), pa.array(blobs, pa.binary()), batch.column(5).take(first)], names=["page_id", "blob", "endpoint"])
+        first, blobs, j = [], [], 0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            parts = [c[a:b] for c in cols]
+            while j < len(back) and back[j] < a:
+                j += 1
+            if j < len(back) and back[j] < b:
+                parts = list(_merge([parts]))
+            blob = marshal.dumps(parts)
+            mark = hash((int(keys[a]), blob))
+            if mark in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(mark)
+            first.append(a)
+            blobs.append(blob)
+        if blobs:
+            at = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([page.take(at), pa.array(blobs, pa.binary()), batch.column(5).take(at)], names=["page_id", "blob", "endpoint"])
 
 
 def page_chunks(nodes: DataFrame, pages: DataFrame | None = None, attributes: bool = True) -> DataFrame:

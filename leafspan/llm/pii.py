@@ -28,19 +28,13 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]",
 # ---------------------------------------------------------------- fixed values
 # Given names, in several languages; names in a document's own author fields are added to them.
 GIVEN_NAMES = frozenset("""
-Aaron Adam Adrian Agnes Aisling Alan Albert Alejandro Alessandro Alexander Alexandra Alice Amara Amelie Amina Ana Anders Andrea Andreas
-Andrew Angela Anita Anna Anne Anouk Antoine Antonio Aria Arthur Astrid Barbara Beatriz Benjamin Bernard Birgit Boris Brigitte Bruno Calvin
-Camille Carla Carlos Carmen Caroline Catherine Cecilia Charles Chiara Chloe Christian Christine Clara Claude Claudia Clemens Daniel David
-Deborah Diana Diego Dieter Dmitri Dora Edith Eduard Elena Eleni Elif Elin Elisa Elizabeth Emil Emily Emma Erik Esther Etienne Eva Fabian
-Fatima Felix Femi Fernando Fiona Florian Francesca Frank Franz Frida Gabriel Georg George Giovanni Giulia Greta Gustav Hakon Hanna Hannah
-Hans Harald Heinrich Helen Helena Henrik Henry Hugo Ibrahim Ilse Ines Ingrid Irene Isabel Ivan Jakob James Jan Jana Javier Jaya Jean Jennifer
-Joan Johan Johanna John Jonas Jorge Jose Josef Juan Julia Julian Julie Karin Karl Katarina Katherine Keiko Klaus Kofi Lars Laura Lena Leo
-Leon Lev Liam Lina Linda Linnea Lisa Lorenzo Louis Louise Luca Lucas Lucia Ludwig Luis Lukas Magdalena Manuel Mara Marco Margaret Maria Marie
-Mario Mark Marta Martin Mary Mateo Matthias Max Maya Michael Miguel Mihaly Mila Mohamed Monika Nadia Natalia Nicolas Nina Noah Noor Nora Olaf
-Oleg Olga Oliver Oscar Oskar Otto Pablo Paolo Patrick Paul Paula Paulina Pedro Peter Petra Philip Pierre Piotr Priya Rachel Rafael Rebecca
-Renata Richard Robert Roberto Rosa Ruth Samuel Sandra Sara Sarah Sebastian Silvio Simon Sofia Sophie Stefan Stephen Susan Svetlana Sylvia Teresa
-Thea Thomas Tim Tobias Tom Tomas Ulrich Ursula Valentina Vera Victor Viktor Vincent Walter Wanda Wei Werner Willem William Xenia Yuki Yusuf
-Zoe Zofia
+Adam Adrian Aisling Alan Alexander Alice Amara Amelie Ana Anders Andrea Andrew Anna Anne Anouk Barbara Benjamin Brigitte Bruno
+Calvin Carlos Carmen Catherine Charles Christian Clara Claudia Daniel David Deborah Diana Dmitri Edith Elena Elin Elisa Elizabeth
+Emil Emma Etienne Eva Fatima Felix Femi Frank Gabriel Georg George Greta Hakon Hanna Hans Henrik Hugo Ibrahim Ilse Ingrid Ivan
+James Jan Jaya Jean Johan John Jonas Jose Josef Juan Julia Karl Katarina Katherine Keiko Kofi Laura Lena Leo Leon Lev Liam Linda
+Linnea Lisa Louis Luca Lucia Lukas Mara Marco Margaret Maria Mark Martin Mary Mateo Max Michael Mihaly Mohamed Nadia Nina Noah
+Noor Nora Olga Oscar Oskar Otto Paul Paula Paulina Peter Pierre Piotr Priya Rafael Rebecca Renata Richard Robert Rosa Ruth Samuel
+Sara Sarah Silvio Simon Sofia Sophie Thea Thomas Tobias Tom Tomas Ulrich Vera Victor Wanda Willem William Xenia Yusuf Zoe
 """.split())
 # Words that look like a family name after an initial but open a sentence.
 SENTENCE_WORDS = frozenset("""

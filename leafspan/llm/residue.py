@@ -145,13 +145,16 @@ _PROSE = re.compile(r"\b(?:course|courses|lesson|book|lecture|class|workshop|tea
 # One look at the words of a text decides whether a pattern can match at all: every
 # alternative of the patterns above holds one of these.
 _BREAK = re.compile(r"[^\W\d_]+")
-_CUES = LATIN_FILLER | NONSENSE | frozenset("""
+# fixed values: those words, by what they are words of
+FILLER_AND_INSTRUCTION_WORDS = frozenset("""
 content demo mock example copy paragraph layout publish live blindtext platzhaltertext texte testo texto tekst текст
 here point characters own about ici aquí aqui qui hier tu tutaj сюда здесь replace einfügen eingeben ergänzen
 ajoutez añada adicione aggiungi dodaj добавьте
 add enter insert paste type write put fill describe provide edit change upload ajouter insérez insérer saisir saisissez écrire écrivez escriba introduzca
 introduce inserte añadir agregue insira introduza escreva acrescente inserisci inserire scrivi scrivere wpisz wprowadź wstaw вставьте введите напишите
 todo tbd fixme xxx compléter faire pendiente fazer fare zrobienia сделать erledigen
+""".split())
+VERDICT_WORDS = frozenset("""
 found refused answer respond broken repaired problem exist moved removed deleted invalid expired nowhere timed maintenance unavailable offline available
 displayed shown opened reached loaded established longer down
 gefunden existiert verfügbar erreichbar vorhanden antwortet gewartet meldet entfernt verschoben gelöscht angezeigt abgelaufen
@@ -160,11 +163,14 @@ responde encontrado encontró mostrar mantenimiento informa eliminado eliminada
 removido removida movido movida expirou disponível esiste risponde trovato trovata manutenzione segnala scaduto scaduta rimosso rimossa spostato spostata
 istnieje odpowiada znaleziona znaleziony dostępna dostępny konserwacji naprawiana naprawiany zgłasza wygasła
 существует отвечает найден найдена найдено недоступен недоступна сообщает обслуживании
+""".split())
+MESSAGE_WORDS = frozenset("""
 error fehler erreur errore erro błąd ошибка oops ups oups hoppla trouvée gefunden encontrada trovata znaleziono найдена denied forbidden verweigert refusé
 denegado negado negato odmowa запрещён запрещен permission gateway service temporarily momentanément momento temporariamente momentaneamente chwilowo временно
 wrong occurred aufgetreten survenue producido ocorreu verificato wystąpił произошла everywhere requests fatal warning notice parse request incident trace reference ray event
 javascript java script scripts scripting active blocker skript skripte skripts skrypt skrypty skryptów скрипт скрипты скрипта
 """.split())
+_CUES = LATIN_FILLER | NONSENSE | FILLER_AND_INSTRUCTION_WORDS | VERDICT_WORDS | MESSAGE_WORDS
 
 
 def _word_share(words: list[str], known: frozenset) -> float:
