@@ -69,19 +69,21 @@ _CHARS = {e: "".join(map(chr, range(128))) + "".join(bytes([b]).decode(e, "repla
 _FIX_TO = {e: {b: (ord(_CHARS[e][b]) if _CHARS[e][b] != LOST else b) for b in range(128, 256)} for e in SINGLE}
 
 
+def _translation(enc: str) -> dict[int, str]:
+    """To characters below 256 that stand for bytes; what has no byte goes beyond."""
+    out = dict.fromkeys(range(128, 256), "\uffff")
+    out.update((o, chr(b)) for o, b in _BYTES[enc].items())
+    return out
+
+
+_TRANSLATE = {e: _translation(e) for e in SINGLE}
+
+
 def _bytes_of(text: str, wrong: str) -> bytes | None:
-    table = _BYTES[wrong]
-    out = bytearray()
-    for c in text:
-        o = ord(c)
-        if o < 128:
-            out.append(o)
-        else:
-            b = table.get(o)
-            if b is None:
-                return None
-            out.append(b)
-    return bytes(out)
+    try:
+        return text.translate(_TRANSLATE[wrong]).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 def undo(text: str, wrong: str, right: str) -> str | None:
@@ -241,12 +243,19 @@ class Repairer:
         base = bases[worst][0]
         n = counts.pop(worst)
         total = {i: n * (s - base) - self.COST[i] for i, (s, _) in self._chunk(worst).items() if s - base > 0.5}
+        # a fixed chunk scores 0 at most, so no channel can gain more on the rest than this
+        rest = -sum(n * bases[c][0] for c, n in counts.items())
         for c, n in counts.items():
             base, step = bases[c][0], {}
+            rest += n * base
             for i, g in total.items():
                 f = self._one(c, i)
-                step[i] = g - UNMADE if f is None else g + n * (f - base)
+                g += -UNMADE if f is None else n * (f - base)
+                if g + rest > PRIOR_ON_BAD_PAGE:
+                    step[i] = g
             total = step
+            if not total:
+                break
         return total
 
     def _one(self, chunk: str, channel: int) -> float | None:
