@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -124,7 +125,6 @@ _ERROR = re.compile(
     re.I | re.S,
 )
 _CODE_ONLY = re.compile(r"\s*[45]\d\d\s*")
-_FILLER_CUE = re.compile(r"placeholder|sample|dummy|filler|text text|test |example|demo|mock|blindtext|platzhalter|remplissage|fictif|segnaposto|prova|fittizio|ejemplo|relleno|exemplo|prueba|simulado|provis|przyk|текст", re.I)
 _BARE = re.compile(r"\s*(?:\d{3}|\w+)[!.]?\s*")
 _REQUEST_ID = re.compile(r"\s*(?:request|incident|error|trace|reference|ray|event)[ -]?id\b.{0,60}", re.I)
 
@@ -142,10 +142,8 @@ _SCRIPT_WORD = re.compile(_SCRIPT, re.I)
 _PROSE = re.compile(r"\b(?:course|courses|lesson|book|lecture|class|workshop|teaches|taught|learn(?:s|ed)?|kurs|cours|curso|corso|fills|fridays|yesterday|century|play|theatre|museum)\b", re.I)
 
 
-# One look at the words of a text decides whether a pattern can match at all: every
-# alternative of the patterns above holds one of these.
 _BREAK = re.compile(r"[^\W\d_]+")
-# fixed values: those words, by what they are words of
+# fixed values: words of the messages above, for texts with lost bytes; no gate, as the patterns know more forms
 FILLER_AND_INSTRUCTION_WORDS = frozenset("""
 content demo mock example copy paragraph layout publish live blindtext platzhaltertext texte testo texto tekst текст
 here point characters own about ici aquí aqui qui hier tu tutaj сюда здесь replace einfügen eingeben ergänzen
@@ -170,7 +168,8 @@ denegado negado negato odmowa запрещён запрещен permission gatew
 wrong occurred aufgetreten survenue producido ocorreu verificato wystąpił произошла everywhere requests fatal warning notice parse request incident trace reference ray event
 javascript java script scripts scripting active blocker skript skripte skripts skrypt skrypty skryptów скрипт скрипты скрипта
 """.split())
-_CUES = LATIN_FILLER | NONSENSE | FILLER_AND_INSTRUCTION_WORDS | VERDICT_WORDS | MESSAGE_WORDS
+_FILLER_WORDS = LATIN_FILLER | NONSENSE
+_CUES = _FILLER_WORDS | FILLER_AND_INSTRUCTION_WORDS | VERDICT_WORDS | MESSAGE_WORDS
 
 
 def _word_share(words: list[str], known: frozenset) -> float:
@@ -193,22 +192,18 @@ def kind_of(text: str) -> str | None:
         return None
     if _QUICK.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
-    # messages and instructions are short; filler of any length begins as it goes on
-    words = (text if len(text) < 300 else text[:150]).lower().split()
-    odd = [w for w in words if not w.isalpha()]
-    if odd:
-        words = [w for w in words if w.isalpha()] + _BREAK.findall(" ".join(odd))
-    if _CUES.isdisjoint(words):
-        return "error" if _CODE_ONLY.fullmatch(text) else None
-    words = _BREAK.findall(text.lower())
     s = text.strip()
     if len(s) < 140 and (_INSTRUCTION.fullmatch(s) or _TODO.fullmatch(s)):
         return "instruction"
-    if _word_share(words[:8], LATIN_FILLER | NONSENSE) > 0.6 and (_word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8):
+    # filler of any length begins as it goes on
+    low = text.lower()
+    if _word_share([m.group() for m in islice(_BREAK.finditer(low), 8)], _FILLER_WORDS) > 0.6:
+        words = _BREAK.findall(low)
+        if _word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8:
+            return "filler"
+    if _FILLER.fullmatch(s):
         return "filler"
-    if _FILLER_CUE.search(s) and _FILLER.fullmatch(s):
-        return "filler"
-    if is_error(s):
+    if is_error(s) or _CODE_ONLY.fullmatch(text):
         return "error"
     if is_notice(s):
         return "notice"

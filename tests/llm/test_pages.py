@@ -29,6 +29,52 @@ def test_kinds_of_residue(text, kind):
     assert residue.kind_of(text) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Для работы сайта включите выполнение скриптов.", "notice"), ("Włącz obsługę skryptami.", "notice"), ("Bitte Skripten zulassen", "notice"),
+        ("[Escribe una descripción]", "instruction"), ("[Sostituisci il titolo]", "instruction"), ("[Remplacez le titre]", "instruction"), ("[Reemplace el nombre]", "instruction"), ("[Substitua o nome]", "instruction"),
+        ("[Aggiungere un sottotitolo]", "instruction"), ("[Dodać opis strony]", "instruction"), ("[Добавить заголовок]", "instruction"), ("[Замените заголовок]", "instruction"), ("Texte d'exemple", "filler"), ("404", "error"),
+    ],
+)
+def test_every_form_of_a_pattern_counts(text, kind):
+    assert residue.kind_of(text) == kind
+
+
+def test_expansions_of_the_patterns_count():
+    """Each word that the groups of verbs, subjects and verdicts can stand for, in a text of its own."""
+    from itertools import product
+
+    from re import _parser as parser
+
+    def forms(tree):
+        parts = []
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                parts.append([chr(arg)])
+            elif name == "BRANCH":
+                parts.append([f for x in arg[1] for f in forms(x)])
+            elif name == "SUBPATTERN":
+                parts.append(forms(arg[3]))
+            elif name == "IN":
+                parts.append(["1" if str(arg[0][0]) == "CATEGORY" and "DIGIT" in str(arg[0][1]) else " " if str(arg[0][0]) == "CATEGORY" and "SPACE" in str(arg[0][1]) else "x"] if str(arg[0][0]) == "CATEGORY" else [chr(v) for o, v in arg if str(o) == "LITERAL"])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, sub = arg
+                parts.append(sorted({"" if n == 0 else f * n for n in {low, 1} if n <= high for f in forms(sub)}))
+            elif name != "AT":
+                raise AssertionError(name)
+        return ["".join(p) for p in product(*parts)]
+
+    verbs = forms(parser.parse(residue._VERB))
+    assert len(verbs) > 50
+    assert [v for v in verbs if residue.kind_of(f"[{v} abc def]") != "instruction"] == []
+    subject = {"en": "the page", "de": "die Seite", "fr": "la page", "es": "la página", "pt": "a página", "it": "la pagina", "pl": "strona", "ru": "страница"}
+    for k, s in subject.items():
+        assert [v for v in forms(parser.parse(residue._VERDICT[k])) if residue.kind_of(f"{s} {v}.") != "error"] == []
+        assert [x for x in forms(parser.parse(residue._SUBJECT[k].replace(r"(?:\w+\s){0,2}?", ""))) if residue.kind_of(f"{x} {forms(parser.parse(residue._VERDICT[k]))[0]}.") != "error"] == []
+
+
 def test_residue(node_table, lang_samples, no_nodes, contents, spark):
     nodes = node_table([
         (1, "<title>Page not found</title><h1>404</h1><p>The server is no longer here. Status 410.</p><small>Request id 5430f0f2-fcfb, node 32</small><nav><a>Home</a></nav>"),
