@@ -4,14 +4,16 @@ Method: one suffix array per block of pages of a host. A page becomes a stream o
 tokens, one for each element (name, identifying attributes, link target) and each
 text node below ``body``. The streams of a block are concatenated, a suffix array
 is built by prefix doubling, and its LCP array groups the suffixes that share a
-long prefix. Substrings found on several distinct pages cover the text in them.
+long prefix. These propose runs; on how many distinct pages of the host a run occurs
+is summed over the host's blocks. Substrings found on several cover the text in them.
 Coverage is then summed by element position in the host's layout (the path of
 names and attributes), and subtrees that are covered for the most part go as a
 whole, so that a unique line of a footer goes with it and a repeated phrase of an
 article stays.
 
-A host with many pages is cut into blocks by a hash of the page, each large
-enough to show what repeats; hosts with few pages share blocks. No group is ever
+A host with many pages is cut into blocks by a hash of the page, which bounds the
+work of a task and decides nothing: support of runs and sums by layout are those of
+the host. Hosts with few pages share blocks. No group is ever
 larger than a block's expected size, whatever share of the pages a host has.
 """
 
@@ -24,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
@@ -38,6 +40,10 @@ BLOCK_PAGES, FEW = 64, 4
 MAX_BROADCAST_SITES = 100_000
 #: Tokens that make a substring long.
 LONG = 4
+#: Distinct pages of a host, of whatever size, that make it repeated; in blocks of hosts with fewer than FEW pages two do.
+LEAST, LEAST_POOLED = 3, 2
+#: Share of the texts at a place of the layout that is covered, without which a covered subtree is chance.
+THERE = 0.15
 _KEEP_ATTRS = ("class", "id", "role", "type", "action", "name", "aria-label", "itemprop")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", re.I)
 
@@ -117,9 +123,9 @@ def lcp_array(sa: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated(tokens: list[list[int]], long: int, least: int) -> np.ndarray:
-    """For each position of the concatenated streams, whether the ``long`` tokens from
-    it on occur on at least ``least`` distinct pages."""
+def shared(tokens: list[list[int]], long: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of the concatenated streams, the group of those that have the
+    same ``long`` tokens from there on; for each group, on how many distinct pages."""
     sizes = [len(t) for t in tokens]
     total = sum(sizes) + len(tokens)
     s = np.empty(total, np.int64)
@@ -130,48 +136,101 @@ def repeated(tokens: list[list[int]], long: int, least: int) -> np.ndarray:
         s[at + len(t)] = -1 - k  # a separator of its own ends each page
         owner[at : at + len(t) + 1] = k
         at += len(t) + 1
-    sa, ranks = suffix_array(s)
+    sa, ranks = suffix_array(s, max(4, long))
     group = np.cumsum(lcp_array(sa, ranks) < long)
     pages = owner[sa]
     pairs = np.unique(group * len(tokens) + pages)
     support = np.bincount(pairs // len(tokens), minlength=int(group.max()) + 1 if total else 1)
-    out = np.empty(total, bool)
-    out[sa] = support[group] >= least
-    return out
+    out = np.empty(total, np.int64)
+    out[sa] = group
+    return out, support
+
+
+def repeated(tokens: list[list[int]], long: int, least: int) -> np.ndarray:
+    """For each position of the concatenated streams, whether the ``long`` tokens from
+    it on occur on at least ``least`` distinct pages."""
+    group, support = shared(tokens, long)
+    return support[group] >= least
+
+
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_prints(tok: list[int], long: int) -> np.ndarray:
+    """A fingerprint of the ``long`` tokens from each position on, the same on every page."""
+    t = np.array(tok, np.uint64)
+    n = max(0, len(t) - long + 1)
+    out = np.full(n, long, np.uint64)
+    for j in range(long):
+        out = (out ^ t[j : j + n]) * _PRIME
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _telling(kind: list[int], text: int = 3) -> np.ndarray:
+    """For each position, whether the run from it on holds two texts, or a link and a text."""
+    k = np.array(kind, np.int64)
+    n = max(0, len(k) - LONG + 1)
+    texts, link = np.zeros(n, np.int64), np.zeros(n, bool)
+    for j in range(LONG):
+        w = k[j : j + n]
+        texts += (w == 3) | (w == text)
+        link |= w == 1
+    return texts + link >= 2
+
+
+def proposed_runs(pages: list[tuple], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, distinct pages in the block) of the runs and links of a block, found
+    by its suffix array. Those of a host of several blocks are all needed, as a run
+    that is rare in a block may be frequent on the host (``least`` is 1); a block that
+    is alone needs only those that ``least`` of its pages have."""
+    tokens = [p[2] for p in pages]
+    prints, counts = [], []
+    for long in (LONG, 1):
+        group, support = shared(tokens, long)
+        where, fps, at = [], [], 0
+        for _, _, tok, _, kind in pages:
+            # what a run's tokens say, and not where it stands, so that each block proposes the same
+            good = np.flatnonzero(_telling(kind, 4) if long > 1 else np.array(kind, np.int64) == 1)
+            where.append(group[at + good])
+            fps.append(run_prints(tok, long)[good])
+            at += len(tok) + 1
+        groups, first = np.unique(np.concatenate(where), return_index=True)
+        n = support[groups]
+        keep = n >= least
+        prints.append(np.concatenate(fps)[first][keep])
+        counts.append(n[keep])
+    return np.concatenate(prints), np.concatenate(counts)
 
 
 class Block:
-    """Pages of one host, or of several small ones, taken together."""
-
-    def __init__(self, pages: list[tuple], pooled: bool = False):
-        # (site, parents, tokens, layout tokens, kinds); small hosts share what layouts show
-        self.pages = [("", *p[1:]) for p in pages] if pooled else pages
-        n = len(pages)
-        least = 2 if n < 12 or pooled else 3 if n < 40 else 4
-        tokens = [p[2] for p in pages]
-        run = repeated(tokens, LONG, least)
-        link = repeated(tokens, 1, least)
+    """Pages of one host, or of several small ones, taken together. ``frequent`` are the
+    fingerprints of what is repeated on the host, ``sums`` the sums by layout path over
+    all blocks of the host (those of this block alone if not given)."""
+
+    def __init__(self, pages: list[tuple], frequent: np.ndarray, sums: dict[int, tuple] | None = None):
+        # (site, parents, tokens, layout tokens, kinds)
+        self.pages = pages
         self.covered: list[list[bool]] = []
-        self.sums: dict[tuple, list[int]] = {}
+        self.sums: dict[int, list[int]] = {}
         self.paths: list[list[int]] = []
         self.weights: list[tuple[list[int], list[int], list[bool]]] = []
-        at = 0
-        for site, par, tok, lay, kind in self.pages:
+        for _, par, tok, lay, kind in self.pages:
             m = len(tok)
-            cov = [False] * m
+            mark = np.zeros(m + 1, np.int64)
             # a long run counts if it holds two texts, or a link and a text
-            for i in np.flatnonzero(run[at : at + m]).tolist():
-                w = kind[i : i + LONG]
-                if sum(k == 3 for k in w) + (1 in w) >= 2:
-                    for j in range(i, min(m, i + LONG)):
-                        cov[j] = True
+            starts = np.flatnonzero(np.isin(run_prints(tok, LONG), frequent) & _telling(kind))
+            np.add.at(mark, starts, 1)
+            np.add.at(mark, starts + LONG, -1)
+            cov = (np.cumsum(mark)[:m] > 0).tolist()
+            link = np.isin(run_prints(tok, 1), frequent).tolist()
             path = [0] * m
             for i in range(m):
                 p = par[i]
                 if kind[i] >= 3:
                     path[i] = path[p] if p >= 0 else 0
                     # the target of a repeated link stands for its text, however garbled
-                    if p >= 0 and kind[p] == 1 and link[at + p]:
+                    if p >= 0 and kind[p] == 1 and link[p]:
                         cov[i] = True
                 else:
                     path[i] = crc32(lay[i].to_bytes(4, "little"), path[p] if p >= 0 else 0)
@@ -186,24 +245,26 @@ class Block:
                     texts[p] += texts[i]
                     hits[p] += hits[i]
                     head[p] = head[p] or head[i]
-            seen = set()
-            for i in range(m):
-                if kind[i] < 3 and texts[i]:
-                    s = self.sums.setdefault((site, path[i]), [0, 0, 0, 0])
-                    s[0] += texts[i]
-                    s[1] += hits[i]
-                    s[3] += head[i]
-                    if path[i] not in seen:
-                        seen.add(path[i])
-                        s[2] += 1
+            if sums is None:
+                seen = set()
+                for i in range(m):
+                    if kind[i] < 3 and texts[i]:
+                        s = self.sums.setdefault(path[i], [0, 0, 0, 0])
+                        s[0] += texts[i]
+                        s[1] += hits[i]
+                        s[3] += head[i]
+                        if path[i] not in seen:
+                            seen.add(path[i])
+                            s[2] += 1
             self.covered.append(cov)
             self.paths.append(path)
             self.weights.append((texts, hits, head))
-            at += m + 1
+        if sums is not None:
+            self.sums = sums
 
     def removed(self, k: int) -> list[bool]:
         """For the nodes of page k, whether they are boilerplate."""
-        site, par, tok, lay, kind = self.pages[k]
+        _, par, tok, _, kind = self.pages[k]
         texts, hits, head = self.weights[k]
         cov, path = self.covered[k], self.paths[k]
         out = [False] * len(tok)
@@ -212,11 +273,11 @@ class Block:
             if p >= 0 and out[p]:
                 out[i] = True
             elif kind[i] < 3 and texts[i] and not head[i]:
-                n, c, on, with_head = self.sums[site, path[i]]
+                n, c, on, with_head = self.sums[path[i]]
                 own, there = hits[i] / texts[i], c / n
                 if with_head * 2 > on:
                     continue  # elsewhere this is where the page's own heading stands
-                if own >= 0.6 or (on >= 3 and there >= 0.55) or (own >= 0.3 and there >= 0.45):
+                if (own >= 0.6 and there >= THERE) or (on >= 3 and there >= 0.55) or (own >= 0.3 and there >= 0.45):
                     # a single phrase in running text or a table is no block
                     out[i] = texts[i] > 1 or kind[i] == 1 or (on >= 3 and there >= 0.55)
         return out
@@ -261,45 +322,82 @@ def page_blocks(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame, ext
     small = (F.col("n") < FEW) | (F.col("site") == "")
     blocks = F.greatest(F.lit(1), F.ceil(F.when(small, F.lit(int(few))).otherwise(F.col("n")) / BLOCK_PAGES))
     keyed = rows.join(sizes, "site").withColumn("block", F.pmod(F.when(small & (F.col("site") != ""), F.xxhash64("site")).otherwise(F.xxhash64("page_id")), blocks).cast("int")).withColumn("pool", F.when(small, "").otherwise(F.col("site")))
-    return keyed.select("pool", "block", "page_id", "site", "blob").repartition("pool", "block").sortWithinPartitions("pool", "block", "page_id")
+    # the blocks of a host count together, a block of small hosts by itself
+    return keyed.select("pool", "block", "page_id", "site", "blob", ((blocks > 1) & (F.col("pool") != "")).alias("many"))
+
+
+def _parsed(table: pa.Table) -> list[tuple]:
+    """(page_id, site, ids, parents, tokens, layout tokens, kinds, residue, extra) by page."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("page_id", "site", "blob")), strict=True), key=lambda r: r[0])
+    return [(pid, site, *marshal.loads(blob)) for pid, site, blob in rows]
+
+
+def _streams(parsed: list[tuple]) -> list[tuple]:
+    return [(p[1], p[3], p[4], p[5], p[6]) for p in parsed]
+
+
+def _keys(table: pa.Table, n: int) -> list[pa.Array]:
+    return [pa.array([table.column(c)[0].as_py()] * n, t) for c, t in (("pool", pa.string()), ("block", pa.int32()))]
+
+
+def frequent_runs(blocks: DataFrame) -> DataFrame:
+    """(pool, block, prints): of the runs and links of each block those that LEAST pages of
+    the host have, in whatever blocks these are."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        many = table.column("many")[0].as_py()
+        prints, n = proposed_runs(_streams(_parsed(table)), 1 if many else LEAST if table.column("pool")[0].as_py() else LEAST_POOLED)
+        return pa.Table.from_arrays([*_keys(table, len(prints)), pa.array(prints), pa.array(n, pa.int64()), pa.array([many] * len(prints), pa.bool_())], names=["pool", "block", "print", "n", "many"])
+
+    rows = blocks.groupBy("pool", "block").applyInArrow(propose, "pool string, block int, print bigint, n bigint, many boolean")
+    # as many rows in a group as the host has blocks
+    on_host = F.sum("n").over(Window.partitionBy("pool", "print"))
+    merged = rows.where("many").withColumn("n", on_host).where(F.col("n") >= LEAST).unionByName(rows.where("not many"))
+    return merged.groupBy("pool", "block").agg(F.collect_list("print").alias("prints"))
+
+
+def _frequent(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("prints")[0].as_py() if table.num_rows else [], np.int64)
+
+
+def layout_sums(blocks: DataFrame, runs: DataFrame) -> DataFrame:
+    """(pool, block, prints, path, sums): as ``runs``, and for the layout paths of each block
+    of a host of several the sums over all its blocks."""
+
+    def summed(table: pa.Table, known: pa.Table) -> pa.Table:
+        sums = Block(_streams(_parsed(table)), _frequent(known)).sums if table.num_rows else {}
+        cols = zip(*sums.values(), strict=True) if sums else [[]] * 4
+        return pa.Table.from_arrays([*(_keys(table, len(sums)) if sums else [pa.array([], pa.string()), pa.array([], pa.int32())]), pa.array(list(sums), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["pool", "block", "path", "s0", "s1", "s2", "s3"])
+
+    rows = blocks.where("many").groupBy("pool", "block").cogroup(runs.groupBy("pool", "block")).applyInArrow(summed, "pool string, block int, path bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    on_host = Window.partitionBy("pool", "path")
+    rows = rows.select("pool", "block", "path", *(F.sum(f"s{j}").over(on_host).alias(f"s{j}") for j in range(4)))
+    return rows.groupBy("pool", "block").agg(F.collect_list(F.array("path", "s0", "s1", "s2", "s3")).alias("sums"))
 
 
 def map_blocks(blocks: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
-    """``rows_of(block, summaries)`` yields tuples of ``schema`` for each block."""
+    """``rows_of(block, summaries)`` yields tuples of ``schema`` for each block. What is
+    repeated, and the sums by layout, are merged over the blocks of a host before."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    runs = scratch_table(frequent_runs(blocks), "runs")
+    none = F.lit(None)
+    known = runs.select("pool", "block", "prints", none.cast("array<array<bigint>>").alias("sums"))
+    known = known.unionByName(layout_sums(blocks, runs).select("pool", "block", none.cast("array<bigint>").alias("prints"), "sums"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-        key, group = None, []
-
-        def finish():
-            parsed = [(pid, site, *marshal.loads(blob)) for pid, site, blob in group]
-            block = Block([(p[1], p[3], p[4], p[5], p[6]) for p in parsed], key[0] == "")
-            out.extend(rows_of(block, parsed))
-
-        for batch in batches:
-            for pool, b, pid, site, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (pool, b) != key:
-                    if group:
-                        finish()
-                    key, group = (pool, b), []
-                    if len(out) > 8192:
-                        yield flush()
-                        out.clear()
-                group.append((pid, site, blob))
-        if group:
-            finish()
-        if out:
-            yield flush()
-
-    return blocks.mapInArrow(run, schema)
+        if table.num_rows:
+            parsed = _parsed(table)
+            prints = [x for v in known.column("prints").to_pylist() for x in v or ()]
+            sums = {x[0]: x[1:] for v in known.column("sums").to_pylist() for x in v or ()} if table.column("many")[0].as_py() else None
+            out.extend(rows_of(Block(_streams(parsed), np.array(prints, np.int64), sums), parsed))
+        cols = zip(*out, strict=True) if out else [[]] * len(arrow)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return blocks.groupBy("pool", "block").cogroup(known.groupBy("pool", "block")).applyInArrow(run, schema)
 
 
 def _removed_rows(block: Block, parsed):

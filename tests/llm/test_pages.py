@@ -136,6 +136,24 @@ def test_boilerplate(spark, node_table, lang_samples, no_nodes, contents):
     assert boilerplate.boilerplate_nodes(nodes, urls.limit(0), lang_samples).count() == 30 * 7  # by endpoint
 
 
+def test_what_is_rare_in_blocks_is_merged_over_the_host(spark, node_table, lang_samples, contents, monkeypatch):
+    monkeypatch.setattr(boilerplate, "BLOCK_PAGES", 4)
+    box = '<aside><p>Sign up for the letter</p><p>Every week</p><p>No spam at all</p></aside>'
+    pages = [(i, site(i, box if i % 12 == 0 else "")) for i in range(48)]  # on 4 pages of 48, in blocks of some 4
+    nodes = node_table(pages)
+    urls = spark.createDataFrame([(i, "https://www.site.example/x") for i, _ in pages], "page_id bigint, url string")
+    found = [t for _, t in contents(boilerplate.boilerplate_nodes(nodes, urls, lang_samples), nodes)]
+    assert [found.count(t) for t in ("Sign up for the letter", "Every week", "No spam at all", "Home", "Imprint")] == [4, 4, 4, 48, 48]
+
+
+@pytest.mark.parametrize("size", [11, 12, 39, 40])
+def test_support_is_the_same_on_hosts_of_every_size(size):
+    page = lambda k, extra: ("s", [-1] * 4, [100 * k + j for j in range(4)] if not extra else [1, 2, 3, 4], [0] * 4, [0, 3, 0, 3])
+    for on in (2, 3):
+        prints, n = boilerplate.proposed_runs([page(k + 1, k < on) for k in range(size)], boilerplate.LEAST)
+        assert n.tolist() == ([3] if on == 3 else [])
+
+
 def test_sites():
     assert boilerplate.site_of("HTTPS://u@WWW.A.example:80/x?y", None) == "www.a.example"
     assert boilerplate.site_of(None, "b.example") == "b.example" and boilerplate.site_of(None, "pool-1") == "" and boilerplate.site_of(None, None) == ""
