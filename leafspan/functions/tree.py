@@ -4,6 +4,8 @@ parenting, template contents and foreign content. Never fails and runs no script
 
 from __future__ import annotations
 
+from collections import deque
+
 from . import tags as T
 from .options import ParseOptions, TokenFilter
 from .tokenizer import CDATA, COMMENT, DOCTYPE, END, EOF, PI, START, TEXT, Tokenizer
@@ -1252,18 +1254,24 @@ COLUMNS = ("node_id", "parent_id", "sub_end", "depth", "child_no", "kind", "node
 
 
 def parse_nodes(html: str | None, options: ParseOptions | None = None, token_filter: TokenFilter | None = None, ancestors: bool = True) -> list[tuple]:
-    """The nodes of a document as rows in document order (``COLUMNS``). Text of only
-    white space is dropped unless asked for; template contents follow their template,
-    carry its node_id in ``template_of`` and lie outside every ``sub_end`` but their
-    own. Null html gives no rows."""
+    """The nodes of a document as rows (``COLUMNS``): the tree in document order, behind it
+    the contents of each template in the order of the templates, and behind these what
+    templates within them hold. So no ``sub_end`` but that of a node of the contents
+    covers any of them, and walks from outside pass a template by. Contents carry the
+    template's node_id as parent and in ``template_of``. Text of only white space is
+    dropped unless asked for. Null html gives no rows. ``ancestors`` (nearest first, the
+    template's included) grow with the square of the depth; they are null if not wanted."""
     if html is None:
         return []
     o = options or ParseOptions()
     root = TreeBuilder(html, o, token_filter).run()
     rows: list[list] = []
-    # explicit stack: (node, parent id, depth, child number, owning template, ancestors)
+    # explicit stack: (node, parent id, depth, child number, template, ancestors)
     work: list = [(root, None, 0, 0, None, ())]
-    while work:
+    later: deque = deque()
+    while work or later:
+        if not work:
+            work += later.popleft()
         item = work.pop()
         if item[0] is None:
             rows[item[1]][2] = len(rows) - 1  # every node below is out by now
@@ -1284,9 +1292,9 @@ def parse_nodes(html: str | None, options: ParseOptions | None = None, token_fil
             T.flags_of(node.name, node.ns) if element or is_doc else 0,
             node.ns if element else None, owner, up if ancestors else None, node.pos if o.positions else None,
         ])
-        below = (at, *up)
+        below = (at, *up) if ancestors else up
         if node.content:
-            work += [(c, at, depth + 1, k, owner if owner is not None else at, below) for k, c in reversed(list(enumerate(_kept(node.content, o))))]
+            later.append([(c, at, depth + 1, k, at, below) for k, c in reversed(list(enumerate(_kept(node.content, o))))])
         if node.children:
             work.append((None, at))
             work += [(c, at, depth + 1, k, owner, below) for k, c in reversed(list(enumerate(_kept(node.children, o))))]

@@ -34,6 +34,7 @@ def serialize(nodes: DataFrame, key: str = "page_id", newline: str = "\n") -> Da
             F.struct(F.col("node_id").alias("at"), F.lit(0).alias("ends"), F.col("node_id").alias("order"), opening.alias("s")),
             F.struct(F.col("sub_end").alias("at"), F.lit(1).alias("ends"), (-F.col("node_id")).alias("order"), closing.alias("s")),
         )),
-    ).where("s is not null").distinct()
-    grouped = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ends", "order", "s"))).alias("l"))
+    ).where("s is not null")
+    # copies collapse before the one exchange, by page
+    grouped = events.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("at", "ends", "order", "s"))).alias("l"))
     return grouped.select(key, F.array_join(F.transform("l", lambda x: x["s"]), "").alias("markup"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,15 +33,26 @@ def _query(sql: str | None = None):
     return add
 
 
+def _raw_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as they are, for queries whose few result rows per page collapse instead."""
+    return table(spark, d, "pages").select("page_id", "html")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pages; exact duplicate rows are parsed once."""
-    return table(spark, d, "pages").distinct()
+    """Distinct pages; only those that occur more than once are exchanged."""
+    return H.distinct_pages(_raw_pages(spark, d))
+
 
+def _raw_nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Node rows of the columns wanted, for operators that collapse copies themselves."""
+    return table(spark, d, "nodes").select("page_id", "node_id", *columns)
 
-def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Distinct nodes, of the columns wanted. Repeated rows collapse before the exchange,
-    so that a page with very many copies is no larger than another behind it."""
-    return table(spark, d, "nodes").select("page_id", "node_id", *columns).distinct()
+
+def _nodes(spark: SparkSession, d: str, *columns: str, where: str | Column | None = None) -> DataFrame:
+    """Distinct nodes that pass ``where``, of the columns wanted, together by page: one
+    exchange, which the window, group or join behind it reuses."""
+    t = table(spark, d, "nodes")
+    return Q.by_page(t if where is None else t.where(where), "node_id", *columns)
 
 
 _N = "n as (select distinct page_id, node_id, parent_id, sub_end, depth, child_no, kind, local_name, attrs, content from nodes)"
@@ -72,11 +83,11 @@ def q_nodes(spark, d):
 
 @_query(f"with {_N} select page_id, count(*) as n_nodes, count(*) filter (kind = 'element') as n_elements, max(depth) as max_depth from n group by page_id")
 def q_nested_counts(spark, d):
-    pages = H.parse_nested(_pages(spark, d)).where("nodes is not null")
+    pages = H.parse_nested(_raw_pages(spark, d)).where("nodes is not null")
     return pages.select(
         "page_id", F.size("nodes").cast("bigint").alias("n_nodes"), F.size(F.filter("nodes", lambda x: x["kind"] == "element")).cast("bigint").alias("n_elements"),
         F.array_max(F.transform("nodes", lambda x: x["depth"])).alias("max_depth"),
-    )
+    ).distinct()
 
 
 @_query(f"with {_N} select page_id, local_name, count(*) as n from n where kind = 'element' group by 1, 2")
@@ -87,7 +98,7 @@ def q_tag_counts(spark, d):
 @_query(f"""with {_N}, b as (select page_id, node_id, sub_end from n where kind = 'element' and local_name = 'body' and depth = 2)
 select n.page_id, count(*) as n_elements from n join b on n.page_id = b.page_id and n.node_id >= b.node_id and n.node_id <= b.sub_end and n.kind = 'element' group by 1""")
 def q_body_subtree(spark, d):
-    nodes = Q.query_all(_nodes(spark, d, "sub_end", "kind", "local_name"), start=P.tag("body"))
+    nodes = Q.query_all(_raw_nodes(spark, d, "sub_end", "kind", "local_name"), start=P.tag("body"))
     return nodes.where("kind = 'element'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_elements"))
 
 
@@ -166,24 +177,25 @@ def q_token_filter_delegate(spark, d):
 # ------------------------------------------------------------------ scans and projections
 @_query(f"with {_N} select page_id, node_id, unnest(attrs).name as name, unnest(attrs).value as value, generate_subscripts(attrs, 1) - 1 as attr_no from n where kind = 'element'")
 def q_attributes(spark, d):
-    return Q.attributes(_nodes(spark, d, "kind", "attrs").where("kind = 'element'")).withColumn("attr_no", F.col("attr_no").cast("bigint"))
+    return Q.attributes(_nodes(spark, d, "attrs", where="kind = 'element'")).withColumn("attr_no", F.col("attr_no").cast("bigint"))
 
 
 @_query(f"with {_N} select page_id, {_ATTR.format('lang')} as lang from n where local_name = 'html' and kind = 'element'")
 def q_attr_lang(spark, d):
-    return _nodes(spark, d, "kind", "local_name", "attrs").where(P.tag("html").on_row()).select("page_id", filters.attribute("lang").alias("lang"))
+    html = table(spark, d, "nodes").where(P.tag("html").on_row())
+    return html.select("page_id", "node_id", filters.attribute("lang").alias("lang")).distinct().drop("node_id")
 
 
 @_query(f"with {_N} select page_id, node_id, {_ATTR.format('charset')} as charset from n where local_name = 'meta' and list_contains(list_transform(attrs, lambda x: x.name), 'charset')")
 def q_attr_charset(spark, d):
-    n = _nodes(spark, d, "kind", "local_name", "attrs").where((P.tag("meta") & P.with_attr("charset")).on_row())
-    return n.select("page_id", "node_id", filters.attribute("charset").alias("charset"))
+    meta = table(spark, d, "nodes").where((P.tag("meta") & P.with_attr("charset")).on_row())
+    return meta.select("page_id", "node_id", filters.attribute("charset").alias("charset")).distinct()
 
 
 @_query(f"with {_N} select page_id, node_id, coalesce({_ATTR.format('href')}, '') as href, len(attrs) > 0 and list_contains(list_transform(attrs, lambda x: x.name), 'class') as has_class from n where kind = 'element' and local_name = 'a'")
 def q_links_href(spark, d):
-    n = _nodes(spark, d, "kind", "local_name", "attrs").where(P.tag("a").on_row())
-    return n.select("page_id", "node_id", P.get_attribute("href").alias("href"), P.has_attribute("class").alias("has_class"))
+    links = table(spark, d, "nodes").where(P.tag("a").on_row())
+    return links.select("page_id", "node_id", P.get_attribute("href").alias("href"), P.has_attribute("class").alias("has_class")).distinct()
 
 
 @_query(f"with {_N} select page_id, parent_id, count(*) as n_children from n where parent_id is not null group by 1, 2")
@@ -223,7 +235,8 @@ select i.page_id, i.class_name, count(e.page_id) as n from i left join e on e.pa
 def q_class_inputs(spark, d):
     """How many elements of its page each class input matches, by class tokens and whole
     values; an equi-join on (page, class) over the exploded tokens."""
-    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'").select("page_id", "node_id", filters.attribute("class").alias("cls")).where("cls is not null")
+    n = table(spark, d, "nodes").where("kind = 'element'").select("page_id", "node_id", filters.attribute("class").alias("cls")).where("cls is not null")
+    n = Q.by_page(n)
     values = F.array_distinct(F.array_append(helpers.split_set("cls", "\t\n\r\f "), F.col("cls")))
     hits = n.select("page_id", "node_id", F.explode(values).alias("class_name"))
     counts = hits.groupBy("page_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
@@ -249,15 +262,15 @@ _PREDICATES = {
 @_query(f"with {_N} " + " union all ".join(f"select '{k}' as predicate, page_id, node_id from n where kind = 'element' and coalesce({sql}, false)" for k, (_, sql) in _PREDICATES.items()))
 def q_predicates(spark, d):
     """All predicates in one scan."""
-    n = _nodes(spark, d, "kind", "local_name", "attrs", "depth", "child_no").where("kind = 'element'")
+    n = table(spark, d, "nodes").where("kind = 'element'")
     hits = F.array_compact(F.array(*[F.when(p.on_row(), F.lit(k)) for k, (p, _) in _PREDICATES.items()]))
-    return n.select("page_id", "node_id", F.explode(hits).alias("predicate"))
+    return n.select("page_id", "node_id", F.explode(hits).alias("predicate")).distinct()
 
 
 @_query(f"with {_N}, s as (select page_id, node_id, list_sort(list_transform(attrs, lambda x: x.name || chr(1) || x.value)) as a from n where kind = 'element' and len(attrs) > 0) select x.page_id, x.node_id, y.node_id as twin from s x join s y on x.page_id = y.page_id and y.node_id = x.node_id + 1 and x.a = y.a")
 def q_same_attributes(spark, d):
     w = Window.partitionBy("page_id").orderBy("node_id")
-    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'")
+    n = _nodes(spark, d, "attrs", where="kind = 'element'")
     n = n.withColumn("twin", F.lead("node_id").over(w)).withColumn("theirs", F.lead("attrs").over(w))
     return n.where((F.col("twin") == F.col("node_id") + 1) & (F.size("attrs") > 0) & P.same_attributes(F.col("attrs"), F.col("theirs"))).select("page_id", "node_id", "twin")
 
@@ -276,31 +289,32 @@ def _is(tag: str) -> str:
 
 @_query(_chain_sql(_is("nav"), _is("li"), _is("a")))
 def q_chain_nav_li_a(spark, d):
-    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    n = _raw_nodes(spark, d, "sub_end", "kind", "local_name")
     return Q.query_all(n, P.tag("nav"), P.tag("li"), P.tag("a")).select("page_id", "node_id")
 
 
 @_query(_chain_sql(_is("nav"), _is("li"), _is("a")))
 def q_chain_nested(spark, d):
-    pages = Q.query_all_nested(H.parse_nested(_pages(spark, d)), P.tag("nav"), P.tag("li"), P.tag("a"))
-    return pages.select("page_id", F.explode("nodes").alias("x")).select("page_id", F.col("x.node_id").alias("node_id"))
+    pages = Q.query_all_nested(H.parse_nested(_raw_pages(spark, d)), P.tag("nav"), P.tag("li"), P.tag("a"))
+    return pages.select("page_id", F.explode("nodes").alias("x")).select("page_id", F.col("x.node_id").alias("node_id")).distinct()
 
 
 @_query(_chain_sql(_is("div"), _is("div"), _is("a")))
 def q_chain_div_div_a(spark, d):
-    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    n = _raw_nodes(spark, d, "sub_end", "kind", "local_name")
     return Q.query_all(n, P.tag("div"), P.tag("div"), P.tag("a")).select("page_id", "node_id")
 
 
 @_query(_chain_sql(f"{_is('section')} and list_contains({_TOKS}, 'related')", _is("ul"), _is("a")))
 def q_chain_class(spark, d):
-    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
-    return Q.query_all(n, P.tag_class("section", "related"), P.tag("ul"), P.tag("a")).select("page_id", "node_id")
+    # the class is looked at where the row is read; only the verdict goes on
+    n = table(spark, d, "nodes").select("page_id", "node_id", "sub_end", "kind", "local_name", P.tag_class("section", "related").on_row().alias("related"))
+    return Q.query_all(n, P.where(lambda f: f("related")), P.tag("ul"), P.tag("a")).select("page_id", "node_id")
 
 
 @_query(f"with {_N}, b as (select page_id, node_id, sub_end from n where kind = 'element' and local_name = 'body') select n.page_id, min(n.node_id) as node_id from n join b on n.page_id = b.page_id and n.node_id >= b.node_id and n.node_id <= b.sub_end where n.kind = 'element' and n.local_name = 'a' group by 1")
 def q_query_one_first_link(spark, d):
-    n = _nodes(spark, d, "sub_end", "kind", "local_name", "attrs")
+    n = _raw_nodes(spark, d, "sub_end", "kind", "local_name")
     return Q.query_one(n, P.tag("a"), start=P.tag("body")).select("page_id", "node_id")
 
 
@@ -312,8 +326,7 @@ select page_id, node_id, {whole} as text from j group by 1, 2"""
 
 
 def _texts(spark, d, pred, trim, **more):
-    n = _nodes(spark, d, "sub_end", "kind", "local_name", "content")
-    return T.text_content(n, n.where(pred.on_row()), trim, **more)
+    return T.text_content(_raw_nodes(spark, d, "sub_end", "kind", "local_name", "content"), pred, trim, **more)
 
 
 @_query(_text_sql(_is("title")))
@@ -357,7 +370,7 @@ select page_id, node_id as place, 0 as ends, node_id as ord, case when kind = 'd
 union all select page_id, sub_end, 1, -node_id, case when kind = 'document' then '</#document>' || chr(10) else '</' || local_name || '>' || chr(10) end from n where kind in ('element', 'document'))
 select page_id, string_agg(s, '' order by place, ends, ord) as markup from e group by 1""")
 def q_print_document(spark, d):
-    return serialize(_nodes(spark, d, "sub_end", "kind", "local_name", "attrs", "content"))
+    return serialize(_raw_nodes(spark, d, "sub_end", "kind", "local_name", "attrs", "content"))
 
 
 # ------------------------------------------------------------------ downloads and helpers
@@ -365,13 +378,14 @@ _DL = "dl as (select distinct * from downloads)"
 _HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
 
 
-def _downloads(spark, d):
-    return table(spark, d, "downloads").distinct()
+def _downloads(spark, d, *columns: str):
+    """Distinct downloads by their key and the columns wanted."""
+    return table(spark, d, "downloads").select("download_id", *columns).distinct()
 
 
 @_query(f"with {_DL} select download_id, coalesce(endpoint_id, {_HOST}, 'unknown') as endpoint from dl")
 def q_endpoint_key(spark, d):
-    return _downloads(spark, d).select("download_id", helpers.endpoint_key().alias("endpoint"))
+    return _downloads(spark, d, "endpoint_id", "url").select("download_id", helpers.endpoint_key().alias("endpoint"))
 
 
 _RING = f"""with {_DL}, k as (select *, coalesce(endpoint_id, {_HOST}, 'unknown') as endpoint from dl),
@@ -382,14 +396,14 @@ select """
 @_query(_RING + "download_id, endpoint, ring_avg from r")
 def q_ring_avg(spark, d):
     """The ring cut by day, so that a hot endpoint is sorted in many tasks."""
-    k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
+    k = _downloads(spark, d, "endpoint_id", "url", "total_bytes", "received_at").withColumn("endpoint", helpers.endpoint_key())
     r = helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"], slice_of=F.to_date("received_at"))
     return r.select("download_id", "endpoint", "ring_avg")
 
 
 @_query(_RING + "download_id, coalesce(ring_avg, content_length, expected_size, 0) as size_hint from r")
 def q_size_hint(spark, d):
-    k = _downloads(spark, d).withColumn("endpoint", helpers.endpoint_key())
+    k = _downloads(spark, d, "endpoint_id", "url", "total_bytes", "received_at", "content_length", "expected_size").withColumn("endpoint", helpers.endpoint_key())
     r = helpers.ring_average(k, "total_bytes", "endpoint", ["received_at", "download_id"], slice_of=F.to_date("received_at"))
     return r.select("download_id", helpers.size_hint("ring_avg", "content_length", "expected_size").alias("size_hint"))
 
@@ -399,7 +413,7 @@ def q_size_hint(spark, d):
 select download_id, case when length(c) > 2 and starts_with(c, '"') and ends_with(c, '"') then substring(c, 2, length(c) - 2) else c end as charset from h"""
 )
 def q_header_charset(spark, d):
-    return _downloads(spark, d).select("download_id", charset.header_charset().alias("charset"))
+    return _downloads(spark, d, "content_type").select("download_id", charset.header_charset().alias("charset"))
 
 
 @_query("select distinct page_id, md5(html) as h, md5(html) as h_latin, md5(html) as h16 from pages where html is not null and not regexp_matches(html, '[^\\x00-\\xff]')")
@@ -417,7 +431,7 @@ def q_charset_decode(spark, d):
 
 @_query(f"with p as (select distinct page_id, url from pages), h as (select page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) as host from p) select page_id, replace(replace(replace(replace(host, 'www.', ''), '.com', ''), '.de', ''), '.org', '') || '.html' as file from h where coalesce(host, '') <> ''")
 def q_cache_name(spark, d):
-    return _pages(spark, d).select("page_id", cache_name().alias("file")).where("file is not null")
+    return table(spark, d, "pages").select("page_id", cache_name().alias("file")).where("file is not null").distinct()
 
 
 @_query(
@@ -426,7 +440,7 @@ select page_id, node_id, contains(upper(content), upper('the ')) as has, len(a)
 trim(content, {_SPACES}) = '' as blank from w"""
 )
 def q_text_helpers(spark, d):
-    n = _nodes(spark, d, "kind", "content").where("kind = 'text'")
+    n = _nodes(spark, d, "content", where="kind = 'text'")
     a, b = helpers.split_set("content", " ,."), helpers.split_on("content", " the ")
     return n.select(
         "page_id", "node_id", helpers.contains_i("content", "the ").alias("has"), F.size(a).cast("bigint").alias("n_pieces"), helpers.try_at(a, 1).alias("second"), helpers.try_at(a, 99).alias("far"),
@@ -436,7 +450,7 @@ def q_text_helpers(spark, d):
 
 @_query(f"with {_DL} select download_id, case when coalesce(endpoint_id, '') = '' then content_type else coalesce(endpoint_id || ':' || content_type, endpoint_id) end as name from dl")
 def q_combine(spark, d):
-    return _downloads(spark, d).select("download_id", helpers.combine("endpoint_id", "content_type").alias("name"))
+    return _downloads(spark, d, "endpoint_id", "content_type").select("download_id", helpers.combine("endpoint_id", "content_type").alias("name"))
 
 
 # ------------------------------------------------------------------ what drives the reference's tests
@@ -452,23 +466,25 @@ def q_file_tag_counts(spark, d):
     return counts.select("page_id", F.explode(F.create_map(*[x for t in _TAGS for x in (F.lit(t), F.col(t))])).alias("tag", "n"))
 
 
+# fixed values: what names in the reference's tests may not hold, and how many a page uses
+_MOST_IDS = 75
 _BAD_NAME = r"""[:()\[\]%/.! ?&'",]"""
 
 
 @_query(f"""with {_N}, i as (select page_id, {_ATTR.format('id')} as ident, min(node_id) as first from n where kind = 'element' and {_ATTR.format('id')} is not null group by 1, 2),
-g as (select * from i where not regexp_matches(ident, '{_BAD_NAME.replace(chr(39), chr(39) * 2)}')), r as (select *, row_number() over (partition by page_id order by first) as k from g) select page_id, ident, k from r where k <= 75""")
+g as (select * from i where not regexp_matches(ident, '{_BAD_NAME.replace(chr(39), chr(39) * 2)}')), r as (select *, row_number() over (partition by page_id order by first) as k from g) select page_id, ident, k from r where k <= {_MOST_IDS}""")
 def q_ids_at_most_75(spark, d):
     """The ids a page's tests use: distinct, of harmless characters, the first 75."""
-    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'").select("page_id", "node_id", filters.attribute("id").alias("ident")).where("ident is not null")
+    n = Q.by_page(table(spark, d, "nodes").where("kind = 'element'").select("page_id", "node_id", filters.attribute("id").alias("ident")).where("ident is not null"))
     ids = n.where(~F.col("ident").rlike(_BAD_NAME)).groupBy("page_id", "ident").agg(F.min("node_id").alias("first"))
-    return ids.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("first")).cast("bigint")).where("k <= 75").select("page_id", "ident", "k")
+    return ids.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("first")).cast("bigint")).where(F.col("k") <= _MOST_IDS).select("page_id", "ident", "k")
 
 
 @_query(f"with {_N}, e as (select page_id, node_id, local_name from n where kind = 'element'), z as (select page_id, node_id, local_name as a, lead(local_name) over w as b, lead(local_name, 2) over w as c from e window w as (partition by page_id order by node_id)) select a, b, c, count(*) as n from z where b is not null group by 1, 2, 3")
 def q_zip_tags(spark, d):
     """Sliding pairs and triples of a page's elements."""
     w = Window.partitionBy("page_id").orderBy("node_id")
-    e = _nodes(spark, d, "kind", "local_name").where("kind = 'element'")
+    e = _nodes(spark, d, "local_name", where="kind = 'element'")
     z = e.select(F.col("local_name").alias("a"), F.lead("local_name").over(w).alias("b"), F.lead("local_name", 2).over(w).alias("c"))
     return z.where("b is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
 
@@ -476,7 +492,7 @@ def q_zip_tags(spark, d):
 @_query(f"""with {_N}, i as (select distinct page_id, class_name from class_inputs where class_name is not null), e as (select page_id, {_TOKS} as toks from n where kind = 'element')
 select i.page_id, i.class_name from i where not exists (select 1 from e where e.page_id = i.page_id and list_contains(e.toks, i.class_name))""")
 def q_class_inputs_missing(spark, d):
-    n = _nodes(spark, d, "kind", "attrs").where("kind = 'element'")
+    n = table(spark, d, "nodes").where("kind = 'element'")
     toks = n.select("page_id", F.explode(helpers.split_set(F.coalesce(filters.attribute("class"), F.lit("")), "\t\n\r\f ")).alias("class_name"))
     inputs = table(spark, d, "class_inputs").where("class_name is not null").select("page_id", "class_name").distinct()
     return inputs.join(toks, ["page_id", "class_name"], "left_anti")

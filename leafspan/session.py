@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,11 +55,16 @@ def scratch_table(df: DataFrame, label: str, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes whose partitions are not those of a scan.
+_MOVED = re.compile(r"\b(?:Aggregate|Join|Window|Repartition\w*|Distinct|Sort|Deduplicate)\b")
+
+
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """A table that a scan would read in fewer tasks than there are cores (a small file, or
     one file), dealt out to ``tasks`` of them. Large tables are left as they are: their
-    scan has tasks enough, and moving the rows would cost a shuffle."""
-    if df.isStreaming:
+    scan has tasks enough, and moving the rows would cost a shuffle. So is whatever a
+    shuffle or a join has made; asking for its partitions would run it."""
+    if df.isStreaming or _MOVED.search(df._jdf.queryExecution().optimizedPlan().toString()):
         return df
     tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -19,11 +19,15 @@ def html_bodies(spark: SparkSession, path: str, content_type: str | None = None,
     return raw.select(F.col("path").alias("file"), decode("content", F.lit(content_type).cast("string"), on_unknown).alias("html"), F.col("length").alias("n_bytes"))
 
 
+# fixed values: parts of a host that its file's name leaves out
+DROPPED_PARTS = ("www.", ".com", ".de", ".org")
+
+
 def cache_name(url: str | Column = "url", extension: str = ".html") -> Column:
     """The file a page of a url is cached as: its host without ``www. .com .de .org``."""
     u = F.col(url) if isinstance(url, str) else url
     host = F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
-    for part in ("www.", ".com", ".de", ".org"):
+    for part in DROPPED_PARTS:
         host = F.replace(host, F.lit(part), F.lit(""))
     return F.when(host != "", F.concat(host, F.lit(extension)))
 

@@ -55,6 +55,28 @@ def _rows(df: DataFrame, key: str, kind: str, columns: str, of) -> DataFrame:
     return df.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+#: Ids of repeated pages that are broadcast (some 64 MB); beyond, all pages are exchanged.
+MAX_REPEATED = 4_000_000
+
+
+def distinct_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The distinct rows of ``pages``. A pass over the key alone finds which pages occur more
+    than once; only their rows are exchanged to collapse, all others go straight from
+    the scan to the parser. The ids are broadcast if their number, which is counted
+    first, is within MAX_REPEATED; else all rows are exchanged. A stream is left as it is."""
+    if pages.isStreaming:
+        return pages
+    pages = spread(pages)
+    repeated = pages.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_k")
+    many = repeated.limit(MAX_REPEATED + 1).count()
+    if many > MAX_REPEATED:
+        return pages.distinct()
+    if not many:
+        return pages
+    hit = F.col(key).eqNullSafe(F.col("_k"))
+    return pages.join(F.broadcast(repeated), hit, "left_anti").unionByName(pages.join(F.broadcast(repeated), hit, "left_semi").distinct())
+
+
 def tokenize(pages: DataFrame, html: str | Column = "html", key: str = "page_id", options: ParseOptions | None = None, length: str | Column | None = None) -> DataFrame:
     """(key, tok_no, type, name, self_closing, attrs, data): the tokens of each page, the
     last of which is ``eof``. Null html gives none, empty html only ``eof``. Repeated
@@ -82,13 +104,14 @@ def parse(
     ``token_filter`` drops everything but one subtree before nodes exist and stops the
     tokenizer behind it; ``length`` (a column) parses only so many characters.
     ``columns`` names the node columns wanted: what isn't is neither built nor sent.
+    ``ancestors`` is null unless named there, as it grows with the square of the depth.
     Null html gives no rows, empty html the document with html, head and body;
     malformed pages never fail. Repeated rows give their nodes again."""
     o = options or ParseOptions()
     names = list(columns or COLUMNS)
     pick = [COLUMNS.index(c) for c in names]
     ddl = {c.strip().split(" ")[0]: c.strip() for c in NODES.split(", ")}
-    up = "ancestors" in names
+    up = "ancestors" in (columns or ())
 
     def of(h):
         rows = parse_nodes(h, o, token_filter, up)
@@ -98,9 +121,10 @@ def parse(
     return _rows(df, key, kind, ", ".join(ddl[c] for c in names), of)
 
 
-def parse_nested(pages: DataFrame, html: str | Column = "html", key: str = "page_id", options: ParseOptions | None = None, token_filter: TokenFilter | None = None) -> DataFrame:
+def parse_nested(pages: DataFrame, html: str | Column = "html", key: str = "page_id", options: ParseOptions | None = None, token_filter: TokenFilter | None = None, ancestors: bool = False) -> DataFrame:
     """(key, nodes ARRAY<STRUCT>): one row for each page; a node's position in the array is
-    its node_id, so ``ancestors`` are positions. Null html gives a null array."""
+    its node_id, so ``parent_id`` and ``ancestors`` (null unless wanted) are positions.
+    Null html gives a null array."""
     o = options or ParseOptions()
     df, kind = _keyed(pages, key, html, None)
     schema = f"k {kind}, nodes array<{NODE_STRUCT}>"
@@ -113,7 +137,7 @@ def parse_nested(pages: DataFrame, html: str | Column = "html", key: str = "page
                 out = []
                 for h in part.column(1):
                     h = h.as_py()
-                    out.append(None if h is None else [dict(zip(COLUMNS, (*r[:8], None if r[8] is None else [{"name": a, "value": b} for a, b in r[8]], *r[9:]), strict=True)) for r in parse_nodes(h, o, token_filter)])
+                    out.append(None if h is None else [dict(zip(COLUMNS, (*r[:8], None if r[8] is None else [{"name": a, "value": b} for a, b in r[8]], *r[9:]), strict=True)) for r in parse_nodes(h, o, token_filter, ancestors)])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(out, arrow.field(1).type)], schema=arrow)
 
     return df.mapInArrow(run, schema).withColumnRenamed("k", key)
