@@ -16,7 +16,7 @@ from ..operators import filters, helpers, predicates as P, query as Q, text as T
 from ..operators.serialize import serialize
 from ..session import scratch_dir, table
 from ..sources import charset, html as H
-from ..sources.files import cache_name
+from ..sources.files import cache_name, with_cached
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -102,16 +102,19 @@ def q_body_subtree(spark, d):
     return nodes.where("kind = 'element'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_elements"))
 
 
-@_query()
+@_query(f"""with {_N}, b as (select n.page_id, node_id as b, sub_end as e from n where kind = 'element' and local_name = 'body' and depth = 2),
+x as (select n.page_id, n.node_id, n.parent_id, n.kind, n.local_name, {_ATTR.format('id')} as ident from n join b on n.page_id = b.page_id and n.node_id >= b.b and n.node_id <= b.e left join n u on u.page_id = n.page_id and u.node_id = n.parent_id
+  where n.kind in ('element', 'text') and not (n.kind = 'text' and u.local_name in ('script', 'style', 'xmp', 'iframe', 'noembed', 'noframes', 'title', 'textarea', 'plaintext'))),
+y as (select *, lag(kind) over (partition by page_id, parent_id order by node_id) as last from x), z as (select * from y where not (kind = 'text' and coalesce(last, '') = 'text')),
+r as (select *, 2 + row_number() over (partition by page_id order by node_id) as k from z)
+select r.page_id, r.k as node_id, coalesce(u.k, 1) as parent_id, r.kind, r.local_name, case when r.kind = 'element' then coalesce(r.ident, '') end as ident from r left join r u on u.page_id = r.page_id and u.node_id = r.parent_id
+union all select page_id, unnest([0, 1, 2]), unnest([null, 0, 1]), unnest(['document', 'element', 'element']), unnest(['#document', 'html', 'head']), unnest([null, '', '']) from b""".replace("{_ATTR", "{_ATTR").replace("n.kind, n.local_name, list_filter(attrs", "n.kind, n.local_name, list_filter(n.attrs"))
 def q_parse_body_id_only(spark, d):
     """The benchmark's parse: only ``body``, no comments and scripts, only ids."""
     o = ParseOptions(skip_comments=True, skip_script_text=True, skip_raw_text=True, skip_rcdata_text=True, skip_cdata=True, skip_plaintext=True, keep_attrs={"id"})
-    return H.parse(_pages(spark, d), options=o, token_filter=first_tag("body"), columns=["node_id", "parent_id", "kind", "local_name", "attrs"])
-
-
-@_query()
-def q_tokens(spark, d):
-    return H.tokenize(_pages(spark, d)).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return H.parse(_pages(spark, d), options=o, token_filter=first_tag("body"), columns=["node_id", "parent_id", "kind", "local_name", "attrs"]).select(
+        "page_id", "node_id", "parent_id", "kind", "local_name", F.when(F.col("kind") == "element", P.get_attribute("id")).alias("ident"),
+    )
 
 
 # ------------------------------------------------------------------ tokens, lexical
@@ -125,14 +128,27 @@ tok as (select *, case when regexp_matches(tok, '(?i)^<[a-z]') then 'start' when
 """
 
 
+# as the tokenizer has it, a script's body is one text
+_EXACT = _LEX.replace(
+    "regexp_replace(html, '(<script[^>]*>).*?(</script>)', '\\1\\2', 'gis')",
+    "regexp_replace(regexp_replace(html, '<script[^>]*></script>', '<i></i>', 'gis'), '(<script[^>]*>).+?(</script>)', '\\1S\\2', 'gis')",
+)
+
+
+@_query(f"with {_EXACT} select page_id, type, count(*) as n from tok group by 1, 2 union all select page_id, 'eof', 1 from p")
+def q_tokens(spark, d):
+    """Tokens by the tokenizer itself; by pattern they are the same where markup is sound."""
+    return H.tokenize(_pages(spark, d)).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(f"with {_LEX} select page_id, type, count(*) as n from tok group by 1, 2")
 def q_token_count(spark, d):
     return H.lexical_tokens(_pages(spark, d)).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _filter_sql(cond: str, void_aware: bool = False) -> str:
+def _filter_sql(cond: str, void_aware: bool = False, lex: str = _LEX) -> str:
     skip = " and name not in ('area','base','basefont','bgsound','br','col','embed','frame','hr','img','input','keygen','link','meta','param','source','track','wbr')" if void_aware else ""
-    return f"""with {_LEX},
+    return f"""with {lex},
 a as (select *, bool_or(type = 'start' and ({cond})) over w as started from tok window w as (partition by page_id order by tok_no rows between unbounded preceding and current row)),
 b as (select *, sum(case when not started then 0 when type = 'start' and not self_closing{skip} then 1 when type = 'end' then -1 else 0 end) over (partition by page_id order by tok_no rows between unbounded preceding and current row) as depth from a),
 c as (select *, bool_or(started and depth <= 0) over (partition by page_id order by tok_no rows between unbounded preceding and current row) as stopped from b)
@@ -143,6 +159,12 @@ def _kept(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("tok_no").cast("bigint").alias("last_tok"))
 
 
+@_query(_filter_sql("name = 'nav'", lex=_EXACT))
+def q_first_tag_nav_exact(spark, d):
+    """The filter on the tokenizer's tokens; the end of the page is none."""
+    return _kept(filters.first_tag_and_children(H.tokenize(_pages(spark, d)), "nav").where("type <> 'eof'"))
+
+
 @_query(_filter_sql("name = 'nav'"))
 def q_first_tag_nav(spark, d):
     return _kept(filters.first_tag_and_children(H.lexical_tokens(_pages(spark, d)), "nav"))
@@ -164,9 +186,9 @@ def q_only_element_with_id(spark, d):
     return _kept(filters.token_filter(H.lexical_tokens(_pages(spark, d)), (F.col("name") == "div") & F.col("tok").rlike(' id="topbar"')))
 
 
-@_query()
+@_query(_filter_sql("name = 'div' and regexp_matches(tok, ' id=\"topbar\"')", lex=_EXACT))
 def q_only_element_with_id_exact(spark, d):
-    return _kept(filters.only_element_with_id(H.tokenize(_pages(spark, d)), "div", "topbar"))
+    return _kept(filters.only_element_with_id(H.tokenize(_pages(spark, d)), "div", "topbar").where("type <> 'eof'"))
 
 
 @_query(_filter_sql("regexp_matches(tok, 'role=\"navigation\"')"))
@@ -498,6 +520,232 @@ def q_class_inputs_missing(spark, d):
     return inputs.join(toks, ["page_id", "class_name"], "left_anti")
 
 
+# ------------------------------------------------------------------ elements the data lacks, written into its pages
+# fixed values: markup put behind each page's body tag, and its nodes by the public standard
+_SNIPPET = (
+    '<div class="tpl"><template id="t1"><a href="/in">IN</a><template id="t2"><b>deep</b></template></template><a href="/out">OUT</a></div>'
+    '<svg viewbox="0 0 1 1"><lineargradient id="g"></lineargradient><desc>d</desc></svg><math><mi>x</mi></math>'
+)
+#: (number below body, parent's number or -1 for body, last number below, depth below body, child_no, kind, local_name, attributes, content, flags, ns)
+_SNIPPET_NODES = (
+    (1, -1, 4, 1, 0, "element", "div", "class=tpl", None, "HtmlMember Special", "html"),
+    (2, 1, 2, 2, 0, "element", "template", "id=t1", None, "HtmlMember Special Scoped HtmlTableScoped HtmlTableSectionScoped", "html"),
+    (3, 1, 4, 2, 1, "element", "a", "href=/out", None, "HtmlMember HtmlFormatting", "html"),
+    (4, 3, 4, 3, 0, "text", None, "", "OUT", "", None),
+    (5, -1, 8, 1, 1, "element", "svg", "viewBox=0 0 1 1", None, "SvgMember", "svg"),
+    (6, 5, 6, 2, 0, "element", "linearGradient", "id=g", None, "SvgMember", "svg"),
+    (7, 5, 8, 2, 1, "element", "desc", "", None, "SvgMember HtmlTip Special Scoped", "svg"),
+    (8, 7, 8, 3, 0, "text", None, "", "d", "", None),
+    (9, -1, 11, 1, 2, "element", "math", "", None, "MathMember", "math"),
+    (10, 9, 11, 2, 0, "element", "mi", "", None, "MathMember MathTip Special Scoped", "math"),
+    (11, 10, 11, 3, 0, "text", None, "", "x", "", None),
+)
+_SNIPPET_LEN, _SNIPPET_KIDS = len(_SNIPPET_NODES), 3
+
+
+def _with_snippet(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
+    """Pages that have a body tag, with ``_SNIPPET`` behind the first one."""
+    p = _pages(spark, d) if pages is None else pages
+    return p.where("html rlike '(?i)<body[^>]*>'").withColumn("html", F.regexp_replace("html", r"(?is)\A(.*?<body[^>]*>)", "$1" + _SNIPPET))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in r) + ")" for r in rows)
+
+
+def _flags_sql() -> str:
+    """Flags of HTML elements as SQL, from the fixed table of names."""
+    from ..functions.tags import FLAG_BITS, REFERENCE_FLAGS
+
+    bits = lambda names: sum(FLAG_BITS[n] for n in names.split())
+    cases = " ".join(f"when local_name in ({', '.join(repr(t) for t in sorted(tags))}) then {bits('HtmlMember ' + flags)}" for flags, tags in REFERENCE_FLAGS.items())
+    return f"case when kind not in ('element', 'document') then 0 {cases} else {FLAG_BITS['HtmlMember']} end"
+
+
+def _snippet_rows() -> list[tuple]:
+    from ..functions.tags import FLAG_BITS
+
+    return [(*r[:9], sum(FLAG_BITS[n] for n in r[9].split()), r[10]) for r in _SNIPPET_NODES]
+
+
+_HAS_BODY = "h as (select distinct page_id from pages where regexp_matches(html, '<body[^>]*>', 'i')), bd as (select n.page_id, n.node_id as b, n.depth as bdepth from n join h using (page_id) where n.kind = 'element' and n.local_name = 'body' and n.depth = 2)"
+_SHIFTED = f"""sn(k, p, e, dp, cn, kind, local_name, attr_line, content, flags, ns) as (values {{rows}}),
+old as (select n.page_id, node_id + case when node_id > b then {_SNIPPET_LEN} else 0 end as node_id, parent_id + case when parent_id > b then {_SNIPPET_LEN} else 0 end as parent_id,
+  sub_end + case when sub_end >= b then {_SNIPPET_LEN} else 0 end as sub_end, depth, child_no + case when parent_id = b then {_SNIPPET_KIDS} else 0 end as child_no, kind, local_name, {_LINE} as attr_line, content,
+  {{flags}} as flags, case when kind = 'element' then 'html' end as ns from n join bd using (page_id)),
+w as (select * from old union all select page_id, b + k, case when p < 0 then b else b + p end, b + e, bdepth + dp, cn, kind, local_name, attr_line, content, flags, ns from bd cross join sn)"""
+
+
+def _injected_sql(rest: str) -> str:
+    return f"with {_N}, {_HAS_BODY}, {_SHIFTED.format(rows=_values(_snippet_rows()), flags=_flags_sql())} {rest}"
+
+
+@_query(_injected_sql("select * from w"))
+def q_templates_svg_math(spark, d):
+    """Nodes, flags and namespaces of all pages with a template, SVG and MathML written in;
+    what the templates hold lies behind the tree."""
+    names = ["node_id", "parent_id", "sub_end", "depth", "child_no", "kind", "local_name", "attrs", "content", "flags", "ns", "template_of"]
+    nodes = Q.in_tree(H.parse(_with_snippet(spark, d), columns=names))
+    line = F.coalesce(F.array_join(F.transform("attrs", lambda a: F.concat(a["name"], F.lit("="), a["value"])), "|"), F.lit(""))
+    return nodes.withColumn("attr_line", line).drop("attrs", "template_of")
+
+
+_CONTENT_SQL = "select page_id, unnest([1, 2, 3, 4, 5]) as no, unnest(['a', 'IN', 'template', 'b', 'deep']) as what, unnest([1, 0, 1, 2, 0]) as under from h"
+
+
+@_query(f"with h as (select distinct page_id from pages where regexp_matches(html, '<body[^>]*>', 'i')) {_CONTENT_SQL}")
+def q_template_contents(spark, d):
+    """The contents of the templates, in their order: 0 in another node of the contents, 1
+    at the top of the outer template, 2 at the top of the inner one."""
+    nodes = H.parse(_with_snippet(spark, d), columns=["node_id", "parent_id", "kind", "local_name", "content", "template_of"]).where("template_of is not null")
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    outer = F.min("template_of").over(Window.partitionBy("page_id"))
+    under = F.when(F.col("parent_id") != F.col("template_of"), 0).when(F.col("template_of") == outer, 1).otherwise(2)
+    return nodes.select("page_id", F.row_number().over(w).alias("no"), F.coalesce("local_name", "content").alias("what"), under.alias("under"))
+
+
+@_query(_injected_sql("""select 'chain' as walk, page_id, node_id, null as text from w l where kind = 'element' and local_name = 'a' and exists (select 1 from w v where v.page_id = l.page_id and v.kind = 'element' and v.local_name = 'div' and l.node_id > v.node_id and l.node_id <= v.sub_end)
+union all select 'one', page_id, min(node_id), null from w where kind = 'element' and local_name = 'a' group by page_id
+union all select 'text', v.page_id, v.node_id, string_agg(t.content, '' order by t.node_id) from w v join w t on t.page_id = v.page_id and t.kind = 'text' and t.node_id > v.node_id and t.node_id <= v.sub_end where v.local_name = 'div' and v.attr_line = 'class=tpl' group by 1, 2, 3
+union all select 'below', page_id, count(*), null from w where node_id > 0 group by page_id"""))
+def q_template_walks(spark, d):
+    """Chains, the first match, text and descendants pass template contents by."""
+    nodes = H.parse(_with_snippet(spark, d), columns=["node_id", "parent_id", "sub_end", "kind", "local_name", "attrs", "content", "template_of"])
+    none = F.lit(None).cast("string").alias("text")
+    parts = [
+        Q.query_all(nodes, P.tag("div"), P.tag("a")).select(F.lit("chain").alias("walk"), "page_id", F.col("node_id").cast("bigint"), none),
+        Q.query_one(nodes, P.tag("a")).select(F.lit("one").alias("walk"), "page_id", F.col("node_id").cast("bigint"), none),
+        T.text_content(nodes, P.tag_class("div", "tpl")).select(F.lit("text").alias("walk"), "page_id", F.col("node_id").cast("bigint"), "text"),
+        Q.descendants(nodes).groupBy("page_id").agg(F.count(F.lit(1)).alias("node_id")).select(F.lit("below").alias("walk"), "page_id", "node_id", none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@_query(_injected_sql("select page_id, count(*) as n_links, 2 as n_with_contents, 1 as n_in_template from w where kind = 'element' and local_name = 'a' group by page_id").replace("2 as n_with_contents", "count(*) + 1 as n_with_contents"))
+def q_template_nested(spark, d):
+    """The nested form: links of the tree, links with template contents, and links that have
+    a template above them, which the climb through the parent finds."""
+    pages = H.parse_nested(_with_snippet(spark, d, _raw_pages(spark, d)))
+    n = F.col("nodes")
+    size = lambda hits: F.size(hits).cast("bigint")
+    return pages.select(
+        "page_id", size(Q.match_nested(n, (P.tag("a"),))).alias("n_links"), size(Q.match_nested(n, (P.tag("a"),), True)).alias("n_with_contents"),
+        F.size(Q.match_nested(n, (P.tag("div"), P.tag("template"), P.tag("a")), True)).alias("n_in_template"),
+    ).distinct()
+
+
+# ------------------------------------------------------------------ selectors made from the pages
+_SEL_BAD = _BAD_NAME.replace(chr(39), chr(39) * 2)
+
+
+@_query(f"""with {_N}, e as (select page_id, node_id, local_name as tag, case when not regexp_matches({_ATTR.format('id')}, '{_SEL_BAD}') then {_ATTR.format('id')} end as ident, {_TOKS} as toks from n where kind = 'element'),
+c as (select page_id, node_id, tag, ident, unnest(list_distinct(list_filter(toks, lambda x: not regexp_matches(x, '{_SEL_BAD}')))) as cls from e),
+s as (select page_id, tag, null as ident, null as cls, count(*) as n from e group by 1, 2 union all select page_id, null, ident, null, count(*) from e where ident <> '' group by 1, 3 union all select page_id, tag, ident, null, count(*) from e where ident <> '' group by 1, 2, 3
+ union all select page_id, null, null, cls, count(*) from c group by 1, 4 union all select page_id, tag, null, cls, count(*) from c group by 1, 2, 4 union all select page_id, tag, ident, cls, count(*) from c where ident <> '' group by 1, 2, 3, 4)
+select page_id, coalesce(tag, '*') || coalesce('#' || ident, '') || coalesce('.' || cls, '') as selector, n from s""")
+def q_selector_replay(spark, d):
+    """Selectors as the reference's tests make them, from the tags, harmless ids and classes of
+    the page itself, all of them; each is then matched against all elements of the page."""
+    pages = H.parse_nested(_raw_pages(spark, d)).where("nodes is not null")
+    struct = F.struct
+    null = F.lit(None).cast("string")
+    value = lambda x, name: F.get(F.filter(x["attrs"], lambda a: a["name"] == name), F.lit(0))["value"]
+    parts = lambda x: F.filter(F.array_distinct(F.split(F.coalesce(value(x, "class"), F.lit("")), P.CLASS_SPLIT)), lambda c: c != "")
+
+    def elements(x):
+        ident = value(x, "id")
+        return struct(x["local_name"].alias("tag"), F.when((ident != "") & ~ident.rlike(_BAD_NAME), ident).alias("ident"), F.filter(parts(x), lambda c: ~c.rlike(_BAD_NAME)).alias("cls"))
+
+    def made(e):
+        sel = lambda t, i, c: struct(t.alias("tag"), i.alias("ident"), c.alias("cls"))
+        by_class = F.flatten(F.transform(e["cls"], lambda c: F.array(sel(null, null, c), sel(e["tag"], null, c), sel(e["tag"], e["ident"], c))))
+        return F.concat(F.array(sel(e["tag"], null, null), sel(null, e["ident"], null), sel(e["tag"], e["ident"], null)), by_class)
+
+    def matches(e, s):
+        return (s["tag"].isNull() | (e["tag"] == s["tag"])) & (s["ident"].isNull() | (e["ident"] == s["ident"])) & (s["cls"].isNull() | F.array_contains(e["cls"], s["cls"]))
+
+    some = pages.select("page_id", F.transform(F.filter("nodes", lambda x: x["kind"] == "element"), elements).alias("e")).distinct()
+    made_of = F.array_distinct(F.filter(F.flatten(F.transform("e", made)), lambda s: s["tag"].isNotNull() | s["ident"].isNotNull() | s["cls"].isNotNull()))
+    hits = some.select("page_id", F.inline(F.transform(made_of, lambda s: struct(s["tag"].alias("tag"), s["ident"].alias("ident"), s["cls"].alias("cls"), F.size(F.filter("e", lambda e: F.coalesce(matches(e, s), F.lit(False)))).cast("bigint").alias("n")))))
+    name = F.concat(F.coalesce("tag", F.lit("*")), F.coalesce(F.concat(F.lit("#"), F.col("ident")), F.lit("")), F.coalesce(F.concat(F.lit("."), F.col("cls")), F.lit("")))
+    return hits.select("page_id", name.alias("selector"), "n")
+
+
+# ------------------------------------------------------------------ prefixes, caches, responses
+@_query(f"""with {_N}, hd as (select page_id, node_id, sub_end, parent_id from n where kind = 'element' and local_name = 'head' and depth = 2), ok as (select distinct page_id from pages where contains(html, '</head>'))
+select n.page_id, n.node_id, case when n.node_id = hd.parent_id or n.node_id = 0 then hd.sub_end + 1 else n.sub_end end as sub_end, n.kind, n.local_name from n join hd using (page_id) join ok using (page_id) where n.node_id <= hd.sub_end
+union all select page_id, sub_end + 1, sub_end + 1, 'element', 'body' from hd join ok using (page_id)""")
+def q_parse_prefix(spark, d):
+    """Only the characters up to the end of the head are parsed; the body is implied."""
+    p = _pages(spark, d).where("html like '%</head>%'")
+    return H.parse(p, length=F.expr("locate('</head>', html) + 6"), columns=["node_id", "sub_end", "kind", "local_name"])
+
+
+_CYRILLIC = "".join(map(chr, range(0x410, 0x450)))
+
+
+@_query(f"with p as (select distinct page_id, html, regexp_replace(html, '[^\\x00-\\x7f{_CYRILLIC}]', '', 'g') as c from pages where html is not null) select page_id, md5(html) as named, md5(html) as bare, md5(html) as big, md5(html) as wide, md5(html) as mismatch, md5(c) as cyrillic, md5(html) as unknown from p")
+def q_charset_forms(spark, d):
+    """Every page as the bytes of a response and back: announced UTF-8 with its mark, UTF-16 in
+    both orders and UTF-32 by mark alone, an announced UTF-16 with its mark, Cyrillic as
+    windows-1251, and an unknown charset taken as UTF-8."""
+    p = _pages(spark, d).where("html is not null")
+    none = F.lit(None).cast("string")
+    mark = lambda h, body: F.concat(F.unhex(F.lit(h)), body)
+    utf8 = F.encode("html", "UTF-8")
+    # four bytes a character, last first
+    wide = F.unhex(F.regexp_replace(F.hex(F.encode("html", "UTF-32")), "(..)(..)(..)(..)", "$4$3$2$1"))
+    only = F.regexp_replace("html", f"[^\\x00-\\x7f{_CYRILLIC}]", "")
+    # the letters stand in windows-1251 where Latin-1 has those from U+00C0 on
+    as_1251 = F.encode(F.translate(only, _CYRILLIC, "".join(map(chr, range(0xC0, 0x100)))), "ISO-8859-1")
+    md5 = lambda body, kind, **kw: F.md5(charset.decode(body, kind, **kw))
+    return p.select(
+        "page_id", md5(mark("EFBBBF", utf8), F.lit('text/html; charset="UTF-8"')).alias("named"), md5(mark("FFFE", F.encode("html", "UTF-16LE")), none).alias("bare"), md5(mark("FEFF", F.encode("html", "UTF-16BE")), none).alias("big"),
+        md5(mark("FFFE0000", wide), none).alias("wide"), md5(mark("FFFE", F.encode("html", "UTF-16LE")), F.lit("text/html;charset=utf-16")).alias("mismatch"), md5(as_1251, F.lit("text/html; charset=windows-1251")).alias("cyrillic"),
+        md5(utf8, F.lit("text/html; charset=no-such"), on_unknown="utf-8").alias("unknown"),
+    )
+
+
+# fixed values: addresses that hold their page, in several charsets, and one that can't be had
+_ADDRESSES = (
+    ("data:text/html;charset=utf-8;base64,77u/PHA+w6k8L3A+", "text/html;charset=utf-8", 12, "<p>é</p>"),
+    ("data:text/html;charset=windows-1251;base64,z/Do4uXy", "text/html;charset=windows-1251", 6, "Привет"),
+    ("data:text/html;charset=gb2312;base64,xOO6ww==", "text/html;charset=gb2312", 4, "你好"),
+    ("data:text/html;base64,//5hAA==", "text/html", 4, "a"),
+    ("data:text/html;charset=no-such;base64,w6k=", "text/html;charset=no-such", 2, "é"),
+    ("data:text/html;base64,w6k=", "text/html", 2, "é"),
+    ("data:text/html;base64,//4AAGEAAAA=", "text/html", 8, "a"),
+    ("nothing://x.example/", None, None, None),
+)
+
+
+@_query("select * from (values " + _values(_ADDRESSES) + ") t(url, content_type, total_bytes, html)")
+def q_fetch_and_decode(spark, d):
+    """Responses fetched by the page source, then decoded to characters."""
+    from ..sources import http
+
+    http.register(spark)
+    got = spark.read.format("web_pages").option("urls", "\n".join(a[0] for a in _ADDRESSES)).option("urlsPerPartition", "2").load()
+    return got.select("url", "content_type", "total_bytes", charset.decode("body", on_unknown="utf-8").alias("html"))
+
+
+_FILE = "replace(replace(replace(replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), 'www.', ''), '.com', ''), '.de', ''), '.org', '')"
+
+
+@_query(f"with {_DL}, c as (select distinct {_FILE} as f from pages where html is not null and url is not null), u as (select download_id, {_FILE} as f from dl) select download_id, coalesce(f, '') <> '' and f in (select f from c where f <> '') as cached from u")
+def q_cached(spark, d):
+    """Which downloads a cache of the pages' files would save."""
+    cache = table(spark, d, "pages").where("html is not null and url is not null").select(cache_name().alias("file"), "html").where("file is not null")
+    have, rest = with_cached(_downloads(spark, d, "url"), cache)
+    return have.select("download_id", F.lit(True).alias("cached")).unionByName(rest.select("download_id", F.lit(False).alias("cached")))
+
+
+@_query(_text_sql(_is("h1"), "t.content", "'Page ' || page_id || ': ' || coalesce(string_agg(s, '' order by tn), '')"))
+def q_text_prefix(spark, d):
+    n = _raw_nodes(spark, d, "sub_end", "kind", "local_name", "content").withColumn("before", F.concat(F.lit("Page "), F.col("page_id"), F.lit(": ")))
+    return T.text_content(n, P.tag("h1"), prefix="before")
+
+
 # ------------------------------------------------------------------ streams
 @_query("select distinct page_id, count(distinct node_id) as n_nodes from nodes group by page_id")
 def q_stream_parse(spark, d):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders this process has made for intermediate tables.
+_MADE: list[str] = []
+
+
+@atexit.register
+def drop_scratch(spark: SparkSession | None = None) -> None:
+    """Delete the intermediate tables of this process; called by itself at its end for
+    folders in a file system, and with a session for those elsewhere. Results that still
+    read them must be written before."""
+    while _MADE:
+        path = _MADE.pop()
+        if path.startswith("file:") or "://" not in path:
+            shutil.rmtree(re.sub(r"^file:(?://)?", "", path), ignore_errors=True)
+        elif spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset (single-machine
     runs, tests) a local temporary folder, which is then set as the session's own."""
@@ -37,6 +57,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="leafspan-")
+        _MADE.append(path)
         spark.conf.set("spark.leafspan.scratch", path)
     return path.rstrip("/")
 
@@ -48,6 +69,7 @@ def scratch_table(df: DataFrame, label: str, partition_by: list[str] | None = No
     recomputation, and a table used twice is computed once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)

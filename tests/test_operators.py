@@ -38,6 +38,9 @@ def names(df):
 def test_parse_forms_agree(pages, nodes):
     flat = H.parse_nested(pages).select("page_id", F.inline("nodes")).orderBy("page_id", "node_id").collect()
     assert flat == nodes.select(*["page_id", *COLUMNS]).orderBy("page_id", "node_id").collect()
+    assert {r["ancestors"] for r in flat} == {None}
+    with_up = H.parse_nested(pages, ancestors=True).select("page_id", F.inline("nodes")).where("local_name = 'body' and page_id = 1").first()
+    assert with_up["ancestors"] == [1, 0]
     assert {r[0] for r in nodes.select("page_id").distinct().collect()} == {1, 2, 4}
     assert H.parse_nested(pages).where("nodes is null").count() == 1
     narrow = H.parse(pages, columns=["local_name", "node_id"])
@@ -197,3 +200,70 @@ def test_ring_average(spark):
         ring = [r[3] for r in rows[i - 16 : i] if r[3] is not None]
         assert plain["a", i] == sum(ring) // len(ring)
     assert df.select(helpers.size_hint(F.lit(None), F.lit(None), F.lit(3))).first()[0] == 3
+
+
+# ------------------------------------------------------------------ templates
+TEMPLATE = "<div><template><a>IN</a><p><template><a>deep</a></template></p></template><a>OUT</a></div>"
+
+
+def test_template_contents_are_passed_by(spark):
+    pages = spark.createDataFrame([(1, TEMPLATE), (2, "<a>x</a>")], "page_id bigint, html string")
+    nodes = H.parse(pages).cache()
+    text = lambda df: sorted(r["text"] for r in T.text_content(nodes, df).collect())
+    assert text(Q.query_all(nodes, P.tag("a"))) == ["OUT", "x"]
+    assert text(Q.query_all(nodes, P.tag("div"), P.tag("a"))) == ["OUT"] == text(nodes.where("local_name = 'div'"))
+    assert sorted(r["text"] for r in T.text_content(nodes, P.tag("a")).collect()) == ["OUT", "x"]
+    assert text(Q.query_one(nodes, P.tag("a"))) == ["OUT", "x"]
+    assert Q.descendants(nodes).where("page_id = 1").count() == 7  # html head body div template a OUT, without the document
+    assert Q.descendants(nodes, nodes.where("local_name = 'template'")).count() == 0
+    assert names(Q.children(nodes, nodes.where("local_name = 'template'"))) == []
+    assert [r["n_children"] for r in Q.child_counts(nodes.where("page_id = 1")).orderBy("parent_id").collect()] == [1, 2, 1, 2, 1, 1, 1, 1]
+    # within the contents walks go on, and the climb leads through the template
+    assert text(Q.query_all(nodes, P.tag("a"), contents=True)) == ["IN", "OUT", "deep", "x"]
+    assert text(Q.query_all(nodes, P.tag("div"), P.tag("template"), P.tag("a"), contents=True)) == ["IN", "deep"]
+    assert text(Q.query_all(nodes, P.tag("div"), P.tag("a"), start=P.tag("p"), contents=True)) == []
+    assert text(Q.query_all(nodes, P.tag("p"), P.tag("template"), P.tag("a"), contents=True)) == ["deep"]
+    nested = H.parse_nested(pages)
+    for preds, contents, n in (((P.tag("a"),), False, 2), ((P.tag("div"), P.tag("a")), False, 1), ((P.tag("div"), P.tag("template"), P.tag("a")), True, 2), ((), False, 14)):
+        got = Q.query_all_nested(nested, *preds, contents=contents).select(F.explode("nodes"))
+        assert got.count() == n
+
+
+def test_depth_costs_no_squares():
+    deep = parse_nodes("<div>" * 2_000, ancestors=False)
+    assert len(deep) == 2_004 and deep[-1][3] == 2_002 and not deep[-1][15]
+
+
+# ------------------------------------------------------------------ plans
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange Round") + plan.count("Exchange Single")
+
+
+def test_one_exchange_by_page(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(d):
+        pytest.skip("no test data here")
+    q = entry.queries()
+    for name in ("q_chain_nav_li_a", "q_chain_class", "q_chain_div_div_a", "q_p_text_trim_ends", "q_print_document", "q_same_attributes", "q_attributes", "q_query_one_first_link", "q_file_tag_counts", "q_child_counts"):
+        assert exchanges(q[name](spark, d)) == 1, name
+    chain = q["q_chain_nav_li_a"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "attrs" not in chain and "content" not in chain and chain.count("FileScan") == 1
+
+
+def test_copies_collapse_and_null_keys(spark):
+    pages = spark.createDataFrame([(1, "<nav><a>x</a></nav>"), (None, "<nav><a>y</a></nav>")] * 3, "page_id bigint, html string")
+    nodes = H.parse(pages)
+    assert Q.query_all(nodes, P.tag("a")).count() == 6
+    assert Q.query_all(nodes, P.tag("nav"), P.tag("a")).count() == 1
+    assert T.text_content(nodes, P.tag("a")).collect() == [(1, nodes.where("local_name = 'a'").first()["node_id"], "x")]
+    assert H.distinct_pages(pages).count() == 2 and H.distinct_pages(pages.limit(0)).count() == 0
+    assert H.distinct_pages(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], pages.schema)).count() == 3
+
+
+def test_repeated_pages_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(i % 5, "a") for i in range(10)], "page_id bigint, html string")
+    monkeypatch.setattr(H, "MAX_REPEATED", 2)
+    assert H.distinct_pages(pages).count() == 5
