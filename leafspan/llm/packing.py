@@ -15,11 +15,14 @@ where that fills the gaps left so far; otherwise they get new containers.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import scratch_table
@@ -29,7 +32,9 @@ MAX_BUDGETS = 1000
 #: A piece of a cut item is cut again into at most so many parts, none smaller than MIN_PART tokens.
 MAX_PARTS = 6
 MIN_PART = 16
-_RANK_BITS = 38
+#: Numbers of a plan that is broadcast (some 160 MB); a plan has about three for each length
+#: up to the capacity and each budget, whatever the number of items.
+MAX_PLAN = 20_000_000
 
 
 class _Gaps:
@@ -163,15 +168,11 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     counts: dict[int, tuple[dict[int, int], ...]] = {}
     for r in pieces.groupBy("b", "cls", "len").count().collect():  # three rows at most for each length up to the capacity
         counts.setdefault(r["b"], ({}, {}, {}))[r["cls"]][r["len"]] = r["count"]
-    width = 3 * max(int(r[1]) for r in rows) + 3
-    found = []
-    for b, (whole, rests, fulls) in sorted(counts.items()):
-        for cls, length, rank, parts in plan_containers(whole, rests, sum(fulls.values()), int(rows[b][1]))[0]:
-            found.append((((b * width + 3 * length + cls) << _RANK_BITS) + rank, rank, parts))
-    found.sort(key=lambda x: x[0])
-    ends = np.cumsum([0] + [len(x[2]) for x in found])
-    part = np.array([p for x in found for p in x[2]] or [(0, 1, 0)], dtype=np.int64)
-    plan = spark.sparkContext.broadcast((np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.int64), ends, part))
+    plan = _plan_arrays(counts, [int(r[1]) for r in rows])
+    size_of_plan = sum(len(x) for x in plan)
+    if size_of_plan > MAX_PLAN:
+        raise ValueError(f"a plan of {size_of_plan} numbers; use smaller capacities or fewer budgets in a call")
+    plan = spark.sparkContext.broadcast(plan)
 
     salts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
@@ -179,27 +180,55 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     before = Window.partitionBy("b", "cls", "len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("b", "cls", "len", "salt", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("b", "cls", "len", "salt").orderBy("k", "piece")) - 1)
-    slot = F.shiftleft(F.col("b") * width + 3 * F.col("len") + F.col("cls"), _RANK_BITS) + F.col("off") + F.col("r")
-    ranked = ranked.join(offsets.hint("merge"), ["b", "cls", "len", "salt"]).withColumn("slot", slot)
-
-    @F.pandas_udf("array<struct<container:bigint,at:bigint,size:bigint>>")
-    def slots(slot: pd.Series) -> pd.Series:
-        ks, ranks, ends, part = plan.value
-        v = slot.to_numpy()
-        seg = np.searchsorted(ks, v, side="right") - 1
-        nth = (v & ((1 << _RANK_BITS) - 1)) - ranks[seg]
-        out = []
-        for i, m in zip(seg.tolist(), nth.tolist(), strict=True):
-            at, row = 0, []
-            for first, per, size in part[ends[i] : ends[i + 1]].tolist():
-                row.append({"container": first + m // per, "at": at, "size": size})
-                at += size
-            out.append(row)
-        return pd.Series(out)
-
-    return ranked.select("budget_id", "k", "piece", "c", F.inline(slots("slot"))).select(
-        "budget_id", F.col("container").alias("container_id"), F.col("k").alias(key),
-        (F.col("piece") * c + F.col("at")).alias("start_token"), F.col("size").alias("piece_tokens"),
+    ranked = ranked.join(offsets.hint("merge"), ["b", "cls", "len", "salt"]).select(
+        F.col("b").cast("bigint"), F.col("cls").cast("bigint"), F.col("len").cast("bigint"), (F.col("off") + F.col("r")).cast("bigint").alias("rank"), (F.col("piece") * c).alias("from"), "k", "budget_id",
+    )
+    schema = StructType([StructField("k", sizes.schema[key].dataType), StructField("budget_id", kind), *(StructField(x, LongType()) for x in ("container_id", "start_token", "piece_tokens"))])
+    arrow = to_arrow_schema(schema)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, base, starts, ranks, ends, first, per, at, part = plan.value
+        for batch in batches:
+            b, cls, length, rank, begin = (batch.column(i).to_numpy() for i in range(5))
+            group = np.searchsorted(groups, _group_key(b, cls, length))
+            # ranks of one group follow those of another, so that one search finds the segment
+            seg = np.searchsorted(starts, base[group] + rank, side="right") - 1
+            many = ends[seg + 1] - ends[seg]
+            row = np.repeat(np.arange(batch.num_rows), many)
+            which = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + ends[seg][row]
+            nth = (base[group] + rank - starts[seg])[row]
+            cols = [batch.column(i).take(pa.array(row)).cast(arrow.field(i - 5).type) for i in (5, 6)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(first[which] + nth // per[which]), pa.array(begin[row] + at[which]), pa.array(part[which])], schema=arrow)
+
+    return ranked.mapInArrow(slots, schema).select("budget_id", "container_id", F.col("k").alias(key), "start_token", "piece_tokens")
+
+
+def _group_key(b, cls, length):
+    """One number for a budget (fewer than MAX_BUDGETS), class and length (below 2**48)."""
+    return (b * 3 + cls) * (1 << 48) + length
+
+
+def _plan_arrays(counts: dict[int, tuple[dict[int, int], ...]], capacities: list[int]) -> tuple[np.ndarray, ...]:
+    """The plan of all budgets as arrays: keys of the groups of items (budget, class, length)
+    in order and how many items the groups before have; where each segment starts in
+    that numbering of items, its first rank; where its parts begin; of each part the
+    first container, items a container, its place within the piece, and its size."""
+    sizes: dict[int, int] = {}
+    found = []
+    for b, (whole, rests, fulls) in counts.items():
+        for cls, histogram in enumerate((whole, rests, fulls)):
+            sizes.update((_group_key(b, cls, n), m) for n, m in histogram.items())
+        for cls, length, rank, parts in plan_containers(whole, rests, sum(fulls.values()), capacities[b])[0]:
+            found.append((_group_key(b, cls, length), rank, parts))
+    groups = sorted(sizes)
+    base = np.cumsum([0] + [sizes[g] for g in groups])[: len(groups)].astype(np.int64)
+    at = dict(zip(groups, base.tolist(), strict=True))
+    found.sort(key=lambda x: (x[0], x[1]))
+    parts = [(first, per, sum(q[2] for q in ps[:i]), size) for _, _, ps in found for i, (first, per, size) in enumerate(ps)]
+    columns = np.array(parts, np.int64).reshape(-1, 4).T
+    return (
+        np.array(groups, np.int64), base, np.array([at[g] + r for g, r, _ in found], np.int64), np.array([r for _, r, _ in found], np.int64),
+        np.cumsum([0] + [len(ps) for _, _, ps in found]).astype(np.int64), *(np.ascontiguousarray(x) for x in columns),
     )
 
 
