@@ -1,20 +1,25 @@
 """Problem 1: template residue, filler, error messages and scripts-required notices.
 
-Method: one grammar for each delimiter of unfilled placeholders, and patterns for
-the other kinds, over text nodes with their surroundings. Code samples are left
-out; a message counts only if sentences of it make up the node (prose that speaks
-of a message has other sentences around or inside it); on a page whose heading is
-an error message the lines beside the heading belong to it.
+Method: one grammar for each delimiter of unfilled placeholders, and expressions for
+the other kinds, over text nodes with their surroundings.
+
+A placeholder in prose is weighed: what speaks of it (words of syntax and tools, a verb
+that governs it, quotes, code samples with placeholders on the page, neighbours that
+speak of syntax) against its density, the share of the text that placeholders make up.
+Code samples are left out. A message counts if its sentences make up the node: by the
+grammar of subject, verdict and advice, or by density, if nearly all its telling words
+are words of messages and a subject, a failure or scripts are among them. On a page
+whose heading is an error message the lines beside it belong to it if half of them
+are words of messages.
 
 Damaged encodings are undone first (character model only), so that a message is
-recognised in whatever garbling it arrives.
+recognised in whatever garbling it arrives. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -121,7 +126,7 @@ _TRAILER = (
 )
 _SAYS = "|".join(f"{_SUBJECT[k]}\\s(?:{_VERDICT[k]})" for k in _SUBJECT)
 _ERROR = re.compile(
-    r"\s*(?:[45]\d\d\s?[–:-]\s?)?" + _INTERJECTION + r"?(?:" + _SAYS + r"|" + _FIXED + r")" + _CODE + r"\s*[.!…]*(?:\s*" + _TRAILER + r"\s*[.!]*){0,3}\s*",
+    r"\s*(?:[45]\d\d\s?[–:-]\s?)?" + _INTERJECTION + r"?(?:" + _SAYS + r"|" + _FIXED + r")" + _CODE + r"\s*[.!…]*(?:\s*" + _TRAILER + r"\s*[.!]*)*\s*",
     re.I | re.S,
 )
 _CODE_ONLY = re.compile(r"\s*[45]\d\d\s*")
@@ -170,42 +175,173 @@ javascript java script scripts scripting active blocker skript skripte skripts s
 """.split())
 _FILLER_WORDS = LATIN_FILLER | NONSENSE
 _CUES = _FILLER_WORDS | FILLER_AND_INSTRUCTION_WORDS | VERDICT_WORDS | MESSAGE_WORDS
+# ------------------------------------------------- fixed values: what messages are made of
+THINGS = frozenset("""
+page pages server servers site website resource document file url link address service database connection session request system content item entry listing host gateway account article post application app
+seite server website dokument datei adresse dienst datenbank verbindung sitzung anfrage inhalt eintrag beitrag artikel link ressource system anwendung
+page serveur site ressource document fichier adresse lien service base données connexion session requête contenu article annonce système
+página servidor sitio recurso documento archivo dirección enlace servicio base datos conexión sesión solicitud contenido artículo sistema
+página servidor sítio site recurso documento ficheiro arquivo endereço ligação serviço base dados sessão pedido conteúdo artigo sistema
+pagina server sito risorsa documento file indirizzo collegamento servizio banca dati database connessione sessione richiesta contenuto articolo sistema
+strona stronę serwer witryna zasób dokument plik adres usługa baza danych połączenie sesja żądanie treść artykuł wpis system
+страница страницу сервер сайт ресурс документ файл адрес сервис служба база данных соединение сессия запрос статья запись система
+""".split())
+FAILURES = frozenset("""
+error errors found find locate located unavailable available exist exists existing expired expire timed timeout failed failure fail broken removed moved deleted missing denied forbidden refused rejected invalid unknown offline down maintenance unreachable unresponsive respond responding responded overloaded crashed wrong problem nowhere interrupted blocked unauthorized unauthorised terminated
+fehler gefunden existiert verfügbar erreichbar vorhanden abgelaufen fehlgeschlagen entfernt verschoben gelöscht verweigert verboten ungültig unbekannt offline wartung gewartet antwortet überlastet unterbrochen gesperrt
+erreur introuvable trouvée trouvé existe disponible indisponible répond expiré échoué échec supprimée supprimé déplacée déplacé refusé interdit invalide inconnu maintenance surchargé interrompue bloqué
+error encontrada encontrado encontró existe disponible responde caducado expirado fallado fallo eliminada eliminado movida denegado prohibido inválido desconocido mantenimiento interrumpida bloqueado
+erro encontrada encontrado existe disponível indisponível responde expirou expirada falhou falha removida movida negado proibido inválido desconhecido manutenção interrompida bloqueado
+errore trovata trovato esiste disponibile risponde scaduta scaduto fallita fallito rimossa spostata negato vietato non-valido sconosciuto manutenzione interrotta bloccato
+błąd znaleziono znaleziona istnieje dostępna dostępny niedostępna niedostępny odpowiada wygasła usunięta przeniesiona odmowa zabronione nieprawidłowy nieznany konserwacji przerwane zablokowany
+ошибка найдена найден существует недоступна недоступен отвечает истекла истек удалена удалён перемещена запрещён запрещен неверный неизвестный обслуживании прервано заблокирован
+""".split())
+ADVICE = frozenset("""
+sorry oops apologies please try again later retry return back home homepage start check spelling contact administrator webmaster support reload refresh login log sign signed logged minutes moment moments few temporarily currently requested entered typed looking request code status number report reported may might could technical difficulties inconvenience search menu use browser permission access view load display loaded displayed processed completed reached opened shown
+leider entschuldigung bitte versuchen später erneut zurück startseite prüfen adresse administrator neu laden anmelden minuten vorübergehend derzeit angeforderte gesuchte status code nummer technische suche zugriff angezeigt geladen
+désolé désolée veuillez réessayer réessayez tard retour accueil vérifiez adresse administrateur recharger connecter minutes momentanément demandée recherchée statut code technique accès affichée
+sentimos disculpe inténtelo intente nuevo tarde volver inicio compruebe dirección administrador recargar minutos temporalmente solicitada estado código técnico acceso mostrada
+lamentamos desculpe tente novamente tarde voltar início verifique endereço administrador recarregar minutos temporariamente pedida solicitada estado código acesso
+spiacenti riprova riprovi tardi tornare home controlla indirizzo amministratore ricaricare minuti momentaneamente richiesta stato codice accesso
+przepraszamy proszę spróbuj ponownie później wróć główna sprawdź adres administrator odśwież minut chwilowo tymczasowo żądana status kod dostęp
+извините пожалуйста попробуйте позже повторите вернуться главную проверьте адрес администратор обновите минут временно запрошенная статус код доступ
+""".split())
+SCRIPTS = frozenset("javascript java script scripts scripting skript skripte skripten skripts skrypt skrypty skryptów skryptami скрипт скрипты скрипта скриптов скриптами javascripts".split())
+ENABLING = frozenset("""
+enable enabled enabling activate activated allow allowed turn turned switch on off disabled requires require required needs need needed support supports supported settings preferences setting reload blocker blocked blocks run running execute work works works properly correctly function functions fully without
+aktivieren aktiviert aktiviere einschalten zulassen erlauben benötigt deaktiviert einstellungen ausführen ausführt unterstützt funktioniert browser
+activer activez activé autoriser autorisez nécessite besoin désactivé paramètres navigateur fonctionne fonctionner exécute
+activar active activado permita permitir necesita requiere desactivado desactivados ajustes navegador funciona funcionar
+ativar ative ativado permita permitir precisa requer desativado definições navegador funciona funcionar
+attivare attiva attivato abilita abilitare consentire richiede necessita disattivato impostazioni funziona funzionare
+włącz włączyć włączona zezwól wymaga potrzebuje wyłączona wyłączone ustawieniach przeglądarka przeglądarce działa
+включите включить включён разрешите разрешить требует требуется нужны нужен отключён отключены настройках браузер браузере работы работает выполнение выполняет
+""".split())
+SMALL_WORDS = frozenset("""
+a an the this that these those of to in on at by for from with and or but if it its is are was were be been being has have had do does did not no cannot can could will would should must may you your we our us i my me as so than then there here which what who when where how one or either any some all also only just very more most please via into out up about it's we're you're don't doesn't didn't isn't couldn't re t s ve ll d
+der die das den dem des ein eine einen einem einer und oder aber wenn es sie ihr ihre ihren ihrem wir unser unsere ist sind war waren wird werden wurde wurden hat haben nicht kein keine mehr zu zur zum in im auf an am bei mit von vom für um diese dieser dieses noch einmal nach als auch nur sich
+le la les l un une des du de d et ou mais si il elle nous notre vous votre vos est sont était a ont été n ne pas plus aucun aucune à au aux en dans sur par pour avec ce cet cette ces que qui dont se s y c qu
+el la los las un una unos de del y o pero si su sus nuestro nuestra es son ha han sido no más a al en por para con este esta esto que se lo le ya
+o a os as um uma de do da dos das e ou mas se seu sua nosso nossa é são foi está não mais em no na nos nas por para com este esta que já à ao
+il lo la i gli le l un uno una di del della dei e o ma se suo sua nostro nostra è sono stato stata ha non più a al alla in nel nella da per con questo questa che si
+i w na z ze do o po dla lub ale jeśli jest są było nie ten ta to twój twoja nasz nasza się już przez który która za
+и в на с к по за из для или но если это этот эта ваш ваша наш не нет был была было уже что который вы мы его её их
+""".split())
+#: Words that speak of templates rather than being left in one: tools, nouns of syntax, verbs.
+TOOLS = frozenset("jinja jinja2 mustache handlebars django liquid twig smarty blade erb ejs php bash shell powershell cmd angular vue svelte thymeleaf velocity freemarker ansible helm terraform makefile gettext latex perl python javascript ruby razor haml pug nunjucks wordpress hugo jekyll unix windows".split())
+SYNTAX = frozenset("""
+placeholder placeholders template templates templating variable variables syntax expression expressions tag tags brace braces bracket brackets curly macro macros interpolation snippet snippets token tokens delimiter delimiters escape escaped parameter parameters directive directives string strings literal notation field fields merge programmers programmer developers developer engine code
+platzhalter vorlage vorlagen schablone variable variablen syntax ausdruck klammern klammer vorlagensprache zeichenkette
+espace-réservé gabarit gabarits modèle variable variables syntaxe expression balise balises accolade accolades chaîne
+marcador marcadores plantilla plantillas variable variables sintaxis expresión etiqueta etiquetas llaves corchetes cadena
+marcador modelo modelos variável variáveis sintaxe expressão etiqueta chavetas chaves cadeia
+segnaposto modello modelli variabile variabili sintassi espressione parentesi graffe stringa etichetta
+szablon szablonie szablony zmienna zmiennej zmienne składnia wyrażenie nawiasy klamrowe znacznik symbol
+шаблон шаблоне шаблоны переменная переменной переменные синтаксис выражение скобки заполнитель тег строка
+""".split())
+SPEAKING = frozenset("""
+write writes written use uses used using type types put puts refer refers expand expands expanded replaced replaces substitute substitutes substituted print prints output outputs render renders rendered evaluate evaluates mean means denote denotes called open opens close closes insert inserts stands becomes contains calls say says looks
+schreibt schreibe schreiben verwendet verwenden ersetzt steht bedeutet gibt heißt öffnet schließt
+écrit écrire écrivez utilise utilisez remplacé remplacée signifie affiche désigne ouvre ferme
+escribe escribir usa use utiliza reemplaza sustituye significa imprime abre cierra
+escreve escrever usa use utiliza substituído significa imprime abre fecha
+scrive scrivere usa usare sostituito significa stampa apre chiude
+pisze użyj używa zastępuje zastąpiony oznacza wypisuje otwiera zamyka
+пишут напишите используйте используется заменяется означает выводит открывает закрывает
+""".split())
+# ------------------------------------------------------------------------------
+_MESSAGE = THINGS | FAILURES | ADVICE | SCRIPTS | ENABLING
+_GOVERNED = re.compile(r"(?:\b(?:write|writes|type|use|uses|using|put|call|calls|say|says|schreibt|schreiben|verwendet|écrit|écrivez|utilisez|escribe|usa|escreve|scrive|pisze|użyj|пишут|используйте)|[“\"'‘«„`(]|\b(?:like|as|e\.g\.|such as|wie|comme|como|come|jak|как))\s*$", re.I)
+_CLOSED = re.compile(r"\s*[”\"'’»“`)]")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
 def _word_share(words: list[str], known: frozenset) -> float:
     return sum(x in known for x in words) / len(words) if len(words) >= 4 else 0.0
 
 
-def is_error(text: str) -> bool:
-    """Whether a text consists of an error message."""
-    return len(text) < 300 and bool(_ERROR.fullmatch(text))
+def _message_share(words: list[str]) -> float:
+    """Which share of the telling words of a text are words of messages."""
+    telling = [w for w in words if w not in SMALL_WORDS]
+    return sum(w in _MESSAGE for w in telling) / len(telling) if telling else 0.0
 
 
-def is_notice(text: str) -> bool:
-    """Whether a text consists of a notice that scripts are required."""
-    return len(text) < 220 and bool(_SCRIPT_WORD.search(text)) and bool(_NOTICE.fullmatch(text)) and not _PROSE.search(text)
+def is_error(text: str, words: list[str] | None = None) -> bool:
+    """Whether a text consists of an error message: by the grammar, or by density."""
+    if _ERROR.fullmatch(text):
+        return True
+    words = _BREAK.findall(text.lower()) if words is None else words
+    return len(words) >= 4 and not FAILURES.isdisjoint(words) and not THINGS.isdisjoint(words) and not ADVICE.isdisjoint(words) and _message_share(words) >= 0.85
 
 
-def kind_of(text: str) -> str | None:
+def is_notice(text: str, words: list[str] | None = None) -> bool:
+    """Whether a text consists of a notice that scripts are required."""
+    words = _BREAK.findall(text.lower()) if words is None else words
+    if SCRIPTS.isdisjoint(words) and not _SCRIPT_WORD.search(text):
+        return False
+    if _PROSE.search(text):
+        return False
+    return bool(_NOTICE.fullmatch(text)) or (not ENABLING.isdisjoint(words) and _message_share(words) >= 0.7)
+
+
+def spoken_of(text: str, spans: list[tuple[int, int]], around: float = 0.0) -> bool:
+    """Whether the placeholders at ``spans`` are what a text speaks about, and not left in it.
+    ``around`` is what the page says for it."""
+    rest, at = [], 0
+    for a, b in spans:
+        rest.append(text[at:a])
+        at = b
+    words = [w for part in (*rest, text[at:]) for w in _BREAK.findall(part.lower())]
+    if len(words) < 4:
+        return False
+    density = sum(b - a for a, b in spans) / len(text)
+    own = 1.5 * (not TOOLS.isdisjoint(words)) + min(2, len(SYNTAX.intersection(words)))
+    for a, b in spans:
+        if _GOVERNED.search(text, max(0, a - 16), a):
+            own += 1.0 + bool(_CLOSED.match(text, b))
+            break
+    # what says nothing of syntax itself is not saved by its surroundings
+    return own > 0 and own + (not SPEAKING.isdisjoint(words)) + around - 4.0 * max(0.0, density - 0.5) >= 2.0
+
+
+def kind_of(text: str, around: float = 0.0) -> str | None:
     """placeholder, filler, instruction, error, notice or None for one text on its own."""
     if not text or text.isspace():
         return None
-    if _QUICK.search(text) and PLACEHOLDER.search(text):
+    if _QUICK.search(text) and (spans := [m.span() for m in PLACEHOLDER.finditer(text)]) and not spoken_of(text, spans, around):
         return "placeholder"
     s = text.strip()
-    if len(s) < 140 and (_INSTRUCTION.fullmatch(s) or _TODO.fullmatch(s)):
+    low = s.lower()
+    words = _BREAK.findall(low)
+    kind = _unit(s, words)
+    if kind or _CODE_ONLY.fullmatch(text):
+        return kind or "error"
+    if _word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8:
+        return "filler"
+    if not FAILURES.isdisjoint(words) and is_error(s, words):
+        return "error"
+    if is_notice(s, words):
+        return "notice"
+    # several sentences, each of which would do alone, or is advice behind one that does
+    first, *more = _SENTENCE.split(s)
+    if more and (kind := _unit(first, _BREAK.findall(first.lower()))):
+        for x in more:
+            w = _BREAK.findall(x.lower())
+            if not _unit(x, w) and not (w and _message_share(w) >= 0.7):
+                return None
+        return kind
+    return None
+
+
+def _unit(s: str, words: list[str]) -> str | None:
+    """The kind of a text that one of the expressions matches whole."""
+    if _INSTRUCTION.fullmatch(s) or _TODO.fullmatch(s):
         return "instruction"
-    # filler of any length begins as it goes on
-    low = text.lower()
-    if _word_share([m.group() for m in islice(_BREAK.finditer(low), 8)], _FILLER_WORDS) > 0.6:
-        words = _BREAK.findall(low)
-        if _word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8:
-            return "filler"
     if _FILLER.fullmatch(s):
         return "filler"
-    if is_error(s) or _CODE_ONLY.fullmatch(text):
+    if _ERROR.fullmatch(s):
         return "error"
-    if is_notice(s):
+    if (not SCRIPTS.isdisjoint(words) or _SCRIPT_WORD.search(s)) and _NOTICE.fullmatch(s) and not _PROSE.search(s):
         return "notice"
     return None
 
@@ -218,25 +354,41 @@ class Finder:
         self.fixer = Repairer(samples, more=[" ".join(_CUES), *_SUBJECT.values(), *_VERDICT.values(), _FIXED, _TRAILER, _INSTRUCTION.pattern, _NOTICE.pattern])
         self.memo: dict[str, str | None] = {}
 
-    def _kind(self, text: str) -> str | None:
-        if text in self.memo:
-            return self.memo[text]
-        k = kind_of(text)
+    def _kind(self, text: str, around: float = 0.0) -> str | None:
+        key = (text, around) if around else text
+        if key in self.memo:
+            return self.memo[key]
+        k = kind_of(text, around)
         if len(self.memo) < 200_000:
-            self.memo[text] = k
+            self.memo[key] = k
         return k
 
+    @staticmethod
+    def _around(page: Page, i: int, texts: dict[int, str]) -> float:
+        """What the surroundings of a text say for its speaking of placeholders: samples of
+        code that hold some, and words of syntax in what stands before and behind it."""
+        code = any(page.in_code[j] and _QUICK.search(t) and PLACEHOLDER.search(t) for j, t in texts.items())
+        order = list(texts)
+        k = order.index(i)
+        near = [w for j in order[max(0, k - 2) : k] + order[k + 1 : k + 3] for w in _BREAK.findall(texts[j].lower())]
+        return 1.0 * code + 0.5 * (not TOOLS.isdisjoint(near)) + 0.5 * (not SYNTAX.isdisjoint(near))
+
     def texts(self, page: Page) -> dict[int, str]:
         """Text nodes outside script and style."""
         return {i: page.data[i] for i, n in enumerate(page.names) if n is None and page.data[i] and not page.raw(i)}
 
     def _repaired(self, page: Page, texts: dict[int, str]) -> dict[int, str]:
-        """Short texts in damaged encodings, undone: messages are short, and
-        placeholders are ASCII, which damage leaves alone."""
-        odd = [i for i, t in texts.items() if len(t) < 220 and not t.isascii() and self.memo.get(t) is None]
+        """Texts in damaged encodings, undone, if what damage leaves alone may belong to a
+        message: placeholders are ASCII, and so are many words."""
+        odd = [i for i, t in texts.items() if not t.isascii() and self.memo.get(t) is None and self._may_be(t)]
         fixed = self.fixer.repair_all([texts[i] for i in odd]) if odd else []
         return {i: r[0] for i, r in zip(odd, fixed, strict=True) if r}
 
+    @staticmethod
+    def _may_be(text: str) -> bool:
+        whole = [w for w in _ASCII_WORD.findall(text.lower()) if w not in SMALL_WORDS]
+        return len(whole) < 4 or sum(w in _MESSAGE or w in _CUES for w in whole) * 5 >= len(whole)
+
     def find(self, page: Page, texts: dict[int, str] | None = None) -> dict[int, str]:
         """Position -> kind."""
         texts = self.texts(page) if texts is None else texts
@@ -249,6 +401,8 @@ class Finder:
             if page.in_code[i]:
                 continue
             kind = self._kind(t)
+            if kind == "placeholder" and (around := self._around(page, i, texts)):
+                kind = self._kind(t, around)
             p = page.parents[i]
             if kind == "error" and _BARE.fullmatch(t) and not (p >= 0 and page.names[p] in ("h1", "h2", "title")):
                 kind = None  # a number in a table is no heading
@@ -265,17 +419,28 @@ class Finder:
                 p = page.parents[i]
                 if i in out or page.in_code[i] or p < 0 or page.parents[p] != box:
                     continue
-                if _REQUEST_ID.fullmatch(texts[i]) or (heads and page.names[p] in ("h1", "h2", "p", "small", "noscript") and _near(page, h, p)):
+                if _REQUEST_ID.fullmatch(texts[i]) or (heads and page.names[p] in _LINES and _near(page, h, p) and self._of_messages(page, h, texts, out)):
                     out[i] = "error"
         return out
 
 
+    @staticmethod
+    def _of_messages(page: Page, head: int, texts: dict[int, str], out: dict[int, str]) -> bool:
+        """Whether at least half of the lines beside a heading are messages or of their words."""
+        box = page.parents[head]
+        lines = [i for i in texts if (p := page.parents[i]) >= 0 and page.parents[p] == box and page.names[p] in _LINES]
+        return 2 * sum(i in out or _REQUEST_ID.fullmatch(texts[i]) is not None or _message_share(_BREAK.findall(texts[i].lower())) >= 0.4 for i in lines) >= len(lines)
+
+
+_LINES = ("h1", "h2", "p", "small", "noscript")
+_ASCII_WORD = re.compile(r"(?<![^\x00-\x7f])[a-z]+(?![^\x00-\x7f])")
+
+
 def _near(page: Page, a: int, b: int) -> bool:
-    """Siblings a and b with only headings and lines of text between them, few in all."""
+    """Siblings a and b with only headings and lines of text between them."""
     box = page.parents[a]
-    kids = [i for i, p in enumerate(page.parents) if p == box and page.names[i] is not None]
-    lo, hi = sorted((kids.index(a), kids.index(b)))
-    return len([k for k in kids if page.names[k] in ("h1", "h2", "p", "small", "noscript")]) <= 5 and all(page.names[k] in ("h1", "h2", "p", "small", "noscript") for k in kids[lo : hi + 1])
+    lo, hi = sorted((a, b))
+    return all(page.parents[i] != box or page.names[i] is None or page.names[i] in _LINES for i in range(lo, hi + 1))
 
 
 def residue_nodes(nodes: DataFrame, lang_samples: DataFrame) -> DataFrame:

@@ -75,6 +75,39 @@ def test_expansions_of_the_patterns_count():
         assert [x for x in forms(parser.parse(residue._SUBJECT[k].replace(r"(?:\w+\s){0,2}?", ""))) if residue.kind_of(f"{x} {forms(parser.parse(residue._VERDICT[k]))[0]}.") != "error"] == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("In Jinja you write {{ user.name }} inside the template to print the name of the user.", None), ("Use ${HOME} to refer to your home directory in bash.", None), ("The placeholder %USERNAME% is replaced by the shell when the script runs.", None),
+        ("Write {{ user.name }} where the name should go", None), ("The tag {% block x %} opens a block", None), ("Im Template schreibt man {{ titel }} für den Titel der Seite.", None),
+        ("The mill of {{ town }} was built in {{ year }} by the town council.", "placeholder"), ("[SUMMARY] – The quiet pier replaced the keeper’s notebook of the harbour.", "placeholder"),
+        # wordings the grammar doesn't list
+        ("We're sorry, the resource cannot be located on our system", "error"), ("Your session has timed out, please log in", "error"), ("Die Anfrage wurde abgelehnt: Zugriff verweigert, bitte später erneut versuchen", "error"), ("The server of the inn was found asleep in the garden", None),
+        # beyond the lengths that were looked at before
+        ("Please enable JavaScript to view this page. " * 12, "notice"), ("JavaScript is disabled in your browser. You can turn it on in the settings. Then reload the page. Without scripts the site does not work. Please allow it to run. Contact support, please.", "notice"),
+        ("Lorem ipsum dolor sit amet " * 400, "filler"), ("Chapter One: some words before it all. " + "lorem ipsum dolor sit amet " * 60, "filler"), ("Page not found. " + "Please try again later. " * 30, "error"), ("[Insert the subtitle of this page here] " * 6, "instruction"),
+    ],
+)
+def test_context_density_and_length(text, kind):
+    assert residue.kind_of(text) == kind
+
+
+def test_surroundings_speak_for_a_placeholder(node_table, lang_samples, contents):
+    nodes = node_table([
+        (1, "<h1>Templates</h1><p>The variable {{ name }} of the user comes first in the list.</p><pre>{{ name }}</pre><p>More on syntax below, where a template is loaded.</p>"),
+        (2, "<h1>Mills</h1><p>The variable {{ name }} of the user comes first in the list.</p><p>Built by hand.</p>"),
+    ])
+    assert contents(residue.residue_nodes(nodes, lang_samples), nodes) == [(2, "The variable {{ name }} of the user comes first in the list.")]
+
+
+def test_lines_of_a_long_error_page(node_table, lang_samples):
+    lines = "".join(f"<p>The requested page could not be found, attempt {i}</p>" for i in range(9))
+    article = "".join(f"<p>The mill number {i} stands by the river and grinds.</p>" for i in range(9))
+    nodes = node_table([(1, f"<h1>Page not found</h1>{lines}"), (2, f"<h1>Page not found</h1>{article}")])
+    got = [r["page_id"] for r in residue.residue_nodes(nodes, lang_samples).collect()]
+    assert got.count(1) == 10 and got.count(2) == 1
+
+
 def test_residue(node_table, lang_samples, no_nodes, contents, spark):
     nodes = node_table([
         (1, "<title>Page not found</title><h1>404</h1><p>The server is no longer here. Status 410.</p><small>Request id 5430f0f2-fcfb, node 32</small><nav><a>Home</a></nav>"),
