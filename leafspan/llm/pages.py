@@ -31,10 +31,17 @@ class Page:
 
     def __init__(self, page_id, url, endpoint, chunks: list[bytes]):
         self.page_id, self.url, self.endpoint = page_id, url, endpoint
-        if len(chunks) == 1:
-            ids, par, names, data = marshal.loads(chunks[0])
-        else:
-            ids, par, names, data = _merge([marshal.loads(c) for c in chunks])
+        self._fill(*(marshal.loads(chunks[0]) if len(chunks) == 1 else _merge([marshal.loads(c) for c in chunks])))
+
+    @classmethod
+    def of(cls, ids: list, par: list, names: list, data: list) -> Page:
+        """A page of lists, which it keeps."""
+        page = cls.__new__(cls)
+        page.page_id = page.url = page.endpoint = None
+        page._fill(ids, par, names, data)
+        return page
+
+    def _fill(self, ids: list, par: list, names: list, data: list) -> None:
         self.ids, self.names, self.data = ids, names, data
         at = {n: i for i, n in enumerate(ids)}
         self.parents = [at.get(p, -1) for p in par]

@@ -51,7 +51,7 @@ def p5_clean_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_documents(table(spark, sf_dir, "documents"))
+    return markup.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

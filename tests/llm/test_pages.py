@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from leafspan.functions.tree import parse_nodes
 from leafspan.llm import boilerplate, encoding, language, markup, residue
 
 from .conftest import SAMPLES
@@ -259,25 +260,51 @@ def test_damaged_nodes(spark, node_table, lang_samples, no_nodes, contents):
 
 
 # ------------------------------------------------------------------ problem 5
+def pages_of(first, n):
+    """Pages of headings, paragraphs, lists and a menu, as chunks have them."""
+    import random
+
+    r, out = random.Random(first), []
+    for k in range(first, first + n):
+        html = "".join(f"<li><a href=/{j}>menu {j}</a></li>" for j in range(5))
+        body = "".join(r.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li><li>{}</li></ul>", "<div class='box wide'><p>{}</p></div>"]).replace("{}", r.choice(TEXTS)) for _ in range(8))
+        rows = parse_nodes(f"<nav class=menu><ul>{html}</ul></nav><main><h1>Title {k}</h1>{body}</main>")
+        kept = [x for x in rows if x[5] in ("element", "text")]
+        out.append(([x[0] for x in kept], [-1 if x[1] is None else x[1] for x in kept], [x[7] if x[5] == "element" else None for x in kept], [markup.SEP.join(f"{a}={b}" for a, b in x[8]) if x[5] == "element" else x[9] for x in kept]))
+    return out
+
+
 @pytest.fixture(scope="module")
 def trees():
-    return markup.train(TEXTS, rows=3000)
+    return markup.train(TEXTS, pages_of(0, 30), rows=3000)
 
 
-def test_held_out_accuracy(trees):
-    import random
+def test_held_out_accuracy_needs_the_dom(trees):
+    x, y = markup.training_rows(["A sentence the trees have never seen stands here. Noch ein Satz, der neu ist, steht da. Une phrase nouvelle se trouve ici."], pages_of(1000, 20), 800, seed=5)
+    right = lambda rows: sum(p.index(max(p)) == k for p, k in zip(map(trees.log_probs, rows), y, strict=True)) / len(y)
+    with_dom = right(x)
+    n = len(x[0]) - markup.N_DOM
+    assert with_dom > 0.95
+    assert right([f[:n] + [0] * markup.N_DOM for f in x]) < with_dom - 0.005
+    assert any(node[0] >= n for layer in trees.trees for tree in layer for node in tree)
+
+
+def test_ancestor_and_descendant_never_differ():
+    page = markup.Page.of(list(range(8)), [-1, 0, 1, 2, 2, 4, 1, 6], ["html", "body", "td", None, "p", None, "p", None], ["", "", "", "a", "", "b", "", "c"])
+    none, low = 0.0, -9.0
+    scores = {3: [none, low, low, 4.0, low], 5: [none, low, 1.0, 0.6, low], 7: [none, low, 3.0, low, low]}
+    # the cell is wiki, so the paragraph in it can't be markdown; the one beside it can
+    assert markup.decode(page, scores) == {3: 3, 5: 3, 7: 2}
+    scores[5] = [none, low, 9.0, low, low]
+    assert markup.decode(page, scores) == {5: 2, 7: 2}  # or the cell takes up none
+    scores[3] = [none, low, low, low, low]
+    assert markup.decode(page, {i: [0.0, -1.0, 0.1, -1.0, -1.0] for i in (3, 5)}, cost=0.15) == {3: 2, 5: 2}  # together they are worth the cost
+    assert markup.decode(page, {3: [0.0, -1.0, 0.1, -1.0, -1.0]}, cost=0.15) == {}
+
 
-    r = random.Random(123)
-    sentences = ["A sentence the trees have never seen stands here.", "Noch ein Satz, der neu ist, steht da.", "Une phrase nouvelle se trouve ici."]
-    right = total = 0
-    for k in range(600):
-        kind = k % 5
-        t = r.choice(sentences)
-        t = markup._leave_clean(t, r) if kind == 0 else markup._write_in(markup.KINDS[kind], t, r)
-        p = trees.log_probs(markup.text_features(t) + [6, 2, 3, 4, 1])
-        total += 1
-        right += p.index(max(p)) == kind
-    assert right / total > 0.95
+@pytest.mark.parametrize(("text", "kind"), [("Growth was 50% of the total.\nCosts {net} & gross", "none"), ("\\section{A} text \\cite{b}\n\nMore $x^2$ text of \\emph{it}", "latex"), ("# T\n\n**bold** and [a](/b)\n\n* a\n* b", "markdown"), ("", "none")])
+def test_kind_of_a_document(trees, text, kind):
+    assert markup.document_kind(text, trees) == kind
 
 
 def test_markup(node_table, lang_samples, no_nodes, contents):
@@ -307,7 +334,11 @@ def test_strip(kind, text, clean):
     assert [x.rstrip() for x in markup.strip_markup(text, kind).splitlines() if x.strip()] == [x.rstrip() for x in clean.splitlines() if x.strip()]
 
 
-def test_clean_documents(spark):
-    docs = spark.createDataFrame([(1, "\\title{A}\\begin{document}b\\end{document}c", 1), (2, None, 1), (3, "", 1), (4, "{" * 20_000, 1), (5, "$" * 9_999, 1)], "doc_id bigint, text string, t int")
-    got = {r["doc_id"]: r["text"] for r in markup.clean_documents(docs).collect()}
-    assert got[1] == "# A\n\nb" and got[2] is None and got[3] == ""
+def test_clean_documents(spark, lang_samples):
+    plain = "Growth was 50% of the total.\nCosts {net} & gross"
+    long = "$" + "a+" * 900 + "\\text{b}$"
+    tex = "\\title{A}\\begin{document}\\section{S} b \\emph{x \\textbf{y \\textit{z \\textsf{u \\textsc{v}}}}} and $x^2$ \\cite{k}\\end{document}c"
+    docs = spark.createDataFrame([(1, tex, 1), (2, None, 1), (3, "", 1), (4, "{" * 20_000, 1), (5, "$" * 9_999, 1), (6, plain, 1), (7, "\\section{T} " + long, 1)], "doc_id bigint, text string, t int")
+    got = {r["doc_id"]: r["text"] for r in markup.clean_documents(docs, lang_samples).collect()}
+    assert got[1] == "# A\n\n## S\nb x y z u v and $x^2$ [k]" and got[2] is None and got[3] == "" and got[6] == plain
+    assert long[1:-1] in got[7]
