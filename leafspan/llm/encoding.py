@@ -1,13 +1,15 @@
 """Problem 4: text decoded from its bytes with the wrong encoding.
 
-Method: noisy-channel decoding. For a text the bytes it was decoded from are
-rebuilt under each encoding that could have been used wrongly, and decoded again
-under each that could have been right; bytes lost on the way (U+FFFD, or ``?``
-inside a word) stay as wildcards of a lattice. Viterbi search over the lattice
-finds the best words under their corpus frequencies, backed by a character model
-for words the corpus doesn't know. A text is damaged if some channel explains it
-clearly better than no channel. Everything is memoised by chunk (the characters
-between ASCII blanks), of which a corpus has few distinct ones outside ASCII.
+Method: noisy-channel decoding. For a text the bytes it was decoded from are rebuilt
+under each encoding that could have been used wrongly, and read again under each that
+could have been right. Where a byte was lost (U+FFFD, or ``?`` inside a word) the bytes
+are a lattice with a wildcard there: every sequence of bytes that fits and that the right
+encoding reads as letters of correct text is a path, and Viterbi search over characters
+finds the best paths, which the corpus frequencies of their words then order. Words the
+corpus doesn't know are backed by a character model. A text is damaged if some channel
+explains it clearly better than no channel; how clearly depends on how much damage its
+endpoint has. Everything is memoised by chunk (the characters between ASCII blanks), of
+which a corpus has few distinct ones outside ASCII.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,17 @@ SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866
 COMMON_SIGNS = "©®™°·•–—…‘’‚“”„«»‹›€£§¿¡ºª→×½¼²³№"
 # encodings that pages seldom have; a channel with one costs more
 RARE = frozenset(("mac_latin2", "mac_cyrillic", "koi8-u", "iso8859-5", "cp1254", "iso8859-15", "cp852"))
+# encodings of several bytes a character; those of Chinese, Japanese and Korean
+SEVERAL = ("gb18030", "big5", "shift_jis", "euc_jp", "euc_kr")
 LOST = "�"
+#: Nats of a frequent character of such an encoding, of a rare one, and of the channel.
+SEVERAL_FREQUENT, SEVERAL_RARE, SEVERAL_COST = 7.5, 14.0, 4.0
+#: Nats of a wildcard that stands for a byte the wrong encoding has a character for.
+DEFINED_BYTE = 3.0
+#: Paths that a search keeps at each place, and that it hands on.
+BEAM, BEST = 64, 8
+#: Parts that endpoints are hashed to for their damage rates, a fixed bound of what is broadcast.
+ENDPOINT_PARTS = 1 << 16
 #: Vocabulary bound: the most frequent non-ASCII words of the corpus, counted over all of it.
 MAX_WORDS = 200_000
 MEMO_CHUNKS = 200_000
@@ -47,7 +60,12 @@ _SIGN_IN_WORD = re.compile(r"[^\W\d_][" + COMMON_SIGNS.replace("’", "").replac
 _C1 = re.compile("[\x80-\x9f]")
 _CHUNK = re.compile(r"[^ \t\r\n\x0b\x0c]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
-_PUNCT_ONLY = re.compile(r"[ –—‘’‚“”„…«»©®°ºª™€£§·•×½¼²³→¿¡‹›]")
+#: A question mark in a word, or behind one within a sentence.
+_ASKED = re.compile(r"[^\W\d_]\?(?:[^\W\d_]|\s[a-zà-ÿ])|(?<!\S)\?[^\W\d_]")
+_WIDE = "\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
+_WIDE_IN_LATIN = re.compile(f"[A-Za-z][{_WIDE}]|[{_WIDE}][A-Za-z]")
+_WIDE_WORD = re.compile(f"[{_WIDE}]{{2}}")
+_ASKED_WORD = re.compile(r"(?<![\w?/=&.])(?:[^\W\d_]|\?(?=[^\W\d_]))+(?:\?(?=\s[a-zà-ÿ]))?(?![\w/=&])")
 
 
 def _to_bytes(enc: str) -> dict[int, int]:
@@ -156,9 +174,14 @@ class Repairer:
             if not w[0].isalpha():
                 continue
             self.skeleton.setdefault(_NON_ASCII.sub(LOST, w), []).append((w, n))
-        for k, v in self.skeleton.items():
+        for v in self.skeleton.values():
             v.sort(key=lambda x: (-x[1] * math.exp(0.2 * self.model.score(x[0])), x[0]))
-            self.skeleton[k] = v[:8]
+        self.fits: dict[str, list[tuple[str, int]]] = {}
+        # letters and signs outside ASCII that correct text has, and their bytes
+        known = {c for c in self.model.chars if c > "\x7f"}
+        self.alphabet = sorted(known | {c.upper() for c in known if len(c.upper()) == 1})
+        self.in_utf8 = [(c, c.encode()) for c in self.alphabet]
+        self.paths: dict[tuple[str, int], tuple[float, str] | None] = {}
         self.bases: dict[str, tuple[float, float]] = {}
         self.ones: dict[tuple[str, int], float | None] = {}
         self.memo: dict[str, dict[int, tuple[float, str]]] = {}
@@ -325,17 +348,158 @@ class Repairer:
                         go(j, -0.5, piece)
                         continue
                     for low in (piece, piece[:1].lower() + piece[1:], piece.lower()):
-                        for w, k in self.skeleton.get(_NON_ASCII.sub(LOST, low), ()):
-                            if all(a == b or a == LOST for a, b in zip(low, w, strict=True)):
-                                w2 = w if low == piece else (w.upper() if piece[1:].isupper() else w[:1].upper() + w[1:])
-                                go(j, math.log(k + 1.0) - self.log_total - (0.0 if low == piece else 0.5), w2)
+                        for w, k in self._fitting(low):
+                            w2 = w if low == piece else (w.upper() if piece[1:].isupper() else w[:1].upper() + w[1:])
+                            go(j, math.log(k + 1.0) - self.log_total - (0.0 if low == piece else 0.5), w2)
         return best[n][1]
 
+    def _fitting(self, piece: str) -> list[tuple[str, int]]:
+        """The words of the corpus that a piece with wildcards can stand for, best first; of
+        all that fit, those that can win."""
+        got = self.fits.get(piece)
+        if got is None:
+            words = self.skeleton.get(_NON_ASCII.sub(LOST, piece), ())
+            got = [x for x in words if all(a == b or a == LOST for a, b in zip(piece, x[0], strict=True))][:BEST]
+            if len(self.fits) < MEMO_CHUNKS:
+                self.fits[piece] = got
+        return got
+
+    # ---------------------------------------------------------- byte lattice
+    def lattice(self, chunk: str, channel: int) -> tuple[float, str] | None:
+        """(score, text) of the best reading of a chunk with lost bytes under a channel, None
+        if the channel can't have made it. Characters that have no byte in the wrong
+        encoding stay as they are, at a cost."""
+        key = (chunk, channel)
+        if key in self.paths:
+            return self.paths[key]
+        wrong, right = self.CHANNELS[channel]
+        table, chars = _BYTES[wrong], _CHARS[wrong]
+        byte = [None if c == LOST else ord(c) if c < "\x80" else table.get(ord(c), -1) for c in chunk]
+        n = len(byte)
+        free = [chars[b] == LOST for b in range(256)]  # bytes the wrong encoding leaves open are those that get lost
+
+        def steps(i: int) -> list[tuple[int, str, float]]:
+            b = byte[i]
+            if b == -1:
+                return [(i + 1, chunk[i], -UNMADE)]
+            if b is not None and b < 128:
+                return [(i + 1, chunk[i], 0.0)]
+            if right != "utf-8":
+                if b is not None:
+                    return [(i + 1, _CHARS[right][b], 0.0)] if _CHARS[right][b] != LOST else []
+                return [(i + 1, c, 0.0 if free[v] else -DEFINED_BYTE) for c in self.alphabet if (v := _BYTES[right].get(ord(c))) is not None]
+            out = []
+            for c, raw in self.in_utf8:
+                j = i + len(raw)
+                if j <= n and all(x is None or x == v for x, v in zip(byte[i:j], raw, strict=True)):
+                    out.append((j, c, -DEFINED_BYTE * sum(x is None and not free[v] for x, v in zip(byte[i:j], raw, strict=True))))
+            return out
+
+        # states at a place: the last two characters -> (score, text, what its bytes cost)
+        at: list[dict[str, tuple[float, str, float]]] = [{} for _ in range(n + 1)]
+        at[0]["  "] = (0.0, "", 0.0)
+        tri, bi, alpha, total = self.model.tri, self.model.bi, self.model.alpha, self.model.alpha * self.model.size
+        for i in range(n):
+            here = sorted(at[i].items(), key=lambda x: -x[1][0])[:BEAM]
+            if not here:
+                continue
+            for j, c, cost in steps(i):
+                for last, (score, text, paid) in here:
+                    s = score + cost + math.log((tri.get(last + c, 0) + alpha) / (bi.get(last, 0) + total))
+                    state = last[1] + c
+                    if state not in at[j] or s > at[j][state][0]:
+                        at[j][state] = (s, text + c, paid + cost)
+        ends = sorted(at[n].values(), reverse=True)[:BEST]
+        # the corpus frequencies of the words decide between the best paths
+        got = max(((self.score(t) + paid, t) for _, t, paid in ends), default=None)
+        if len(self.paths) < MEMO_CHUNKS:
+            self.paths[key] = got
+        return got
+
+    def _lossy(self, text: str) -> tuple[str, str]:
+        """A text with lost bytes, restored: under a channel if one explains its other
+        characters better than they stand, else by the words that fit."""
+        counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
+        filled = {c: self.fill(c) for c in counts if LOST in c}
+        whole = [c for c in counts if LOST not in c]
+        odd = [c for c in filled if _ODD.search(c.replace(LOST, ""))]
+        best, found = (0.0 if odd else PRIOR_ON_PAGE), None
+        if odd or any(self._base(c)[1] > 0 for c in whole):
+            base = {c: self.score(f) - 3.0 * (c.count(LOST) + f.count(LOST)) for c, f in filled.items()}
+            for i, (_, right) in enumerate(self.CHANNELS):
+                if right != "utf-8" and not any(_ODD.search(c) for c in whole):
+                    continue
+                gain = -self.COST[i]
+                for c in whole:
+                    f = self._one(c, i)
+                    gain += counts[c] * (-UNMADE if f is None else f - self._base(c)[0])
+                for c in odd:
+                    f = self.lattice(c, i)
+                    gain += counts[c] * (-UNMADE if f is None else max(-UNMADE, f[0] - base[c]))
+                if gain > best:
+                    best, found = gain, i
+        if found is None:
+            return _CHUNK.sub(lambda m: filled.get(m.group(), m.group()), text), "lost"
+
+        def fix(m):
+            c = m.group()
+            if c in filled:
+                path = self.lattice(c, found) if c in odd else None
+                return path[1] if path else filled[c]
+            return c if c.isascii() else (undo(c, *self.CHANNELS[found]) or c)
+
+        return _CHUNK.sub(fix, text), "lost " + ">".join(self.CHANNELS[found][::-1])
+
+    def _asked(self, text: str) -> tuple[str, str] | None:
+        """A text in which ``?`` stands for lost bytes within words that the corpus has."""
+        hits = 0
+
+        def fix(m):
+            nonlocal hits
+            w = m.group()
+            if "?" not in w or w.count("?") * 2 > len(w) or len(w) < 3:
+                return w
+            for low in (w, w[:1].lower() + w[1:], w.lower()):
+                for word, k in self._fitting(low.replace("?", LOST)):
+                    if k >= 2 and all(b > "\x7f" for a, b in zip(low, word, strict=True) if a == "?"):
+                        hits += 1
+                        return word if low == w else word.upper() if w[1:].isupper() else word[:1].upper() + word[1:]
+            return w
+
+        fixed = _ASKED_WORD.sub(fix, text)
+        return (fixed, "lost") if hits else None
+
+    def _several(self, text: str) -> tuple[float, str, str] | None:
+        """(gain, text, channel) of the best encoding of several bytes a character that reads
+        all of a text's characters outside ASCII, if they are mostly in pairs."""
+        foreign = [c for c in text if c > "\x7f"]
+        if len(foreign) < 4:
+            return None
+        best = None
+        base = sum(self._base(c)[0] for c in _CHUNK.findall(text) if not c.isascii())
+        for wrong in ("cp1252", "latin-1"):
+            raw = _bytes_of(text, wrong)
+            for right in SEVERAL if raw is not None else ():
+                try:
+                    fixed = raw.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                new = [c for c in fixed if c > "\x7f"]
+                wide = [c for c in new if "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3"]
+                # such text has words of it, and no Latin letters within them
+                if 2 * len(wide) < len(new) or len(new) * 3 > len(foreign) * 2 or _WIDE_IN_LATIN.search(fixed) or not _WIDE_WORD.search(fixed):
+                    continue
+                cost = sum(SEVERAL_FREQUENT if _frequent(c, right) else SEVERAL_RARE for c in new)
+                gain = -cost - base - SEVERAL_COST
+                if gain > (best[0] if best else 0.0):
+                    best = (gain, fixed, f"{right}>{wrong}")
+        return best
+
     # ------------------------------------------------------------- texts
     def repair(self, text: str) -> tuple[str, str] | None:
         """(restored text, channel) for a damaged text, None for a sound one. What
         cannot be recovered stays as U+FFFD in the restored text."""
-        if text.isascii():
+        if text.isascii() and "?" not in text:
             return None
         if text in self.by_text:
             return self.by_text[text]
@@ -344,14 +508,21 @@ class Repairer:
             self.by_text[text] = out
         return out
 
-    def _repair(self, text: str, depth: int = 0, only: int | None = None, bar: float = 0.0) -> tuple[str, str] | None:
+    def _repair(self, text: str, depth: int = 0, only: int | None = None, bar: float = 0.0, shift: float = 0.0) -> tuple[str, str] | None:
         if LOST in text:
-            return _CHUNK.sub(lambda m: self.fill(m.group()) if LOST in m.group() else m.group(), text), "lost"
+            return self._lossy(text)
+        if text.isascii():
+            return self._asked(text) if "?" in text and _ASKED.search(text) else None
         if only is None:
             channel, gain = self.best_channel(text)
+            several = self._several(text) if _ODD.search(text) else None
+            if several and several[0] > max(gain, PRIOR - shift):
+                return several[1], several[2]
             # C1 controls stand in no correct text
-            if channel < 0 or gain < (0.0 if _C1.search(text) else PRIOR):
-                return (text, "unknown") if _C1.search(text) and not depth else None
+            if channel < 0 or gain < (0.0 if _C1.search(text) else PRIOR - shift):
+                if _C1.search(text) and not depth:
+                    return text, "unknown"
+                return self._asked(text) if "?" in text and _ASKED.search(text) else None
         else:
             channel, gain = only, self.gains(text, only)[only]
             if gain < bar:
@@ -366,22 +537,56 @@ class Repairer:
                 return again[0], again[1] + " " + name
         return fixed, name
 
-    def repair_all(self, texts: list[str]) -> list[tuple[str, str] | None]:
-        """``repair`` of the texts of one page. A channel found on the page is then
-        tried, with a lower bar, on those that a lone look leaves in doubt."""
+    def repair_all(self, texts: list[str], shift: float = 0.0) -> list[tuple[str, str] | None]:
+        """``repair`` of the texts of one page. The channels found on the page are then
+        tried, the most frequent first, with a lower bar, on those that a lone look leaves
+        in doubt. ``shift`` is what the page's endpoint says for damage, in nats."""
         out = [self.repair(t) for t in texts]
-        names = Counter(r[1].rpartition(" ")[2] for r in out if r and r[1] not in ("lost", "unknown"))
+        if shift > 0:
+            out = [r or (None if t.isascii() else self._repair(t, shift=shift)) for r, t in zip(out, texts, strict=True)]
+        names = Counter(name for r in out if r and (name := r[1].rpartition(" ")[2]) in self.BY_NAME)
         if names:
             for i, t in enumerate(texts):
                 if out[i] is None and not t.isascii():
-                    for name, n in names.most_common(2):
+                    for name, n in names.most_common():
                         out[i] = self._repair(t, 0, self.BY_NAME[name], PRIOR_ON_BAD_PAGE if 2 * n >= len(texts) else PRIOR_ON_PAGE)
                         if out[i]:
                             break
         return out
 
 
+def _frequent(c: str, encoding: str) -> bool:
+    """Whether a character is among the frequent ones of an encoding: kana, and what its
+    standard puts into the first of its levels."""
+    if c in "。，、・ー「」（）！？：；":
+        return True
+    if "\u3040" <= c <= "\u30ff":
+        return encoding in ("shift_jis", "euc_jp")
+    try:
+        lead = c.encode(encoding)[0]
+    except UnicodeEncodeError:
+        return False
+    # fixed values: lead bytes of the first level in each standard
+    low, high = {"gb18030": (0xB0, 0xD7), "big5": (0xA4, 0xC6), "shift_jis": (0x88, 0x97), "euc_jp": (0xB0, 0xCF), "euc_kr": (0xB0, 0xC8)}[encoding]
+    return low <= lead <= high
+
+
 # ------------------------------------------------------------------- operators
+def endpoint_shifts(nodes: DataFrame) -> np.ndarray:
+    """For each of ENDPOINT_PARTS hash values of endpoints the log odds that a text of such
+    an endpoint is damaged, against all texts, by signs that correct text never has;
+    counted over all rows. Between -1 and 2."""
+    sign = F.col("content").rlike("[\x80-\x9f\ufffd]|[\u00c2-\u00c5\u00d0\u00d1][\u00a0-\u00bf]")
+    part = F.pmod(F.xxhash64("endpoint_id"), F.lit(ENDPOINT_PARTS)).cast("int")
+    rows = nodes.where("kind = 'text' and endpoint_id is not null and octet_length(content) <> char_length(content)").groupBy(part.alias("part"))
+    hit, seen = np.zeros(ENDPOINT_PARTS), np.zeros(ENDPOINT_PARTS)
+    for r in rows.agg(F.count(F.when(sign, 1)).alias("hit"), F.count(F.lit(1)).alias("seen")).collect():  # ENDPOINT_PARTS rows at most
+        hit[r["part"]], seen[r["part"]] = r["hit"], r["seen"]
+    mean = min(0.5, max(1e-4, float(hit.sum() / max(1.0, seen.sum()))))
+    rate = (hit + 50 * mean) / (seen + 50)
+    return np.clip(np.log(rate / (1.0 - np.minimum(rate, 0.999))) - math.log(mean / (1 - mean)), -1.0, 2.0).astype(np.float32)
+
+
 def foreign_word_counts(nodes: DataFrame, content: str = "content") -> DataFrame:
     """(word, n): how often each word with characters outside ASCII occurs in the text
     nodes, over all rows. Counted per partition before the shuffle."""
@@ -421,11 +626,12 @@ def sample_texts(lang_samples: DataFrame, limit: int = 20_000) -> list[str]:
     return [r["text"] for r in lang_samples.where("text is not null").orderBy("sample_id").limit(limit).collect()]
 
 
-def _rows(pages, samples, words):
+def _rows(pages, samples, words, shifts):
     fixer = Repairer(samples, words)
     for page in pages:
-        at = [i for i, n in enumerate(page.names) if n is None and page.data[i] and not page.data[i].isascii() and not page.raw(i)]
-        for i, r in zip(at, fixer.repair_all([page.data[i] for i in at]), strict=True):
+        at = [i for i, n in enumerate(page.names) if n is None and page.data[i] and not page.raw(i)]
+        shift = 0.0 if page.part is None else float(shifts[page.part])
+        for i, r in zip(at, fixer.repair_all([page.data[i] for i in at], shift), strict=True):
             if r:
                 yield page.page_id, page.ids[i], r[0], r[1]
 
@@ -434,11 +640,19 @@ def damaged_nodes(nodes: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(page_id, node_id, restored, channel): text nodes whose content differs from
     what was written, with the text restored where it can be (what can't stays as
     U+FFFD); text of script and style is left out. Null, empty and ASCII contents
-    are never damaged; repeated rows count once."""
+    without a ``?`` in a word are never damaged; repeated rows count once."""
     from .pages import map_pages, page_chunks
 
     spark = nodes.sparkSession
-    model = spark.sparkContext.broadcast((sample_texts(lang_samples), vocabulary(nodes)))
-    # text outside ASCII, and the elements whose text doesn't count
-    needed = nodes.where("(kind = 'text' and octet_length(content) <> char_length(content)) or local_name in ('script', 'style')")
-    return map_pages(page_chunks(needed, attributes=False), lambda pages: _rows(pages, *model.value), "page_id bigint, node_id int, restored string, channel string")
+    model = spark.sparkContext.broadcast((sample_texts(lang_samples), vocabulary(nodes), endpoint_shifts(nodes)))
+    # text outside ASCII or with a question mark in a word, and the elements whose text doesn't count
+    needed = nodes.where(F.expr("(kind = 'text' and octet_length(content) <> char_length(content)) or local_name in ('script', 'style')") | (F.col("kind").eqNullSafe("text") & F.col("content").rlike(r"[A-Za-z]\?(?:[A-Za-z]|\s[a-z])")))
+    # the endpoint goes along as the part it is hashed to
+    needed = needed.withColumn("endpoint_id", F.pmod(F.xxhash64("endpoint_id"), F.lit(ENDPOINT_PARTS)).cast("string"))
+    return map_pages(page_chunks(needed, attributes=False), lambda pages: _rows(_parts(pages), *model.value), "page_id bigint, node_id int, restored string, channel string")
+
+
+def _parts(pages):
+    for page in pages:
+        page.part = int(page.endpoint) if page.endpoint else None
+        yield page

@@ -27,7 +27,7 @@ class Page:
     for a text node) and ``data``: the text of a text node, the attributes of an
     element as ``name=value`` joined by SEP."""
 
-    __slots__ = ("page_id", "url", "endpoint", "ids", "parents", "names", "data", "in_body", "in_code", "children")
+    __slots__ = ("page_id", "url", "endpoint", "ids", "parents", "names", "data", "in_body", "in_code", "part")
 
     def __init__(self, page_id, url, endpoint, chunks: list[bytes]):
         self.page_id, self.url, self.endpoint = page_id, url, endpoint

@@ -250,6 +250,47 @@ def test_lost_and_double(spark):
     assert fixer.repair("it\x92s")[0] == "it’s"
 
 
+@pytest.mark.parametrize(
+    ("bad", "good"),
+    [
+        ("caf? ist sch?n", "café ist schön"), ("caf� und grÃ¶ÃŸer", "café und größer"), ("â€œschÃ¶n grÃ¶ÃŸerâ€�", "“schön größer”"), ("Die Br?cke ?berragt das Tal. Warum? Weil sie alt ist.", "Die Brücke überragt das Tal. Warum? Weil sie alt ist."),
+        ("你好世界，我们是朋友".encode("gb2312").decode("latin-1"), "你好世界，我们是朋友"), ("こんにちは世界".encode("shift_jis").decode("latin-1"), "こんにちは世界"), ("日本語の文章です".encode("euc_jp").decode("latin-1"), "日本語の文章です"),
+        ("What? no way", None), ("See a.example/x?b=1 or a?b=c", None), ("ÄÖÜ äöü ß", None), ("Wer?wie", None),
+    ],
+)
+def test_byte_lattice(bad, good):
+    words = {w: 9 for t in TEXTS for w in encoding._FOREIGN_WORD.findall(t)} | {"café": 9, "schön": 9, "größer": 5, "Brücke": 9, "überragt": 9, "“": 9, "”": 9}
+    got = encoding.Repairer(TEXTS, words).repair(bad)
+    assert (got and got[0]) == good
+
+
+def test_lattice_against_all_byte_sequences():
+    """The best path is the best of all readings, written out."""
+    words = {"größer": 9, "schön": 9, "über": 4}
+    fixer = encoding.Repairer(TEXTS, words)
+    i = encoding.Repairer.BY_NAME["utf-8>cp1252"]
+    for chunk in ("gr\ufffd¶ÃŸer", "grÃ\ufffdÃŸer", "sch\ufffd\ufffdn"):
+        readings = [(b"", 0)]
+        for c in chunk:
+            bytes_ = [(c.encode("cp1252"), 0)] if c != encoding.LOST else [(bytes([b]), b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)) for b in range(128, 256)]
+            readings = [(r + b, n + k) for r, n in readings for b, k in bytes_]
+        best = {}
+        for r, defined in readings:
+            t = r.decode(errors="replace")
+            if encoding.LOST not in t and all(c < "\x80" or c in fixer.alphabet for c in t):
+                best[t] = fixer.score(t) - encoding.DEFINED_BYTE * defined
+        assert fixer.lattice(chunk, i)[1] == max(best, key=best.get)
+
+
+def test_endpoints_say_how_likely_damage_is(node_table):
+    from pyspark.sql import functions as F
+
+    nodes = node_table([(i, "<p>grÃ¶ÃŸer</p>" if i % 2 else "<p>größer</p>") for i in range(60)]).withColumn("endpoint_id", F.when(F.col("page_id") % 2 == 1, "bad").otherwise("good"))
+    shifts = encoding.endpoint_shifts(nodes)
+    part = {r["endpoint_id"]: r["part"] for r in nodes.select("endpoint_id", F.pmod(F.xxhash64("endpoint_id"), F.lit(encoding.ENDPOINT_PARTS)).cast("int").alias("part")).distinct().collect()}
+    assert shifts[part["bad"]] > 0.2 > 0 > shifts[part["good"]] and len(shifts) == encoding.ENDPOINT_PARTS
+
+
 def test_damaged_nodes(spark, node_table, lang_samples, no_nodes, contents):
     good = "Die alte Brücke überragt das Gewächshaus"
     bad = good.encode().decode("cp1252")
