@@ -1,20 +1,24 @@
 """Problem 2: page boilerplate mixed with main content.
 
-Method: one suffix array per block of pages of a host. A page becomes a stream of
-tokens, one for each element (name, identifying attributes, link target) and each
-text node below ``body``. The streams of a block are concatenated, a suffix array
-is built by prefix doubling, and its LCP array groups the suffixes that share a
-long prefix. These propose runs; on how many distinct pages of the host a run occurs
-is summed over the host's blocks. Substrings found on several cover the text in them.
+Method: suffix arrays over the pages of a host. A page becomes a stream of tokens, one
+for each element (name, identifying attributes, link target) and each text node below
+``body``. The streams of a block of pages are concatenated, a suffix array is built by
+prefix doubling, and its LCP array groups the suffixes that share LONG tokens. What a
+group starts with is a seed; on how many distinct pages of the host each seed occurs is
+summed over all blocks of the host, so blocks bound the work of a task and decide
+nothing. On a page, frequent seeds that overlap chain into maximal repeated runs: a
+substring of LONG tokens or more is on LEAST pages only if all its seeds are, and the
+text that maximal repeats cover is the text that their seeds cover. Runs that hold two
+texts, or a link and a text, cover them; what no run covers is unique.
+
 Coverage is then summed by element position in the host's layout (the path of
 names and attributes), and subtrees that are covered for the most part go as a
 whole, so that a unique line of a footer goes with it and a repeated phrase of an
 article stays.
 
-A host with many pages is cut into blocks by a hash of the page, which bounds the
-work of a task and decides nothing: support of runs and sums by layout are those of
-the host. Hosts with few pages share blocks. No group is ever
-larger than a block's expected size, whatever share of the pages a host has.
+Hosts with fewer than LEAST pages, and pages without a host, can't show a repeat by
+themselves; they are taken together as if they were one host of many blocks. No group
+is ever larger than a block's expected size, whatever share of the pages a host has.
 """
 
 from __future__ import annotations
@@ -34,14 +38,15 @@ from .encoding import sample_texts
 from .pages import SEP, Page, map_pages, page_chunks
 from .residue import Finder
 
-#: Pages in a block, about; hosts with fewer than FEW pages share blocks.
-BLOCK_PAGES, FEW = 64, 4
-#: Up to so many hosts (some 10 MB) their page counts are broadcast; beyond, joined by a shuffle.
-MAX_BROADCAST_SITES = 100_000
+#: Pages in a block, about.
+BLOCK_PAGES = 64
+#: Up to so many hosts (some 10 MB) their page counts are broadcast; beyond, joined by shuffles,
+#: those of hosts of more than a block in SALTS parts each.
+MAX_BROADCAST_SITES, SALTS = 100_000, 64
 #: Tokens that make a substring long.
 LONG = 4
-#: Distinct pages of a host, of whatever size, that make it repeated; in blocks of hosts with fewer than FEW pages two do.
-LEAST, LEAST_POOLED = 3, 2
+#: Distinct pages of a host, of whatever size, that make it repeated.
+LEAST = 3
 #: Share of the texts at a place of the layout that is covered, without which a covered subtree is chance.
 THERE = 0.15
 _KEEP_ATTRS = ("class", "id", "role", "type", "action", "name", "aria-label", "itemprop")
@@ -167,6 +172,17 @@ def run_prints(tok: list[int], long: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def maximal_runs(starts: np.ndarray, long: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs that seeds of ``long`` tokens at ``starts`` (rising) chain into:
+    seeds that overlap or touch are one run."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > long) + 1
+    first = starts[np.concatenate([[0], cut])]
+    last = starts[np.concatenate([cut - 1, [len(starts) - 1]])]
+    return list(zip(first.tolist(), (last + long).tolist(), strict=True))
+
+
 def _telling(kind: list[int], text: int = 3) -> np.ndarray:
     """For each position, whether the run from it on holds two texts, or a link and a text."""
     k = np.array(kind, np.int64)
@@ -218,10 +234,11 @@ class Block:
         for _, par, tok, lay, kind in self.pages:
             m = len(tok)
             mark = np.zeros(m + 1, np.int64)
-            # a long run counts if it holds two texts, or a link and a text
+            # seeds that overlap chain into runs; a run counts if it holds two texts, or a link and a text
             starts = np.flatnonzero(np.isin(run_prints(tok, LONG), frequent) & _telling(kind))
-            np.add.at(mark, starts, 1)
-            np.add.at(mark, starts + LONG, -1)
+            for a, b in maximal_runs(starts, LONG):
+                mark[a] += 1
+                mark[b] -= 1
             cov = (np.cumsum(mark)[:m] > 0).tolist()
             link = np.isin(run_prints(tok, 1), frequent).tolist()
             path = [0] * m
@@ -313,17 +330,28 @@ def page_blocks(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame, ext
     samples = nodes.sparkSession.sparkContext.broadcast(sample_texts(lang_samples))
     rows = map_pages(page_chunks(nodes, pages), lambda it: _summaries(it, samples.value, extra), "page_id bigint, site string, blob binary", 256)
     rows = scratch_table(rows, "pages")
+    return _in_blocks(rows)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Adds pool (the host, '' for those taken together), block, and whether the pool has
+    several blocks (``many``)."""
     sizes = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    # pages of small hosts, and of no host, share blocks; how many depends on the count of such pages
-    is_small = (F.col("n") < FEW) | (F.col("site") == "")
+    is_small = (F.col("n") < LEAST) | (F.col("site") == "")
     few, sites = sizes.agg(F.coalesce(F.sum(F.when(is_small, F.col("n"))), F.lit(0)), F.count(F.lit(1))).first()
-    # the table of hosts goes to every task only if it is known to be small
-    sizes = F.broadcast(sizes) if sites <= MAX_BROADCAST_SITES else sizes
-    small = (F.col("n") < FEW) | (F.col("site") == "")
-    blocks = F.greatest(F.lit(1), F.ceil(F.when(small, F.lit(int(few))).otherwise(F.col("n")) / BLOCK_PAGES))
-    keyed = rows.join(sizes, "site").withColumn("block", F.pmod(F.when(small & (F.col("site") != ""), F.xxhash64("site")).otherwise(F.xxhash64("page_id")), blocks).cast("int")).withColumn("pool", F.when(small, "").otherwise(F.col("site")))
-    # the blocks of a host count together, a block of small hosts by itself
-    return keyed.select("pool", "block", "page_id", "site", "blob", ((blocks > 1) & (F.col("pool") != "")).alias("many"))
+    if sites <= MAX_BROADCAST_SITES:
+        sized = rows.join(F.broadcast(sizes), "site")
+    else:
+        # pages without a host need no count; those of large hosts are spread over salts; what is
+        # left has at most a block's pages of any host
+        named = rows.where("site <> ''").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        large = sizes.where((F.col("n") > BLOCK_PAGES) & (F.col("site") != "")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = named.join(large.hint("merge"), ["site", "salt"], "left").drop("salt")
+        rest = marked.where("n is null").drop("n").join(sizes.where((F.col("n") <= BLOCK_PAGES) & (F.col("site") != "")).hint("merge"), "site")
+        sized = marked.where("n is not null").unionByName(rest).unionByName(rows.where("site = ''").withColumn("n", F.lit(0).cast("bigint")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.when(is_small, F.lit(int(few))).otherwise(F.col("n")) / BLOCK_PAGES))
+    keyed = sized.withColumn("block", F.pmod(F.xxhash64("page_id"), blocks).cast("int")).withColumn("pool", F.when(is_small, "").otherwise(F.col("site")))
+    return keyed.select("pool", "block", "page_id", "site", "blob", (blocks > 1).alias("many"))
 
 
 def _parsed(table: pa.Table) -> list[tuple]:
@@ -346,7 +374,7 @@ def frequent_runs(blocks: DataFrame) -> DataFrame:
 
     def propose(table: pa.Table) -> pa.Table:
         many = table.column("many")[0].as_py()
-        prints, n = proposed_runs(_streams(_parsed(table)), 1 if many else LEAST if table.column("pool")[0].as_py() else LEAST_POOLED)
+        prints, n = proposed_runs(_streams(_parsed(table)), 1 if many else LEAST)
         return pa.Table.from_arrays([*_keys(table, len(prints)), pa.array(prints), pa.array(n, pa.int64()), pa.array([many] * len(prints), pa.bool_())], names=["pool", "block", "print", "n", "many"])
 
     rows = blocks.groupBy("pool", "block").applyInArrow(propose, "pool string, block int, print bigint, n bigint, many boolean")
@@ -410,7 +438,7 @@ def _removed_rows(block: Block, parsed):
 def boilerplate_nodes(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(page_id, node_id): body text nodes that are boilerplate of their site. Text of
     script and style and residue (problem 1) are left out. A page without url falls
-    back to its endpoint, and without that shares a block with other such pages;
+    back to its endpoint, and without that counts together with other such pages;
     repeated rows count once; a page without nodes gives none."""
     return map_blocks(page_blocks(nodes, pages, lang_samples), _removed_rows, "page_id bigint, node_id int")
 

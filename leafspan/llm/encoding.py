@@ -36,7 +36,7 @@ LOST = "�"
 #: Nats of a frequent character of such an encoding, of a rare one, and of the channel.
 SEVERAL_FREQUENT, SEVERAL_RARE, SEVERAL_COST = 7.5, 14.0, 4.0
 #: Nats of a wildcard that stands for a byte the wrong encoding has a character for.
-DEFINED_BYTE = 3.0
+DEFINED_BYTE = 6.0
 #: Paths that a search keeps at each place, and that it hands on.
 BEAM, BEST = 64, 8
 #: Parts that endpoints are hashed to for their damage rates, a fixed bound of what is broadcast.

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafspan.functions.tree import parse_nodes
 from leafspan.llm import boilerplate, encoding, language, markup, residue
@@ -180,6 +181,37 @@ def test_what_is_rare_in_blocks_is_merged_over_the_host(spark, node_table, lang_
     assert [found.count(t) for t in ("Sign up for the letter", "Every week", "No spam at all", "Home", "Imprint")] == [4, 4, 4, 48, 48]
 
 
+@pytest.mark.parametrize(("block", "broadcast"), [(4, 100_000), (7, 0), (1000, 0)])
+def test_blocks_and_joins_decide_nothing(spark, node_table, lang_samples, monkeypatch, block, broadcast):
+    pages = [(i, site(i)) for i in range(40)]
+    nodes = node_table(pages).cache()
+    host = lambda i: "https://big.example/x" if i < 26 else None if i < 30 else f"https://h{i // 2}.example/"
+    urls = spark.createDataFrame([(i, host(i)) for i, _ in pages], "page_id bigint, url string")
+    nodes = nodes.drop("endpoint_id").withColumn("endpoint_id", F.lit(None).cast("string"))
+    expected = sorted(map(tuple, boilerplate.boilerplate_nodes(nodes, urls, lang_samples).collect()))
+    monkeypatch.setattr(boilerplate, "BLOCK_PAGES", block)
+    monkeypatch.setattr(boilerplate, "MAX_BROADCAST_SITES", broadcast)
+    assert sorted(map(tuple, boilerplate.boilerplate_nodes(nodes, urls, lang_samples).collect())) == expected and len(expected) == 40 * 7
+
+
+def test_runs_are_the_maximal_repeats():
+    """Against all substrings: what runs of seeds cover is what maximal repeats cover."""
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        pages = [r.integers(0, 4, r.integers(1, 30)).tolist() for _ in range(6)]
+        seed = boilerplate.repeated(pages, 4, 3)
+        at = 0
+        for page in pages:
+            got = {i for a, b in boilerplate.maximal_runs(np.flatnonzero(seed[at : at + len(page)]), 4) for i in range(a, b)}
+            every = set()
+            for a in range(len(page)):
+                for b in range(a + 4, len(page) + 1):
+                    on = sum(any(q[j : j + b - a] == page[a:b] for j in range(len(q) - (b - a) + 1)) for q in pages)
+                    every |= set(range(a, b)) if on >= 3 else set()
+            assert got == every
+            at += len(page) + 1
+
+
 @pytest.mark.parametrize("size", [11, 12, 39, 40])
 def test_support_is_the_same_on_hosts_of_every_size(size):
     page = lambda k, extra: ("s", [-1] * 4, [100 * k + j for j in range(4)] if not extra else [1, 2, 3, 4], [0] * 4, [0, 3, 0, 3])
