@@ -16,7 +16,9 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,18 @@ das der die ein eine el es im in la las le les los l un una une
 # What a word group named after a person, not the person, ends with.
 NOT_PERSON_NEXT = r"(?:Institut\w*|Universit\w*|Foundation|Laborator\w*|Observatory|College|School|Hospital|Prize|Award|Medal|Chair|Library|Museum|Street|Road|Lane|Avenue|Close|Terrace|Square|Theorem|theorem|Lemma|lemma|inequality|conjecture|equation|flow|operator|constant|algorithm|method|Collaboration|Group)\b"
 TITLE_WORDS = frozenset("Anonymous The University Institute Department Dept Observatory Faculty School College Laboratory Centre Center Group Collaboration Section Chapter Figure Table Theorem Lemma Part Appendix Grant Supported Proc Lett".split())
+# Capitalised words of articles that are no given names, to fit the model of given names.
+NOT_GIVEN = frozenset("""
+The This These Those There Then Thus Hence Here However Moreover Furthermore Finally First Second Third Next Since While Where When Which With Without Under Over Into From For Each Every Some Many Most Such
+Let Suppose Assume Consider Recall Note Observe Define Denote Given Using Following Proof Theorem Lemma Proposition Corollary Definition Remark Example Equation Section Chapter Figure Table Appendix
+University Institute Department Faculty School College Laboratory Observatory Foundation Council Academy Society Centre Station Museum Library Hospital Street Road Lane Avenue Square North South East West New Old Great Upper Lower Mount Lake River Port Saint Royal National International European American British French German Spanish Italian Technical Monte Hilbert Banach Lebesgue Gaussian Euclidean Bayesian Markov Fourier Hamiltonian Lagrangian Newtonian
+Januar Februar März Januaries Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December
+Der Die Das Ein Eine Wir Es Sei Dann Für Mit Und Aber Satz Beweis Abbildung Tabelle Abschnitt Technische Deutsche Neue Alte Nous Soit Alors Pour Dans Avec Figure Théorème Preuve Section Sea Entonces Para Con Teorema Prueba Sección Tabla
+Reisepass Personalausweis Ausweis Steuernummer Passport Identity Tax Insurance Phone Telephone Telefon Mobile Fax Email
+Data Model Method Result Results Work Analysis Theory Field Space Group Energy Power Time Phase State Error Noise Signal Code Network System
+""".split())
+_PERSON_BEFORE = re.compile(r"(?:\b(?:met|meet|meeting|asked|ask|told|tell|thanks?|thanking|visited|contact(?:ed)?|interviewed|married|named|called|hello from|greetings from|regards,?|sincerely,?|dear|by|with help from|signed|advis(?:er|or)|supervis(?:ed by|or)|student|colleagues?|friend|chair(?:ed by)?|secretary|nurse|patient|participant|employee|applicant|tenant|mother|father|sister|brother|wife|husband|son|daughter|née|born|Herr|Frau|Dr|Prof|Mr|Mrs|Ms|Mme|Sr|Sra|traf(?:en)?|dankt|danken|Gruß von|rencontré|remercie|remercions|conocimos|agradece(?:mos)?)\b\.?|\b(?:regards|sincerely|greetings|Grüße|Gruß|saludos|cordialement),|:)[ %]{1,4}$", re.I)
+_PERSON_AFTER = re.compile(r" {1,3}(?:(?:has |had |have |kindly |also |then |later )?(?:signed|said|says|wrote|writes|told|asked|thanks|thanked|kindly|agreed|phoned|called us|replied|answered|lives|lived|works|worked|joined|left|married|was born|born|died|helped|suggested|pointed out|proofread|typed|noticed)\b|\((?:private communication|personal communication|born|aged|PhD)|hat |unterschrieb|schrieb|sagte|a signé|a écrit|firmó|escribió|dijo)")
 _PARTICLES = r"(?:van der|van den|van de|van|von der|von|zu|de la|de las|de los|del|de|di|da|dos|du|le|la|ten|ter|af|al|el|bin|ibn)"
 _STREET_EN = r"(?:Street|St\.|Road|Rd\.?|Lane|Ln\.?|Terrace|Avenue|Ave\.?|Drive|Dr\.|Close|Way|Court|Ct\.?|Square|Sq\.?|Crescent|Grove|Hill|Place|Row|Boulevard|Blvd\.?|Gardens|Mews|Walk|Green|Quay|Parade|Rise|View|Wharf)"
 _ID_LABEL = r"(?:social[ -]security|soc\. ?sec\.|SSN|personnummer|personal number|personal code|national ID|national identity|national identification|citizen|residence permit|national insurance|NINO|NI|passport|personal identity|personal id|identity card|identity|ID card|tax ?payer|tax|TIN|Steuer-?ID(?:nummer|entifikationsnummer)?|Steuernummer|Reisepass|Personalausweis|Ausweis|DNI|NIE|NIF|CURP|CPF|PESEL|codice fiscale|pasaporte|passeport|carte d.identit[ée]|s[ée]curit[ée] sociale|seguridad social|num[ée]ro de s[ée]curit[ée] sociale|insurance|driving licen[cs]e)"
@@ -190,7 +204,7 @@ class Normalised:
 
 
 # ------------------------------------------------------------------- detectors
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+'\u2019-]+$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'\u2019-")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")
 
 
@@ -199,14 +213,13 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
     while at >= 0:
         m = _DOMAIN.match(t, at + 1)
         if m:
-            lo = max(0, at - 80)
-            b = _LOCAL_BACK.search(t[lo:at])
-            if b:
-                start = lo + b.start()
-                while start < at and t[start] in ".'%-+\u2019":
-                    start += 1
-                if start < at:
-                    yield start, m.end()
+            start = at
+            while start > 0 and t[start - 1] in _LOCAL:
+                start -= 1
+            while start < at and t[start] in ".'%-+\u2019":
+                start += 1
+            if start < at:
+                yield start, m.end()
         at = t.find("@", at + 1)
 
 
@@ -285,6 +298,18 @@ _LAST_WORDS = ("ul.", "al.", "pl.", "os.", "ulica", "Calle", "C/", "Aven", "Avda
 _LAST_ENDS = ("stra\u00dfe", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer", "ring", "steig", "pfad", "markt", "graben", "wall", "chaussee", "hof", "tor")
 
 
+def _words_back(t: str, at: int, words: int = 14) -> int:
+    """Where the words before ``at`` begin, of which no address has more before its number."""
+    while at > 0 and words:
+        at = t.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+        while at > 0 and t[at - 1] == " ":
+            at -= 1
+        words -= 1
+    return at
+
+
 def _addresses(t: str) -> Iterator[tuple[int, int]]:
     # every form has a house number beside the street; the text around it is searched
     seen = -1
@@ -302,7 +327,7 @@ def _addresses(t: str) -> Iterator[tuple[int, int]]:
         s = m.start()
         if s < seen:
             continue
-        lo = max(0, s - 60)
+        lo = _words_back(t, s)
         window = t[lo : s + 1]
         if not (window.rstrip(",").endswith(_LAST_ENDS) or any(w in window for w in _LAST_WORDS)):
             continue
@@ -323,6 +348,11 @@ _NEXT_BAD = re.compile(r" {1,3}" + NOT_PERSON_NEXT + r"|--")
 _CONTEXT = re.compile(r"(?:\bthank(?:s to)?|\bAsk|\bkept by|\bParticipant|\bReimbursement for|\bReprints:|\bcontact:?|\bcourtesy of|\bDr\.|\bProf\.|\bMr\.?|\bMrs\.?|\bMs\.?|\bDipl\.-Ing\.|\bHerr|\bFrau|\bMme|\bSr\.|\bSra\.|as well as|and also|\\author(?:\[\d+\])?\{|\\and|\bby)[ %]{0,4}$")
 _CONTEXT_ENDS = ("k", "to", "by", "t", "for", ":", "of", ".", "r", "s", "Frau", "me", "a", "as", "so", "{", "and")  # of _CONTEXT, for a quick look
 _BIB = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)|\\bibitem(?:\[[^\]]*\])?\{.*?(?=\\(?:end|section|bibitem)|\Z)|@(?:article|book|inproceedings|misc|phdthesis|techreport|incollection)\s?\{.*?\}\s*\}", re.S | re.I)
+#: Lower-case words; a pair of capitalised words; what stands between names in a list.
+_LOWER = re.compile(r"(?<!\w)[^\W\d_A-ZÀ-Þ][^\W_]*(?!\w)")
+_WORDS = re.compile(r"[^\W_]+")
+_MAY_BE = re.compile(r" {1,3}(?:%+ {0,3})?[A-ZÀ-Þ\u0100-\u017fvzdlt]")
+_BESIDE = re.compile(r",? {1,3}(?:and|und|et|y|e) {1,3}|, {1,3}")
 _AUTHOR = re.compile(r"\\author(?:\[[^\]]*\])?\{")
 
 
@@ -331,21 +361,104 @@ def _plain(s: str) -> str:
     return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
 
 
+def _balanced(t: str, at: int) -> int:
+    """The end of the group whose content begins at ``at``; of the text if it never ends."""
+    depth = 1
+    for m in _BRACE.finditer(t, at):
+        c = m.group()
+        if len(c) == 1:
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return m.start()
+    return len(t)
+
+
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+_THANKS = re.compile(r"\\(?:thanks|footnote|inst|orcid|email|affil\w*)\*?\s?(?:\[[^\]]*\])?\{")
+
+
 def _author_given(t: str) -> set[str]:
-    """Given names in the document's own author fields."""
+    """Given names in the document's own author fields, read to their end without notes."""
     out = set()
     for m in _AUTHOR.finditer(t):
-        for part in re.split(r"\\and\b|,", t[m.end() : m.end() + 400].split("\\thanks")[0].split("}")[0]):
+        field, at, end = [], m.end(), _balanced(t, m.end())
+        while note := _THANKS.search(t, at, end):
+            field.append(t[at : note.start()])
+            at = min(end, _balanced(t, note.end()) + 1)
+        field.append(t[at:end])
+        for part in re.split(r"\\and\b|,| and ", " ".join(field)):
             w = part.split()
             if len(w) >= 2 and re.fullmatch(r"[A-ZÀ-Þ][a-zß-ÿ\u0100-\u017f]{1,14}", w[0]) and re.fullmatch(_FAMILY, w[-1]) and w[0] not in TITLE_WORDS:
                 out.add(_plain(w[0]))
     return out
 
 
+class NameModel:
+    """Whether a capitalised word can be a given name, by its letters: logistic regression on
+    its sequences of two and three characters, fitted to GIVEN_NAMES against NOT_GIVEN;
+    and what the words around a pair of capitalised words say for its being a person."""
+
+    SIZE = 1 << 12
+
+    def __init__(self, names=GIVEN_NAMES, others=None, rounds: int = 200, rate: float = 0.5, keep: float = 1e-3):
+        words = [*sorted(names), *sorted(NOT_GIVEN if others is None else others)]
+        y = np.array([1.0] * len(names) + [0.0] * (len(words) - len(names)))
+        x = np.zeros((len(words), self.SIZE), np.float32)
+        for i, w in enumerate(words):
+            x[i, self._grams(w)] = 1.0
+        x /= np.sqrt(x.sum(1, keepdims=True))
+        w, b = np.zeros(self.SIZE), 0.0
+        for _ in range(rounds):
+            p = 1.0 / (1.0 + np.exp(-(x @ w + b)))
+            g = p - y
+            w -= rate * (x.T @ g / len(y) * 8 + keep * w)
+            b -= rate * g.mean()
+        self.w, self.b, self.memo = w, b, {}
+
+    def _grams(self, word: str) -> list[int]:
+        s = f"^{_plain(word).lower()}$"
+        return sorted({crc32(s[i : i + n].encode()) % self.SIZE for n in (2, 3) for i in range(len(s) - n + 1)})
+
+    def log_odds(self, word: str) -> float:
+        got = self.memo.get(word)
+        if got is None:
+            g = self._grams(word)
+            got = float(self.w[g].sum() / len(g) ** 0.5 + self.b)
+            if len(self.memo) < 100_000:
+                self.memo[word] = got
+        return got
+
+    def accepts(self, t: str, start: int, end: int, given: str) -> bool:
+        """Whether the pair at ``start`` .. ``end`` is a person by its context, and its given
+        name by its letters."""
+        before, after = _PERSON_BEFORE.search(t, max(0, start - 40), start), _PERSON_AFTER.match(t, end)
+        return bool(before or after) and 1.5 * bool(before) + 1.5 * bool(after) + self.log_odds(given) >= -0.5
+
+
+_MODEL: list[NameModel] = []
+
+
+def name_model() -> NameModel:
+    if not _MODEL:
+        _MODEL.append(NameModel())
+    return _MODEL[0]
+
+
 def _names(t: str) -> Iterator[tuple[int, int]]:
     skip = [m.span() for m in _BIB.finditer(t)] if ("bibitem" in t or "thebibliography" in t or "@" in t) else []
     own = _author_given(t) if "\\author" in t else set()
+    lower: set[str] = set()
+    model = name_model()
+
+    def common(family: str) -> bool:
+        """Whether a family name is also a word of the text."""
+        low = family.lower()
+        if not lower:
+            lower.update(_LOWER.findall(t), ("",))
+        return all(x in lower for x in _WORDS.findall(low)) and (low in lower or re.search(r"(?<![\w])" + re.escape(low) + r"(?![\w])", t) is not None)
+
     k = done = 0
+    last = -1  # where the last name ended
     for m in _HEAD.finditer(t):
         s = m.start()
         if s < done:
@@ -363,22 +476,28 @@ def _names(t: str) -> Iterator[tuple[int, int]]:
             low = family.lower()
             if low in SENTENCE_WORDS or family in TITLE_WORDS:
                 continue
-            if not _CONTEXT.search(t[max(0, s - 24) : s]) and (re.search(r"(?<![\w])" + re.escape(low) + r"(?![\w])", t) or t[max(0, s - 1) : s] in ("$", "_", "^")):
+            if not _CONTEXT.search(t[max(0, s - 24) : s]) and (common(family) or t[max(0, s - 1) : s] in ("$", "_", "^")):
                 continue
         else:
             known = _plain(head) in GIVEN_NAMES or _plain(head.split("-")[0]) in GIVEN_NAMES or _plain(head) in own
-            if not known and (head in TITLE_WORDS or not t[max(0, s - 12) : s].rstrip(" %").endswith(_CONTEXT_ENDS) or not _CONTEXT.search(t[max(0, s - 24) : s])):
+            told = known or (head not in TITLE_WORDS and head not in NOT_GIVEN and t[max(0, s - 12) : s].rstrip(" %").endswith(_CONTEXT_ENDS) and _CONTEXT.search(t[max(0, s - 24) : s]) is not None)
+            # a name that neither list nor field knows: by the model, or beside a name
+            if not told and (head in TITLE_WORDS or head in NOT_GIVEN or not _MAY_BE.match(t, m.end())):
                 continue
             n = _TAIL_GIVEN.match(t, m.end())
             if n and _plain(n.group("f")) in GIVEN_NAMES:
                 n = _TAIL_TWO_GIVEN.match(t, m.end()) or n
             if not n or n.group("f") in TITLE_WORDS:
                 continue
-            if not known and re.search(r"(?<![\w])" + re.escape(n.group("f").lower()) + r"(?![\w])", t):
+            if not told and not (len(n.group("f")) > 2 and n.group("f") not in NOT_GIVEN and ((_BESIDE.fullmatch(t, last, s) is not None if 0 <= last < s else False) and model.log_odds(head) > -2.0 or model.accepts(t, s, n.end(), head))):
+                continue
+            if not known and common(n.group("f")):
+                continue
+            if not told and common(head):
                 continue
         if _NEXT_BAD.match(t, n.end()):
             continue
-        done = n.end()
+        done = last = n.end()
         yield s, n.end()
 
 
@@ -392,14 +511,15 @@ def find_mentions(source: str | None) -> list[tuple[str, int, int]]:
     if not source or source.isspace():
         return []
     norm = Normalised(source)
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, and apart
     out = []
     for kind, detect in _DETECTORS:
         for s, e in sorted(set(detect(norm.text))):
             a, b = norm.source_start(s), norm.source_end(e)
-            if any(x < b and a < y for x, y in taken):
+            at = bisect_right(taken, (a, b))
+            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                 continue
-            taken.append((a, b))
+            taken.insert(at, (a, b))
             out.append((kind, a, b))
     out.sort(key=lambda r: (r[1], r[0]))
     return out
@@ -417,11 +537,11 @@ def redact(source: str | None) -> str | None:
 
 
 def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, start_char BIGINT, end_char BIGINT), distinct rows.
+    """(key, kind, start_char BIGINT, end_char BIGINT): one row per mention.
 
-    One row per mention; null, empty and blank texts give none. A repeated row
-    gives its mentions again; ``p8_found`` makes rows distinct per key within a
-    task, as keys are unique. Whole texts are searched. Scan -> map, no shuffle."""
+    Null, empty and blank texts give none. A repeated row gives its mentions again;
+    where keys are unique so are the rows. Whole texts are searched. Scan -> map, no
+    shuffle."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

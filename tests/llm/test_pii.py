@@ -70,3 +70,40 @@ def test_operator(spark):
     assert sorted((r["doc_id"] or 0, r["kind"], r["start_char"], r["end_char"]) for r in rows) == [(0, "email", 0, 8), (1, "email", 0, 8), (1, "email", 0, 8)]
     assert sorted(r["text"] or "" for r in pii.redact_documents(docs).collect()) == ["", "", "[EMAIL]", "[EMAIL]", "[EMAIL]"]
     assert pii.mentions(docs.limit(0)).count() == 0
+
+
+# names that no list holds, and wordings that no example had
+HELD_GIVEN = "Siobhan Rajesh Ngozi Yuki Oluwaseun Chidi Bjorn Saoirse Giulia Hiroshi Anjali Thandiwe Leilani Mateus Zsofia Agnieszka Freja Kwame Aroha Nikolai".split()
+HELD_FAMILY = "Kearney Kumar Adichie Tanaka Ade Okafor Lindqvist Byrne Ferraro Watanabe Deshpande Mokoena Kahale Teixeira Horvath Wisniewska Nilsen Mensah Parata Sokolov".split()
+
+
+def test_names_outside_the_list():
+    assert not set(HELD_GIVEN) & pii.GIVEN_NAMES
+    forms = ["We met {} at the fair.", "{} signed the form.", "Hello from {}!", "The patient {} came back.", "Regards, {}", "Later {} wrote to us again.", "{} (personal communication) agreed."]
+    hit = total = 0
+    for g, f in zip(HELD_GIVEN, HELD_FAMILY, strict=True):
+        for form in forms:
+            text = form.format(f"{g} {f}")
+            total += 1
+            hit += ("name", text.index(g), text.index(g) + len(g) + 1 + len(f)) in pii.find_mentions(text)
+    assert hit / total >= 0.9
+    two = "We met Siobhan Kearney and Rajesh Kumar."
+    assert [two[a:b] for _, a, b in pii.find_mentions(two)] == ["Siobhan Kearney", "Rajesh Kumar"]
+
+
+@pytest.mark.parametrize("text", ["We thank Deutsche Forschungsgemeinschaft and Technische Universität.", "It was named New Harbour.", "By Random Forest we mean a forest; each random forest grows.", "Reisepass Nr. K12", "The Lower Bound said nothing; a lower bound never does."])
+def test_no_names(text):
+    assert [k for k, *_ in pii.find_mentions(text) if k == "name"] == []
+
+
+def test_nothing_is_cut_short():
+    mail = "a" * 300 + ".b@x.example"
+    assert pii.find_mentions(f"to {mail} now") == [("email", 3, 3 + len(mail))]
+    street = "Calle " + "de la " * 3 + "Muylargapalabra" * 8 + " 12"
+    text = f"at {street}, 28001 Madrid"
+    assert ("address", 3) in [(k, a) for k, a, _ in pii.find_mentions(text)]
+    authors = " \\and ".join(f"Ziva{chr(97 + i % 26)} Novak\\thanks{{Grant {{{i}}} of all}}" for i in range(60)) + " \\and Oluwaseun Adeyemi"
+    text = f"\\author{{{authors}}} In the lab Oluwaseun Adeyemi measured it."
+    assert [text[a:b] for k, a, b in pii.find_mentions(text)].count("Oluwaseun Adeyemi") == 2
+    long = "Anna Ek met Otto Berg. " * 4000
+    assert len(pii.find_mentions(long)) == 8000
