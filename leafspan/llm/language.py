@@ -6,6 +6,9 @@ words of a text, with a penalty for each switch, labels spans. The model is trai
 on the labelled samples. A page's language is the one with most characters in the
 spans of its main body; its confidence is that share times the mean posterior.
 
+Words in a script that none of the model's languages is written in are of unknown
+language (``und``) and take no part in the search.
+
 Texts in damaged encodings are undone first; residue (problem 1) and boilerplate
 (problem 2) don't count.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,10 +39,20 @@ MIN_CHARS = 40
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+UNKNOWN = "und"
+# fixed values: first and last code points of the letters of scripts
+SCRIPTS = (
+    ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF),
+    ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7A3),
+)
+_FIRST = [a for _, a, _ in SCRIPTS]
+
+
 def _script(word: str) -> str:
-    """latin, cyrillic or other, by the first letter's range."""
+    """The script of a word, by its first letter's range; ``other`` if it is in none."""
     o = ord(word[0])
-    return "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "cyrillic" if 0x400 <= o < 0x530 else "other"
+    name, _, last = SCRIPTS[max(0, bisect_right(_FIRST, o) - 1)]
+    return name if o <= last else "other"
 
 
 class LanguageModel:
@@ -63,12 +77,13 @@ class LanguageModel:
         self.words = [words[k] for k in self.langs]
         self.total = [sum(words[k].values()) for k in self.langs]
         # languages written in a script: a tenth of their words at least
-        self.written = {s: [i for i, k in enumerate(self.langs) if scripts[k][s] * 10 > sum(scripts[k].values())] for s in ("latin", "cyrillic", "other")}
+        self.written = {s: can for s in {n for n, _, _ in SCRIPTS} if (can := [i for i, k in enumerate(self.langs) if scripts[k][s] * 10 > sum(scripts[k].values())])}
         self.memo: dict[str, np.ndarray] = {}
         # scores and letters of the words seen so far; row 0 stands for no word
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
         self.letters = np.zeros(1024)
+        self.foreign = np.zeros(1024, bool)  # in a script of no language of the model
 
     def _ids(self, words: list[str]) -> list[int]:
         """Rows of words in ``table`` and ``letters``."""
@@ -82,7 +97,8 @@ class LanguageModel:
                         if n == len(self.table):
                             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-                        self.table[n], self.letters[n], self.rows[w] = self.score(w), len(w), n
+                            self.foreign = np.concatenate([self.foreign, np.zeros_like(self.foreign)])
+                        self.table[n], self.letters[n], self.foreign[n], self.rows[w] = self.score(w), len(w), _script(w) not in self.written, n
                     out[i] = self.rows[w]
         return out
 
@@ -94,7 +110,7 @@ class LanguageModel:
             w = word.lower()
             out = np.full(len(self.langs), -12.0)
             can = self.written.get(_script(w), [])
-            if not can:
+            if not can:  # of a script that none of them is written in
                 out[:] = 0.0
             else:
                 s = f"^{w}$"
@@ -122,12 +138,12 @@ class LanguageModel:
         return got
 
     def label(self, texts: list[str]) -> list[tuple[list[int], float, float]]:
-        """For each text: letters in each language by the best path, the mean posterior
-        of its words, and all letters."""
+        """For each text: letters in each language by the best path, and last those of unknown
+        language; the mean posterior of its words, and all letters."""
         if len(self.rows) > 1_000_000:
             self.rows.clear()
         found = [_WORD.findall(t) for t in texts]
-        out: list[tuple[list[int], float, float]] = [([0] * len(self.langs), 0.0, 0.0)] * len(texts)
+        out: list[tuple[list[int], float, float]] = [([0] * (len(self.langs) + 1), 0.0, 0.0)] * len(texts)
         order = sorted((i for i, w in enumerate(found) if w), key=lambda i: -len(found[i]))
         at = 0
         while at < len(order):
@@ -148,8 +164,8 @@ class LanguageModel:
         scores, sizes = self.table[words], self.letters[words]
         going = [int(x) for x in (lens[None, :] > np.arange(longest)[:, None]).sum(1)]  # texts that have a t-th word
         best = np.zeros((n, n_langs))
-        back = np.zeros((longest, n, n_langs), np.int8)
-        ranks = np.arange(n_langs, dtype=np.int8)[None, :]
+        back = np.zeros((longest, n, n_langs), np.int16)
+        ranks = np.arange(n_langs, dtype=np.int16)[None, :]
         every = np.arange(n)
         for t, m in enumerate(going):
             b = best[:m]
@@ -164,37 +180,50 @@ class LanguageModel:
             m = going[t]
             path[t, :m] = s = state[:m]
             state[:m] = back[t, every[:m], s]
-        letters = np.zeros((n, n_langs))
-        for k in range(n_langs):
-            letters[:, k] = (sizes * (path == k)).sum(0)
         share = np.exp(scores)
         post = np.take_along_axis(share, path[:, :, None], 2)[:, :, 0] / share.sum(2) * (sizes > 0)
+        foreign = self.foreign[words]
+        if foreign.any():
+            path[foreign], post[foreign] = n_langs, 1.0
+        # all languages at once: letters by text and language
+        flat = np.bincount((path + np.arange(n) * (n_langs + 1)).ravel(), sizes.ravel(), n * (n_langs + 1))
+        letters = flat.reshape(n, n_langs + 1)
         post = post.sum(0) / lens
         total = letters.sum(1).tolist()
         for (i, _), by, p, k in zip(texts, letters.astype(np.int64).tolist(), post.tolist(), total, strict=True):
             out[i] = (by, p, k)
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, language) of the spans of one text, by the best path."""
+    def segments(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, language, confidence) of the spans of one text, by the best path; the
+        confidence is the mean posterior of the span's words."""
         words = list(_WORD.finditer(text))
         if not words:
             return []
+        rows = np.array(self._ids([m.group() for m in words]))
+        scores, foreign = self.table[rows], self.foreign[rows]
         best, back = np.zeros(len(self.langs)), []
-        for t, m in enumerate(words):
+        for t in range(len(words)):
             top = int(best.argmax())
             switch = best[top] - (SWITCH if t else 0.0)
             stay = best >= switch
             back.append(np.where(stay, np.arange(len(best)), top))
-            best = np.where(stay, best, switch) + self.score(m.group())
+            best = np.where(stay, best, switch) + scores[t]
+        share = np.exp(scores)
+        post = share / share.sum(1, keepdims=True)
         k, out = int(best.argmax()), []
         for t in range(len(words) - 1, -1, -1):
             a, b = words[t].span()
-            if out and out[-1][2] == self.langs[k]:
-                out[-1] = (a, out[-1][1], out[-1][2])
+            lang, p = (UNKNOWN, 1.0) if foreign[t] else (self.langs[k], float(post[t, k]))
+            if out and out[-1][2] == lang:
+                out[-1] = (a, out[-1][1], lang, out[-1][3] + p, out[-1][4] + 1)
             else:
-                out.append((a, b, self.langs[k]))
+                out.append((a, b, lang, p, 1))
             k = int(back[t][k])
-        return out[::-1]
+        return [(a, b, lang, round(p / n, 4)) for a, b, lang, p, n in reversed(out)]
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, language) of the spans of one text."""
+        return [x[:3] for x in self.segments(text)]
 
 
 def primary_subtag(label: str | None) -> str:
@@ -211,11 +240,11 @@ def labelled_samples(lang_samples: DataFrame, limit: int = 20_000) -> list[tuple
 class _Labeller:
     """Adds to a page summary what languages its texts are in."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
-        self.samples = samples
+    def __init__(self, samples: list[tuple[str, str]], segments: bool = False):
+        self.samples, self.segments = samples, segments
 
     def __getstate__(self):
-        return {"samples": self.samples}
+        return {"samples": self.samples, "segments": self.segments}
 
     def __call__(self, finder: Finder, batch: list[tuple[Page, list[int], dict]]) -> list[tuple]:
         if not hasattr(self, "model"):
@@ -238,7 +267,10 @@ class _Labeller:
         for page, at, texts in todo:
             html = next((i for i, n in enumerate(page.names) if n == "html"), None)
             label = page.attr(html, "lang") if html is not None else None
-            out.append((page.ids[html] if html is not None else None, label, at, [known[t] if t in known else seen[t] for t in texts]))
+            info = [known[t] if t in known else seen[t] for t in texts]
+            if self.segments:
+                info = [self.model.segments(t) for t in texts]
+            out.append((page.ids[html] if html is not None else None, label, at, info))
         if len(known) > 100_000:
             known.clear()
         known.update((t, x) for t, x in seen.items() if len(t) < 160)
@@ -246,11 +278,13 @@ class _Labeller:
 
 
 def _labels(langs: list[str]):
+    names = [*langs, UNKNOWN]
+
     def rows(block: Block, parsed):
         for k, (pid, _, ids, _, _, _, _, _, (html, label, at, info)) in enumerate(parsed):
             gone = block.removed(k)
             main = [(ids[j], x) for j, x in zip(at, info, strict=True) if not gone[j]]
-            letters = [0.0] * len(langs)
+            letters = [0.0] * (len(langs) + 1)
             post = 0.0
             for _, (by, p, n, _) in main:
                 letters = [a + b for a, b in zip(letters, by, strict=True)]
@@ -258,16 +292,16 @@ def _labels(langs: list[str]):
             total = sum(letters)
             if total <= 0:
                 continue
-            top = max(range(len(langs)), key=lambda i: (letters[i], -i))
-            page_lang = langs[top]
+            top = max(range(len(letters)), key=lambda i: (letters[i], -i))
+            page_lang = names[top]
             if html is not None:
-                yield pid, html, page_lang, round(letters[top] / total * post / total, 4), "page" if primary_subtag(label) != page_lang else "right"
+                yield pid, html, page_lang, round(letters[top] / total * post / total, 4), "unknown" if page_lang == UNKNOWN else "page" if primary_subtag(label) != page_lang else "right"
             for node, (by, p, n, chars) in main:
-                best = max(range(len(langs)), key=lambda i: (by[i], -i))
+                best = max(range(len(by)), key=lambda i: (by[i], -i))
                 if n > 0:
                     whole = by[best] >= WHOLE * n
-                    kind = "text" if best != top and whole and chars >= MIN_CHARS else "same" if best == top else "part"
-                    yield pid, node, langs[best], round(p * by[best] / n, 4), kind
+                    kind = "unknown" if names[best] == UNKNOWN else "text" if best != top and whole and chars >= MIN_CHARS else "same" if best == top else "part"
+                    yield pid, node, names[best], round(p * by[best] / n, 4), kind
 
     return rows
 
@@ -277,16 +311,34 @@ def language_labels(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame)
     a main body, and for each text of the main body. ``kind`` is ``page`` where the
     label is missing or wrong and ``right`` where it is right; ``text`` where a text
     of MIN_CHARS or more is wholly in another language than the page's, ``same`` where
-    it is in the page's, ``part`` otherwise. Pages whose main body has no letters, or
+    it is in the page's, ``part`` otherwise; ``unknown`` (with the language ``und``) where
+    it is in a script of no language of the samples. Pages whose main body has no letters, or
     only residue, give no rows; repeated rows count once."""
     samples = labelled_samples(lang_samples)
     langs = sorted({k for k, _ in samples})
     return map_blocks(page_blocks(nodes, pages, lang_samples, _Labeller(samples)), _labels(langs), "page_id bigint, node_id int, lang string, confidence double, kind string")
 
 
+def language_segments(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame) -> DataFrame:
+    """(page_id, node_id, start_char, end_char, lang, confidence): the spans of one language of
+    each text of a page's main body, from the first to the last letter; offsets are those
+    of the content, restored where it was damaged. Texts without letters give none."""
+    samples = labelled_samples(lang_samples)
+
+    def rows(block: Block, parsed):
+        for k, (pid, _, ids, _, _, _, _, _, (_, _, at, found)) in enumerate(parsed):
+            gone = block.removed(k)
+            for j, spans in zip(at, found, strict=True):
+                if not gone[j]:
+                    for a, b, lang, p in spans:
+                        yield pid, ids[j], a, b, lang, p
+
+    return map_blocks(page_blocks(nodes, pages, lang_samples, _Labeller(samples, True)), rows, "page_id bigint, node_id int, start_char int, end_char int, lang string, confidence double")
+
+
 def text_spans(texts: DataFrame, lang_samples: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_char, end_char, lang): spans of one language in each text; null, empty
-    and wordless texts give none."""
+    """(key, start_char, end_char, lang, confidence): spans of one language in each text;
+    null, empty and wordless texts give none."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
@@ -298,10 +350,10 @@ def text_spans(texts: DataFrame, lang_samples: DataFrame, key: str = "doc_id", t
         for batch in batches:
             rows, spans = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                for s in model.spans(t or ""):
+                for s in model.segments(t or ""):
                     rows.append(i)
                     spans.append(s)
-            a, b, c = zip(*spans, strict=True) if spans else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["k", "a", "b", "c"])
+            a, b, c, p = zip(*spans, strict=True) if spans else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(p, pa.float64())], names=["k", "a", "b", "c", "p"])
 
-    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, a bigint, b bigint, c string").toDF(key, "start_char", "end_char", "lang")
+    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, a bigint, b bigint, c string, p double").toDF(key, "start_char", "end_char", "lang", "confidence")

@@ -34,6 +34,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_labels(spark, sf_dir).where("kind in ('page', 'text')").select("page_id", "node_id", "lang")
 
 
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_segments(*(table(spark, sf_dir, t) for t in ("nodes", "pages", "lang_samples")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "lang_samples")).select("page_id", "node_id")
 
@@ -72,7 +76,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_clean_pages, p2_found, p2_main_body, p3_found, p3_labels, p4_found, p4_restored,
+        p1_found, p1_clean_pages, p2_found, p2_main_body, p3_found, p3_labels, p3_segments, p4_found, p4_restored,
         p5_found, p5_clean_nodes, p5_clean_documents, p6_ids, p7_pack, p8_found, p8_redacted,
     )
     return {f.__name__: f for f in found}

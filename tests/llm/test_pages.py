@@ -237,7 +237,7 @@ def test_language_model():
     spans = {}
     for a, b, k in m.spans(mixed):
         spans[k] = spans.get(k, 0) + sum(c.isalpha() for c in mixed[a:b])
-    assert {k: n for k, n in zip(m.langs, one[0], strict=True) if n} == spans  # both searches agree
+    assert {k: n for k, n in zip([*m.langs, "und"], one[0], strict=True) if n} == spans  # both searches agree
     assert [language.primary_subtag(x) for x in (" EN_us ", "de-AT", None, "")] == ["en", "de", "", ""]
 
 
@@ -252,7 +252,22 @@ def test_languages(spark, node_table, lang_samples, no_nodes):
     assert all(0 <= r["confidence"] <= 1 for r in rows)
     assert language.language_labels(no_nodes, none, lang_samples).count() == 0
     t = spark.createDataFrame([(1, de), (2, None), (3, "")], "doc_id bigint, text string")
-    assert [tuple(r) for r in language.text_spans(t, lang_samples).collect()] == [(1, 0, len(de) - 1, "de")]
+    got = [tuple(r) for r in language.text_spans(t, lang_samples).collect()]
+    assert [r[:4] for r in got] == [(1, 0, len(de) - 1, "de")] and 0.5 < got[0][4] <= 1
+    mixed = node_table([(1, f"<html lang=en><p>{en} {de}<p>{en}<p>これは日本語の文章です"), (2, "<p>Η γέφυρα είναι παλιά και όμορφη στην πόλη")])
+    rows = [tuple(r) for r in language.language_segments(mixed, none, lang_samples).orderBy("page_id", "node_id", "start_char").collect()]
+    assert [(r[0], r[4]) for r in rows] == [(1, "en"), (1, "de"), (1, "en"), (1, "und"), (2, "und")]
+    assert rows[0][2] == 0 and rows[1][2] == len(en) + 1 and rows[1][3] == len(en) + len(de) and all(0 < r[5] <= 1 for r in rows)
+    kinds = {(r["page_id"], r["lang"], r["kind"]) for r in language.language_labels(mixed, none, lang_samples).collect()}
+    assert (2, "und", "unknown") in kinds and (1, "en", "right") in kinds and not any(k == "page" for _, _, k in kinds)
+
+
+def test_unknown_scripts_and_many_languages():
+    m = language.LanguageModel([(f"l{i:03}", "".join(chr(97 + (i * k) % 26) for k in range(1, 6)) + " alpha beta") for i in range(140)])
+    assert len(m.langs) == 140 and m.segments("αβγ")[0][2] == "und" and m.label(["שלום עולם"])[0][0][-1] == 8
+    assert [language._script(w) for w in ("über", "мост", "γη", "日本", "かな", "한글", "سلام", "שלום")] == ["latin", "cyrillic", "greek", "han", "kana", "hangul", "arabic", "hebrew"]
+    word = m.segments("".join(chr(97 + (139 * k) % 26) for k in range(1, 6)))[0]
+    assert word[2].startswith("l")
 
 
 # ------------------------------------------------------------------ problem 4
