@@ -63,6 +63,8 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 #: A question mark in a word, or behind one within a sentence.
 _ASKED = re.compile(r"[^\W\d_]\?(?:[^\W\d_]|\s[a-zà-ÿ])|(?<!\S)\?[^\W\d_]")
 _WIDE = "\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
+#: Characters that two bytes of such an encoding, or more, come out as.
+_PAIRS = re.compile("[\x80-\xff" + "".join(c for c in bytes(range(128, 160)).decode("cp1252", "ignore")) + "]{4}")
 _WIDE_IN_LATIN = re.compile(f"[A-Za-z][{_WIDE}]|[{_WIDE}][A-Za-z]")
 _WIDE_WORD = re.compile(f"[{_WIDE}]{{2}}")
 _ASKED_WORD = re.compile(r"(?<![\w?/=&.])(?:[^\W\d_]|\?(?=[^\W\d_]))+(?:\?(?=\s[a-zà-ÿ]))?(?![\w/=&])")
@@ -515,7 +517,7 @@ class Repairer:
             return self._asked(text) if "?" in text and _ASKED.search(text) else None
         if only is None:
             channel, gain = self.best_channel(text)
-            several = self._several(text) if _ODD.search(text) else None
+            several = self._several(text) if _PAIRS.search(text) else None
             if several and several[0] > max(gain, PRIOR - shift):
                 return several[1], several[2]
             # C1 controls stand in no correct text

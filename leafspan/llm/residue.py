@@ -142,7 +142,11 @@ _NOTICE = re.compile(
     r"|ative|ativar|precisa|desligad\w*|desativad\w*|attiva\w*|abilita\w*|richiede|disattivat\w*|włącz\w*|wymaga|blokuje|zezw\w*)\b|включ\w*|нужны|разреш\w*|не выполн\w*|требу\w*)"
     r".{0,120}", re.I | re.S
 )
-_SCRIPT_WORD = re.compile(_SCRIPT, re.I)
+def _speaks_of_scripts(low: str) -> bool:
+    """Whether a text in lower case holds what every alternative of ``_SCRIPT`` holds."""
+    return "script" in low or "skript" in low or "skrypt" in low or "скрипт" in low or "active content" in low
+
+
 #: Words that make a sentence about scripts ordinary prose.
 _PROSE = re.compile(r"\b(?:course|courses|lesson|book|lecture|class|workshop|teaches|taught|learn(?:s|ed)?|kurs|cours|curso|corso|fills|fridays|yesterday|century|play|theatre|museum)\b", re.I)
 
@@ -277,7 +281,7 @@ def is_error(text: str, words: list[str] | None = None) -> bool:
 def is_notice(text: str, words: list[str] | None = None) -> bool:
     """Whether a text consists of a notice that scripts are required."""
     words = _BREAK.findall(text.lower()) if words is None else words
-    if SCRIPTS.isdisjoint(words) and not _SCRIPT_WORD.search(text):
+    if not _speaks_of_scripts(text.lower()):
         return False
     if _PROSE.search(text):
         return False
@@ -313,27 +317,27 @@ def kind_of(text: str, around: float = 0.0) -> str | None:
     s = text.strip()
     low = s.lower()
     words = _BREAK.findall(low)
-    kind = _unit(s, words)
+    kind = _unit(s, low)
     if kind or _CODE_ONLY.fullmatch(text):
         return kind or "error"
     if _word_share(words, LATIN_FILLER) > 0.8 or _word_share(words, NONSENSE) > 0.8:
         return "filler"
     if not FAILURES.isdisjoint(words) and is_error(s, words):
         return "error"
-    if is_notice(s, words):
+    if _speaks_of_scripts(low) and is_notice(s, words):
         return "notice"
     # several sentences, each of which would do alone, or is advice behind one that does
     first, *more = _SENTENCE.split(s)
-    if more and (kind := _unit(first, _BREAK.findall(first.lower()))):
+    if more and (kind := _unit(first, first.lower())):
         for x in more:
             w = _BREAK.findall(x.lower())
-            if not _unit(x, w) and not (w and _message_share(w) >= 0.7):
+            if not _unit(x, x.lower()) and not (w and _message_share(w) >= 0.7):
                 return None
         return kind
     return None
 
 
-def _unit(s: str, words: list[str]) -> str | None:
+def _unit(s: str, low: str) -> str | None:
     """The kind of a text that one of the expressions matches whole."""
     if _INSTRUCTION.fullmatch(s) or _TODO.fullmatch(s):
         return "instruction"
@@ -341,7 +345,7 @@ def _unit(s: str, words: list[str]) -> str | None:
         return "filler"
     if _ERROR.fullmatch(s):
         return "error"
-    if (not SCRIPTS.isdisjoint(words) or _SCRIPT_WORD.search(s)) and _NOTICE.fullmatch(s) and not _PROSE.search(s):
+    if _speaks_of_scripts(low) and _NOTICE.fullmatch(s) and not _PROSE.search(s):
         return "notice"
     return None
 

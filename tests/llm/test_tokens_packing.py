@@ -114,3 +114,17 @@ def test_one_hot_length(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "7L as n_tokens")
     got = packing.pack(df, spark.createDataFrame([(1, 50)], "budget_id int, capacity_tokens int")).groupBy("container_id").sum("piece_tokens").collect()
     assert len(got) == -(-5000 // 7) and max(r[1] for r in got) == 49
+
+
+def test_large_capacities_and_many_budgets(spark):
+    sizes = spark.createDataFrame([(1, 20_000_000), (2, 19_999_999), (3, 131_072), (4, 1)], "doc_id bigint, n_tokens bigint")
+    budgets = spark.createDataFrame([(i, 131_072 + i) for i in range(120)] + [(500, 20_000_000)], "budget_id int, capacity_tokens int")
+    rows = packing.pack(sizes, budgets).collect()
+    for b in (0, 90, 119, 500):
+        mine = [r for r in rows if r["budget_id"] == b]
+        cap = 20_000_000 if b == 500 else 131_072 + b
+        load = {}
+        for r in mine:
+            load[r["container_id"]] = load.get(r["container_id"], 0) + r["piece_tokens"]
+        assert sum(load.values()) == 40_131_072 and max(load.values()) <= cap
+        assert len(load) <= -(-40_131_072 // cap) + 1
