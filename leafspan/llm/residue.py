@@ -257,7 +257,7 @@ pisze użyj używa zastępuje zastąpiony oznacza wypisuje otwiera zamyka
 _MESSAGE = THINGS | FAILURES | ADVICE | SCRIPTS | ENABLING
 _GOVERNED = re.compile(r"(?:\b(?:write|writes|type|use|uses|using|put|call|calls|say|says|schreibt|schreiben|verwendet|écrit|écrivez|utilisez|escribe|usa|escreve|scrive|pisze|użyj|пишут|используйте)|[“\"'‘«„`(]|\b(?:like|as|e\.g\.|such as|wie|comme|como|come|jak|как))\s*$", re.I)
 _CLOSED = re.compile(r"\s*[”\"'’»“`)]")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[\])])\s+(?=[\[(])")
 
 
 def _word_share(words: list[str], known: frozenset) -> float:
