@@ -45,8 +45,9 @@ BLOCK_PAGES = 64
 MAX_BROADCAST_SITES, SALTS = 100_000, 64
 #: Tokens that make a substring long.
 LONG = 4
-#: Distinct pages of a host, of whatever size, that make it repeated.
-LEAST = 3
+#: Distinct pages of a host, of whatever size, that make it repeated; among the pages of hosts that
+#: have fewer, taken together, the two that such a host can have.
+LEAST, LEAST_POOLED = 3, 2
 #: Share of the texts at a place of the layout that is covered, without which a covered subtree is chance.
 THERE = 0.15
 _KEEP_ATTRS = ("class", "id", "role", "type", "action", "name", "aria-label", "itemprop")
@@ -63,8 +64,8 @@ def site_of(url: str | None, endpoint: str | None) -> str:
 
 def page_tokens(page: Page) -> tuple[list[int], ...]:
     """Of the nodes below body, in document order: node positions, parents (indexes
-    into these lists, -1 at the top), tokens, layout tokens (without link target),
-    and what a node is: 0 element, 1 link, 2 heading h1, 3 text, 4 text of code or
+    into these lists, -1 at the top), tokens, layout paths (of an element its name and
+    attributes without link target and its parent's path, of a text its parent's), and what a node is: 0 element, 1 link, 2 heading h1, 3 text, 4 text of code or
     of script and style."""
     pos, par, tok, lay, kind = [], [], [], [], []
     index: dict[int, int] = {}
@@ -77,7 +78,7 @@ def page_tokens(page: Page) -> tuple[list[int], ...]:
         data = page.data[i] or ""
         if name is None:
             tok.append(crc32(("\x02" + data.strip()).encode()))
-            lay.append(0)
+            lay.append(lay[par[-1]] if par[-1] >= 0 else 0)
             kind.append(4 if page.raw(i) else 3)
             continue
         key, href = name, ""
@@ -88,8 +89,9 @@ def page_tokens(page: Page) -> tuple[list[int], ...]:
                     key += SEP + part
                 elif k == "href":
                     href = SEP + v
-        lay.append(crc32(key.encode()))
-        tok.append(crc32((key + href).encode()) if href else lay[-1])
+        own = crc32(key.encode())
+        lay.append(crc32(own.to_bytes(4, "little"), lay[par[-1]] if par[-1] >= 0 else 0))
+        tok.append(crc32((key + href).encode()) if href else own)
         kind.append(1 if href else 2 if name == "h1" else 0)
     return pos, par, tok, lay, kind
 
@@ -225,13 +227,13 @@ class Block:
     all blocks of the host (those of this block alone if not given)."""
 
     def __init__(self, pages: list[tuple], frequent: np.ndarray, sums: dict[int, tuple] | None = None):
-        # (site, parents, tokens, layout tokens, kinds)
+        # (site, parents, tokens, layout paths, kinds)
         self.pages = pages
         self.covered: list[list[bool]] = []
         self.sums: dict[int, list[int]] = {}
         self.paths: list[list[int]] = []
         self.weights: list[tuple[list[int], list[int], list[bool]]] = []
-        for _, par, tok, lay, kind in self.pages:
+        for _, par, tok, path, kind in self.pages:
             m = len(tok)
             mark = np.zeros(m + 1, np.int64)
             # seeds that overlap chain into runs; a run counts if it holds two texts, or a link and a text
@@ -240,17 +242,13 @@ class Block:
                 mark[a] += 1
                 mark[b] -= 1
             cov = (np.cumsum(mark)[:m] > 0).tolist()
-            link = np.isin(run_prints(tok, 1), frequent).tolist()
-            path = [0] * m
-            for i in range(m):
-                p = par[i]
-                if kind[i] >= 3:
-                    path[i] = path[p] if p >= 0 else 0
-                    # the target of a repeated link stands for its text, however garbled
-                    if p >= 0 and kind[p] == 1 and link[p]:
+            link = np.isin(run_prints(tok, 1), frequent)
+            if link.any():
+                # the target of a repeated link stands for its text, however garbled
+                link = (link & (np.array(kind, np.int64) == 1)).tolist()
+                for i in range(m):
+                    if kind[i] >= 3 and par[i] >= 0 and link[par[i]]:
                         cov[i] = True
-                else:
-                    path[i] = crc32(lay[i].to_bytes(4, "little"), path[p] if p >= 0 else 0)
             texts, hits, head = [0] * m, [0] * m, [False] * m
             for i in range(m - 1, -1, -1):
                 if kind[i] == 3:
@@ -302,7 +300,7 @@ class Block:
 
 # ------------------------------------------------------------------ operators
 def _summaries(pages: Iterator[Page], samples, extra: Callable | None, together: int = 64):
-    """(page_id, site, blob) for each page; ``extra`` sees some pages at a time, only to
+    """(page_id, site, blob, extra) for each page; ``extra`` sees some pages at a time, only to
     share the cost of a call."""
     finder = Finder(samples)
     batch: list[tuple] = []
@@ -310,7 +308,7 @@ def _summaries(pages: Iterator[Page], samples, extra: Callable | None, together:
     def out():
         more = extra(finder, [b[:3] for b in batch]) if extra else [None] * len(batch)
         for (page, pos, residue, rest), x in zip(batch, more, strict=True):
-            yield page.page_id, site_of(page.url, page.endpoint), marshal.dumps(([page.ids[i] for i in pos], *rest, [i in residue for i in pos], x))
+            yield page.page_id, site_of(page.url, page.endpoint), marshal.dumps(([page.ids[i] for i in pos], *rest, [i in residue for i in pos])), marshal.dumps(x)
         batch.clear()
 
     for page in pages:
@@ -324,11 +322,11 @@ def _summaries(pages: Iterator[Page], samples, extra: Callable | None, together:
 
 
 def page_blocks(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame, extra: Callable | None = None) -> DataFrame:
-    """(site, block, page_id, blob): page summaries, gathered by block and ordered.
+    """(pool, block, page_id, site, blob, extra, many): page summaries and what ``extra`` says.
     The summaries are written once to scratch, and read for the pages of each host and
     for the blocks."""
     samples = nodes.sparkSession.sparkContext.broadcast(sample_texts(lang_samples))
-    rows = map_pages(page_chunks(nodes, pages), lambda it: _summaries(it, samples.value, extra), "page_id bigint, site string, blob binary", 256)
+    rows = map_pages(page_chunks(nodes, pages), lambda it: _summaries(it, samples.value, extra), "page_id bigint, site string, blob binary, extra binary", 256)
     rows = scratch_table(rows, "pages")
     return _in_blocks(rows)
 
@@ -351,13 +349,15 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
         sized = marked.where("n is not null").unionByName(rest).unionByName(rows.where("site = ''").withColumn("n", F.lit(0).cast("bigint")))
     blocks = F.greatest(F.lit(1), F.ceil(F.when(is_small, F.lit(int(few))).otherwise(F.col("n")) / BLOCK_PAGES))
     keyed = sized.withColumn("block", F.pmod(F.xxhash64("page_id"), blocks).cast("int")).withColumn("pool", F.when(is_small, "").otherwise(F.col("site")))
-    return keyed.select("pool", "block", "page_id", "site", "blob", (blocks > 1).alias("many"))
+    return keyed.select("pool", "block", "page_id", "site", "blob", "extra", (blocks > 1).alias("many"))
 
 
 def _parsed(table: pa.Table) -> list[tuple]:
-    """(page_id, site, ids, parents, tokens, layout tokens, kinds, residue, extra) by page."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("page_id", "site", "blob")), strict=True), key=lambda r: r[0])
-    return [(pid, site, *marshal.loads(blob)) for pid, site, blob in rows]
+    """(page_id, site, ids, parents, tokens, layout paths, kinds, residue, extra) by page; extra
+    is None where the table leaves it out."""
+    names = ["page_id", "site", "blob"] + (["extra"] if "extra" in table.column_names else [])
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: r[0])
+    return [(r[0], r[1], *marshal.loads(r[2]), marshal.loads(r[3]) if len(r) > 3 else None) for r in rows]
 
 
 def _streams(parsed: list[tuple]) -> list[tuple]:
@@ -374,13 +374,13 @@ def frequent_runs(blocks: DataFrame) -> DataFrame:
 
     def propose(table: pa.Table) -> pa.Table:
         many = table.column("many")[0].as_py()
-        prints, n = proposed_runs(_streams(_parsed(table)), 1 if many else LEAST)
+        prints, n = proposed_runs(_streams(_parsed(table)), 1 if many else LEAST if table.column("pool")[0].as_py() else LEAST_POOLED)
         return pa.Table.from_arrays([*_keys(table, len(prints)), pa.array(prints), pa.array(n, pa.int64()), pa.array([many] * len(prints), pa.bool_())], names=["pool", "block", "print", "n", "many"])
 
     rows = blocks.groupBy("pool", "block").applyInArrow(propose, "pool string, block int, print bigint, n bigint, many boolean")
     # as many rows in a group as the host has blocks
     on_host = F.sum("n").over(Window.partitionBy("pool", "print"))
-    merged = rows.where("many").withColumn("n", on_host).where(F.col("n") >= LEAST).unionByName(rows.where("not many"))
+    merged = rows.where("many").withColumn("n", on_host).where(F.col("n") >= F.when(F.col("pool") == "", LEAST_POOLED).otherwise(LEAST)).unionByName(rows.where("not many"))
     return merged.groupBy("pool", "block").agg(F.collect_list("print").alias("prints"))
 
 
@@ -410,10 +410,11 @@ def map_blocks(blocks: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    runs = scratch_table(frequent_runs(blocks), "runs")
+    bare = blocks.drop("extra")  # what is repeated depends on structure alone
+    runs = scratch_table(frequent_runs(bare), "runs")
     none = F.lit(None)
     known = runs.select("pool", "block", "prints", none.cast("array<array<bigint>>").alias("sums"))
-    known = known.unionByName(layout_sums(blocks, runs).select("pool", "block", none.cast("array<bigint>").alias("prints"), "sums"))
+    known = known.unionByName(layout_sums(bare, runs).select("pool", "block", none.cast("array<bigint>").alias("prints"), "sums"))
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []

@@ -262,7 +262,8 @@ class _Labeller:
         # short texts, as menus have them, come again and again
         known = self.known
         new = list(dict.fromkeys(t for _, _, texts in todo for t in texts if t not in known))
-        seen = {t: (letters, post, n, len(t)) for t, (letters, post, n) in zip(new, self.model.label(new), strict=True)}
+        # of the letters only the languages that have any
+        seen = {t: ([x for x in enumerate(letters) if x[1]], post, n, len(t)) for t, (letters, post, n) in zip(new, self.model.label(new), strict=True)}
         out = []
         for page, at, texts in todo:
             html = next((i for i, n in enumerate(page.names) if n == "html"), None)
@@ -287,7 +288,8 @@ def _labels(langs: list[str]):
             letters = [0.0] * (len(langs) + 1)
             post = 0.0
             for _, (by, p, n, _) in main:
-                letters = [a + b for a, b in zip(letters, by, strict=True)]
+                for i, x in by:
+                    letters[i] += x
                 post += p * n
             total = sum(letters)
             if total <= 0:
@@ -297,11 +299,11 @@ def _labels(langs: list[str]):
             if html is not None:
                 yield pid, html, page_lang, round(letters[top] / total * post / total, 4), "unknown" if page_lang == UNKNOWN else "page" if primary_subtag(label) != page_lang else "right"
             for node, (by, p, n, chars) in main:
-                best = max(range(len(by)), key=lambda i: (by[i], -i))
                 if n > 0:
-                    whole = by[best] >= WHOLE * n
+                    best, most = max(by, key=lambda x: (x[1], -x[0]))
+                    whole = most >= WHOLE * n
                     kind = "unknown" if names[best] == UNKNOWN else "text" if best != top and whole and chars >= MIN_CHARS else "same" if best == top else "part"
-                    yield pid, node, names[best], round(p * by[best] / n, 4), kind
+                    yield pid, node, names[best], round(p * most / n, 4), kind
 
     return rows
 
