@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
-from .encoding import sample_texts
+from .encoding import sample_counts
 from .pages import SEP, Page, map_pages, page_chunks
 from .residue import Finder
 
@@ -325,7 +325,7 @@ def page_blocks(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame, ext
     """(pool, block, page_id, site, blob, extra, many): page summaries and what ``extra`` says.
     The summaries are written once to scratch, and read for the pages of each host and
     for the blocks."""
-    samples = nodes.sparkSession.sparkContext.broadcast(sample_texts(lang_samples))
+    samples = nodes.sparkSession.sparkContext.broadcast(sample_counts(lang_samples))
     rows = map_pages(page_chunks(nodes, pages), lambda it: _summaries(it, samples.value, extra), "page_id bigint, site string, blob binary, extra binary", 256)
     rows = scratch_table(rows, "pages")
     return _in_blocks(rows)

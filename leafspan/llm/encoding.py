@@ -120,21 +120,38 @@ def undo(text: str, wrong: str, right: str) -> str | None:
     return raw.decode("latin-1").translate(_FIX_TO[right])
 
 
+class SampleCounts:
+    """What the character model and the lost bytes need of correct texts: how often each three
+    characters in a row and each word outside ASCII occur. Counts of parts of the texts
+    add up to those of all."""
+
+    def __init__(self, texts: Iterable[str] = ()):
+        self.tri: Counter = Counter()
+        self.words: Counter = Counter()
+        self.add(texts)
+
+    def add(self, texts: Iterable[str]) -> None:
+        chunks: Counter = Counter()
+        for t in texts:
+            chunks.update(_CHUNK.findall(t))
+        for w, k in chunks.items():
+            for v in (w, w.lower()):
+                s = "  " + v + " "
+                for i in range(2, len(s)):
+                    self.tri[s[i - 2 : i + 1]] += k
+            if not w.isascii():
+                for v in _FOREIGN_WORD.findall(w):
+                    self.words[v] += k
+
+
 class CharModel:
     """Order-2 character model of correct text, with add-alpha smoothing."""
 
-    def __init__(self, texts: Iterable[str], signs: Iterable[str] = (), alpha: float = 0.02):
-        tri: Counter = Counter()
+    def __init__(self, tri: Counter, signs: Iterable[str] = (), alpha: float = 0.02):
         bi: Counter = Counter()
-        chars = set()
-        for t in texts:
-            for w in _CHUNK.findall(t):
-                for v in (w, w.lower()):
-                    s = "  " + v + " "
-                    chars.update(s)
-                    for i in range(2, len(s)):
-                        tri[s[i - 2 : i + 1]] += 1
-                        bi[s[i - 2 : i]] += 1
+        for t, n in tri.items():
+            bi[t[:2]] += n
+        chars = set().union(*tri)
         self.sound = frozenset(tri)  # what correct text surely has
         self.tri, self.bi, self.alpha, self.size = tri, bi, alpha, len(chars) + 400
         self.chars = chars | set(signs)
@@ -156,20 +173,21 @@ class CharModel:
 
 class Repairer:
     """Finds and undoes wrong decodings. ``words`` are corpus counts of words outside
-    ASCII; ``samples`` correct texts for the character model."""
+    ASCII; ``samples`` correct texts for the character model, or the counts of such."""
 
     CHANNELS = [(w, "utf-8") for w in SINGLE] + [(w, r) for r in SINGLE for w in SINGLE if w != r]
     BY_NAME = {">".join(c[::-1]): i for i, c in enumerate(CHANNELS)}
     COST = [(0.0 if r == "utf-8" else 2.0) + 2.0 * (w in RARE) + 2.0 * (r in RARE) for w, r in CHANNELS]
 
-    def __init__(self, samples: Iterable[str], words: dict[str, int] | None = None, more: Iterable[str] = ()):
-        samples = list(samples)
+    def __init__(self, samples: Iterable[str] | SampleCounts, words: dict[str, int] | None = None, more: Iterable[str] = ()):
+        if not isinstance(samples, SampleCounts):
+            samples = SampleCounts(samples)
         self.words = words or {}
-        self.model = CharModel(samples, COMMON_SIGNS)
+        self.model = CharModel(samples.tri, COMMON_SIGNS)
         self.log_total = math.log(sum(self.words.values()) + 1.0)
         self.skeleton: dict[str, list[tuple[str, int]]] = {}
         # words that lost bytes may have stood for: those of the corpus, or else of the samples and ``more``
-        known = self.words or Counter(w for t in (*samples, *more) for w in _FOREIGN_WORD.findall(t))
+        known = self.words or samples.words + Counter(w for t in more for w in _FOREIGN_WORD.findall(t))
         if not self.words:
             self.log_total = math.log(sum(known.values()) + 1.0)
         for w, n in known.items():
@@ -623,6 +641,32 @@ def vocabulary(nodes: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
     return {r["word"]: r["n"] for r in top.toLocalIterator()}
 
 
+def sample_counts(lang_samples: DataFrame, text: str = "text") -> SampleCounts:
+    """Counts over all rows of the labelled samples, added up per partition before the shuffle;
+    of the size of the models made of them, however many rows there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = SampleCounts()
+
+        def out():
+            keys = [*counts.tri, *counts.words]
+            whole = [False] * len(counts.tri) + [True] * len(counts.words)
+            return pa.RecordBatch.from_arrays([pa.array(whole, pa.bool_()), pa.array(keys, pa.string()), pa.array([*counts.tri.values(), *counts.words.values()], pa.int64())], names=["whole", "key", "n"])
+
+        for batch in batches:
+            counts.add(batch.column(0).to_pylist())
+            if len(counts.tri) + len(counts.words) > 500_000:
+                yield out()
+                counts = SampleCounts()
+        yield out()
+
+    rows = lang_samples.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "whole boolean, key string, n bigint")
+    found = SampleCounts()
+    for r in rows.groupBy("whole", "key").agg(F.sum("n").alias("n")).collect():
+        (found.words if r["whole"] else found.tri)[r["key"]] = r["n"]
+    return found
+
+
 def sample_texts(lang_samples: DataFrame, limit: int = 20_000) -> list[str]:
     """Texts for the character model; a bounded, fixed table of labelled samples."""
     return [r["text"] for r in lang_samples.where("text is not null").orderBy("sample_id").limit(limit).collect()]

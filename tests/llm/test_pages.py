@@ -138,6 +138,21 @@ def test_copies_collapse_before_the_shuffle(node_table, lang_samples):
 
 
 # ------------------------------------------------------------------ problem 2
+@pytest.fixture(scope="module")
+def late_samples(spark, lang_samples):
+    """The samples behind 20,000 others that say nothing of letters outside ASCII."""
+    first = spark.range(20_000).select(F.col("id").cast("int").alias("sample_id"), F.lit("en").alias("lang"), F.lit("x").alias("text"))
+    return first.union(lang_samples.withColumn("sample_id", F.col("sample_id") + 30_000))
+
+
+def test_residue_knows_all_samples(node_table, late_samples, lang_samples, contents):
+    bad = "Die Seite ist nicht mehr verfügbar".encode().decode("cp1252")
+    nodes = node_table([(1, f"<p>{bad}</p>")])
+    assert contents(residue.residue_nodes(nodes, late_samples), nodes) == [(1, bad)]
+    all_, some = encoding.sample_counts(late_samples), encoding.sample_counts(lang_samples)
+    assert all_.words == some.words and all_.tri == some.tri + encoding.SampleCounts(["x"] * 20_000).tri
+
+
 def test_suffix_array_against_sorting():
     r = np.random.default_rng(1)
     for _ in range(20):
