@@ -690,7 +690,7 @@ def damaged_nodes(nodes: DataFrame, lang_samples: DataFrame) -> DataFrame:
     from .pages import map_pages, page_chunks
 
     spark = nodes.sparkSession
-    model = spark.sparkContext.broadcast((sample_texts(lang_samples), vocabulary(nodes), endpoint_shifts(nodes)))
+    model = spark.sparkContext.broadcast((sample_counts(lang_samples), vocabulary(nodes), endpoint_shifts(nodes)))
     # text outside ASCII or with a question mark in a word, and the elements whose text doesn't count
     needed = nodes.where(F.expr("(kind = 'text' and octet_length(content) <> char_length(content)) or local_name in ('script', 'style')") | (F.col("kind").eqNullSafe("text") & F.col("content").rlike(r"[A-Za-z]\?(?:[A-Za-z]|\s[a-z])")))
     # the endpoint goes along as the part it is hashed to

@@ -362,6 +362,13 @@ def test_damaged_nodes(spark, node_table, lang_samples, no_nodes, contents):
     assert encoding.damaged_nodes(no_nodes, lang_samples).count() == 0
 
 
+def test_encodings_know_all_samples(node_table, late_samples, contents):
+    bad = "grün".encode().decode("cp1252")
+    nodes = node_table([(1, f"<p>{bad}</p>")])
+    rows = encoding.damaged_nodes(nodes, late_samples)
+    assert contents(rows, nodes) == [(1, bad)] and [r["restored"] for r in rows.collect()] == ["grün"]
+
+
 # ------------------------------------------------------------------ problem 5
 def pages_of(first, n):
     """Pages of headings, paragraphs, lists and a menu, as chunks have them."""
