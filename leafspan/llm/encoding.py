@@ -667,11 +667,6 @@ def sample_counts(lang_samples: DataFrame, text: str = "text") -> SampleCounts:
     return found
 
 
-def sample_texts(lang_samples: DataFrame, limit: int = 20_000) -> list[str]:
-    """Texts for the character model; a bounded, fixed table of labelled samples."""
-    return [r["text"] for r in lang_samples.where("text is not null").orderBy("sample_id").limit(limit).collect()]
-
-
 def _rows(pages, samples, words, shifts):
     fixer = Repairer(samples, words)
     for page in pages:

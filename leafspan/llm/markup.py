@@ -3,8 +3,8 @@
 Method: gradient-boosted trees over features of a text node (markup constructs by
 grammar) and of the DOM around it (depth, parent, attribute tokens, density of text,
 elements and links in the block, and what its siblings hold), then hierarchical
-decoding. The trees are trained on the driver on a bounded sample of real pages of the
-table: markup of each kind is written into text nodes where they stand, alone or
+decoding. The trees are trained on the driver on texts made of all labelled samples, in
+the DOM of a bounded sample of real pages of the table: markup of each kind is written into text nodes where they stand, alone or
 together with their siblings, and into others what only resembles it (prices, paths,
 formulas in words, brackets). Decoding is a dynamic programme over the DOM: a block
 takes up one kind at a cost, for all that is below it, so that no ancestor and
@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-from .encoding import sample_texts
+from .encoding import sample_counts
 from .pages import SEP, Page, _merge, map_pages, page_chunks
 from .residue import Finder
 
 KINDS = ("none", "html", "markdown", "wiki", "latex")
-#: Rows of the training sample, boosting rounds and depth of the trees.
-TRAIN_ROWS, ROUNDS, DEPTH, BINS = 5000, 30, 3, 16
+#: Training texts made of each TRAIN_TEXTS labelled samples at least, boosting rounds and depth of the trees.
+TRAIN_ROWS, TRAIN_TEXTS, ROUNDS, DEPTH, BINS = 5000, 1000, 30, 3, 16
+#: Training texts whose histograms are added up at a time.
+SLAB = 100_000
 #: Pages of the table that give the DOM of the training sample, and nodes taken of each.
 TRAIN_PAGES, TRAIN_NODES = 250, 4000
 #: Nats that it costs a block to take up a kind of markup.
@@ -167,8 +169,7 @@ class BoostedTrees:
     @classmethod
     def train(cls, x: np.ndarray, y: np.ndarray, classes: int, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = 0.4, reg: float = 1.0) -> BoostedTrees:
         n, f = x.shape
-        x = np.minimum(x, BINS - 1).astype(np.int64)
-        flat = x + np.arange(f) * BINS
+        x = np.minimum(x, BINS - 1).astype(np.uint8)
         score = np.zeros((n, classes))
         hot = np.eye(classes)[y]
         trees = []
@@ -179,22 +180,26 @@ class BoostedTrees:
             for k in range(classes):
                 g, h = hot[:, k] - prob[:, k], prob[:, k] * (1 - prob[:, k]) + 1e-6
                 nodes: list = []
-                score[:, k] += rate * cls._grow(x, flat, g, h, np.arange(n), depth, reg, nodes, f)[1]
+                score[:, k] += rate * cls._grow(x, g, h, np.arange(n), depth, reg, nodes, f)[1]
                 layer.append([(a, b, c, d, rate * v) for a, b, c, d, v in nodes])
             trees.append(layer)
         return cls(trees)
 
     @staticmethod
-    def _grow(x, flat, g, h, rows, depth, reg, nodes, f):
+    def _grow(x, g, h, rows, depth, reg, nodes, f):
         at = len(nodes)
         nodes.append(None)
         out = np.zeros(len(g))
         gs, hs = g[rows].sum(), h[rows].sum()
         best = None
         if depth and len(rows) > 20:
-            idx = flat[rows].ravel()
-            gh = np.bincount(idx, np.repeat(g[rows], f), f * BINS).reshape(f, BINS).cumsum(1)
-            hh = np.bincount(idx, np.repeat(h[rows], f), f * BINS).reshape(f, BINS).cumsum(1)
+            gh, hh = np.zeros(f * BINS), np.zeros(f * BINS)
+            for i in range(0, len(rows), SLAB):
+                part = rows[i : i + SLAB]
+                idx = (x[part] + np.arange(f) * BINS).ravel()
+                gh += np.bincount(idx, np.repeat(g[part], f), f * BINS)
+                hh += np.bincount(idx, np.repeat(h[part], f), f * BINS)
+            gh, hh = gh.reshape(f, BINS).cumsum(1), hh.reshape(f, BINS).cumsum(1)
             gain = gh**2 / (hh + reg) + (gs - gh) ** 2 / (hs - hh + reg) - gs**2 / (hs + reg)
             gain[:, -1] = -1
             j = int(gain.argmax())
@@ -206,8 +211,8 @@ class BoostedTrees:
             out[rows] = v
             return at, out
         left = x[rows, best[0]] <= best[1]
-        a, oa = BoostedTrees._grow(x, flat, g, h, rows[left], depth - 1, reg, nodes, f)
-        b, ob = BoostedTrees._grow(x, flat, g, h, rows[~left], depth - 1, reg, nodes, f)
+        a, oa = BoostedTrees._grow(x, g, h, rows[left], depth - 1, reg, nodes, f)
+        b, ob = BoostedTrees._grow(x, g, h, rows[~left], depth - 1, reg, nodes, f)
         nodes[at] = (best[0], best[1], a, b, 0.0)
         return at, oa + ob
 
@@ -284,7 +289,8 @@ def sample_pages(nodes: DataFrame, pages: int = TRAIN_PAGES, rows: int = TRAIN_N
 
 
 def training_rows(samples: list[str], pages: list[tuple], rows: int = TRAIN_ROWS, seed: int = 7) -> tuple[list[list[int]], list[int]]:
-    """Features and kinds of texts written into pages where they stand. Some blocks take
+    """Features and kinds of ``rows`` texts or more written into pages where they stand; every
+    sentence of the samples is among them. Some blocks take
     markup of one kind in several texts, some in one; what only resembles it stands
     alone or beside it; the page's other texts with constructs, whose kind is not known,
     take part as siblings only. The same for equal input."""
@@ -293,7 +299,15 @@ def training_rows(samples: list[str], pages: list[tuple], rows: int = TRAIN_ROWS
     x: list[list[int]] = []
     y: list[int] = []
     memo: dict[str, list[int]] = {}
-    while len(x) < rows:
+    drawn: set[str] = set()
+    rest: list[str] | None = None  # the sentences that the first ``rows`` texts leave out
+
+    def draw() -> str:
+        s = rest.pop() if rest else r.choice(sentences)
+        drawn.add(s)
+        return s
+
+    while len(x) < rows or rest:
         source = r.choice(pages) if r.random() < 0.8 * min(1.0, len(pages) / 50) else _plain_page(sentences, r)
         page = Page.of(*(list(c) for c in source))
         places = [i for i, n in enumerate(page.names) if n is None and page.in_body[i] and not page.in_code[i] and len((page.data[i] or "").split()) >= 2]
@@ -313,7 +327,7 @@ def training_rows(samples: list[str], pages: list[tuple], rows: int = TRAIN_ROWS
             mixed = r.random() < 0.3  # every text its own way
             for i in sorted(r.sample(here, many)):
                 kind = r.choice((0, 1, 2, 3, 4)) if mixed else kind
-                text = page.data[i] if i not in unclear and len(page.data[i].split()) >= 3 and r.random() < 0.5 else r.choice(sentences)
+                text = page.data[i] if i not in unclear and len(page.data[i].split()) >= 3 and r.random() < 0.5 else draw()
                 if kind and many > 1 and not mixed and r.random() < 0.3:
                     # a line of a list or a heading, that alone says little
                     page.data[i] = r.choice({1: ["{}<br>", "&nbsp;{}"], 2: ["- {}", "* {}", "{n}. {}", "# {}"], 3: ["* {}", "# {}", "=={}=="], 4: ["{} \\\\", "\\item {}"]}[kind]).replace("{n}", str(r.randint(1, 9))).replace("{}", text)
@@ -324,7 +338,7 @@ def training_rows(samples: list[str], pages: list[tuple], rows: int = TRAIN_ROWS
             for i in here:
                 if i not in label and r.random() < 0.35:
                     other = r.choice((0, 0, 0, 1, 2, 3, 4))
-                    text = r.choice(sentences)
+                    text = draw()
                     page.data[i] = _write_in(KINDS[other], text, r) if other else _leave_clean(text, r)
                     label[i] = other
         dom = Dom(page)
@@ -333,15 +347,44 @@ def training_rows(samples: list[str], pages: list[tuple], rows: int = TRAIN_ROWS
             if i in label:
                 x.append((found.get(i) or text_features(page.data[i])) + more)
                 y.append(label[i])
-    return x[:rows], y[:rows]
+        if rest is None and len(x) >= rows:
+            rest = [s for s in sentences if s not in drawn]
+            r.shuffle(rest)
+    return x, y
 
 
 def train(samples: list[str], pages: list[tuple] = (), rows: int = TRAIN_ROWS, seed: int = 7) -> BoostedTrees:
-    """Trees trained on ``rows`` texts, written into ``pages`` (of ``sample_pages``)."""
+    """Trees trained on ``rows`` texts or more, written into ``pages`` (of ``sample_pages``)."""
     x, y = training_rows(samples, list(pages), rows, seed)
     return BoostedTrees.train(np.array(x), np.array(y), len(KINDS))
 
 
+def training_table(lang_samples: DataFrame, pages: list[tuple] = (), seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """``training_rows`` of all labelled samples, by parts of about TRAIN_TEXTS texts, which tasks
+    work off; what comes to the driver is a byte for each feature."""
+    texts = lang_samples.where("text is not null").select("text").distinct()
+    parts = max(1, -(-texts.count() // TRAIN_TEXTS))
+    source = lang_samples.sparkSession.sparkContext.broadcast(list(pages))
+
+    def packed(part: int, samples: list[str], pages: list[tuple]) -> tuple[int, bytes, bytes]:
+        x, y = training_rows(samples, list(pages), TRAIN_ROWS, seed + part)
+        return part, np.minimum(x, BINS - 1).astype(np.uint8).tobytes(), bytes(y)
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        part, x, y = packed(key[0].as_py(), table.column("text").to_pylist(), source.value)
+        return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["part", "x", "y"])
+
+    rows = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(write, "part int, x binary, y binary")
+    found = sorted((r["part"], bytes(r["x"]), bytes(r["y"])) for r in rows.collect()) or [packed(0, [], pages)]
+    y = np.frombuffer(b"".join(f[2] for f in found), np.uint8)
+    return np.frombuffer(b"".join(f[1] for f in found), np.uint8).reshape(len(y), -1), y
+
+
+def fit(lang_samples: DataFrame, pages: list[tuple] = ()) -> BoostedTrees:
+    """Trees trained on texts of all labelled samples, written into ``pages``."""
+    return BoostedTrees.train(*training_table(lang_samples, pages), len(KINDS))
+
+
 # --------------------------------------------------------- decoding
 def decode(page: Page, scores: dict[int, list[float]], cost: float = TAKE_UP) -> dict[int, int]:
     """Kinds of text nodes from their log probabilities: the best assignment to the tree in
@@ -554,8 +597,7 @@ def markup_nodes(nodes: DataFrame, lang_samples: DataFrame) -> DataFrame:
     their clean text. Null, empty and blank contents hold none; code samples, text
     of script and style and residue (problem 1) are left out; repeated rows count
     once."""
-    samples = sample_texts(lang_samples)
-    model = nodes.sparkSession.sparkContext.broadcast((samples, train(samples, sample_pages(nodes)).trees))
+    model = nodes.sparkSession.sparkContext.broadcast((sample_counts(lang_samples), fit(lang_samples, sample_pages(nodes)).trees))
 
     def rows(pages: Iterator[Page]):
         trees, finder, memo = BoostedTrees(model.value[1]), Finder(model.value[0]), {}
@@ -588,7 +630,7 @@ def clean_documents(docs: DataFrame, lang_samples: DataFrame, key: str = "doc_id
     classifier finds in it; a document without any stays as it is. Null stays null,
     empty stays empty; rows stay one for one."""
     kind = docs.schema[key].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(train(sample_texts(lang_samples)).trees)
+    model = docs.sparkSession.sparkContext.broadcast(fit(lang_samples).trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = BoostedTrees(model.value)

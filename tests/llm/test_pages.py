@@ -399,6 +399,27 @@ def test_held_out_accuracy_needs_the_dom(trees):
     assert any(node[0] >= n for layer in trees.trees for tree in layer for node in tree)
 
 
+def test_training_has_every_sentence(monkeypatch):
+    seen, features = [], markup.text_features
+    monkeypatch.setattr(markup, "_write_in", lambda kind, text, r: text)
+    monkeypatch.setattr(markup, "_leave_clean", lambda text, r: text)
+    monkeypatch.setattr(markup, "text_features", lambda text: seen.append(text) or features(text))
+    texts = [f"Sentence number n{i} stands here." for i in range(400)]
+    x, y = markup.training_rows(texts, pages_of(0, 3), 100)
+    assert len(x) == len(y) >= 400 and not [t for t in texts if not any(t in s for s in seen)]
+
+
+def test_training_uses_all_samples(late_samples, monkeypatch):
+    at = len(markup._FEATURES)  # the length of the text
+    assert markup.training_table(late_samples)[0][:, at].max() > max(f[at] for f in markup.training_rows(["x"], [])[0])
+    one = markup.training_table(late_samples.where("sample_id >= 30000"))
+    x, y = markup.training_rows([*TEXTS, "x"], [])
+    assert (one[0] == np.minimum(x, markup.BINS - 1)).all() and (one[1] == y).all()
+    monkeypatch.setattr(markup, "TRAIN_TEXTS", 2)
+    assert len(markup.training_table(late_samples)[1]) >= 2 * markup.TRAIN_ROWS
+    assert len(markup.training_table(late_samples.limit(0))[1]) >= markup.TRAIN_ROWS
+
+
 def test_ancestor_and_descendant_never_differ():
     page = markup.Page.of(list(range(8)), [-1, 0, 1, 2, 2, 4, 1, 6], ["html", "body", "td", None, "p", None, "p", None], ["", "", "", "a", "", "b", "", "c"])
     none, low = 0.0, -9.0
