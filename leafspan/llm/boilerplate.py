@@ -26,6 +26,7 @@ from __future__ import annotations
 import marshal
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -62,6 +63,21 @@ def site_of(url: str | None, endpoint: str | None) -> str:
     return endpoint.lower() if endpoint and "." in endpoint else ""
 
 
+@lru_cache(100_000)
+def _element(name: str, data: str) -> tuple[int, int, int]:
+    """Of an element: the print of its name and attributes, its token, and what it is."""
+    key, href = name, ""
+    if data:
+        for part in data.split(SEP):
+            k, _, v = part.partition("=")
+            if k in _KEEP_ATTRS:
+                key += SEP + part
+            elif k == "href":
+                href = SEP + v
+    own = crc32(key.encode())
+    return own, crc32((key + href).encode()) if href else own, 1 if href else 2 if name == "h1" else 0
+
+
 def page_tokens(page: Page) -> tuple[list[int], ...]:
     """Of the nodes below body, in document order: node positions, parents (indexes
     into these lists, -1 at the top), tokens, layout paths (of an element its name and
@@ -81,18 +97,10 @@ def page_tokens(page: Page) -> tuple[list[int], ...]:
             lay.append(lay[par[-1]] if par[-1] >= 0 else 0)
             kind.append(4 if page.raw(i) else 3)
             continue
-        key, href = name, ""
-        if data:
-            for part in data.split(SEP):
-                k, _, v = part.partition("=")
-                if k in _KEEP_ATTRS:
-                    key += SEP + part
-                elif k == "href":
-                    href = SEP + v
-        own = crc32(key.encode())
+        own, token, what = _element(name, data)
         lay.append(crc32(own.to_bytes(4, "little"), lay[par[-1]] if par[-1] >= 0 else 0))
-        tok.append(crc32((key + href).encode()) if href else own)
-        kind.append(1 if href else 2 if name == "h1" else 0)
+        tok.append(token)
+        kind.append(what)
     return pos, par, tok, lay, kind
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -86,7 +87,8 @@ def _to_bytes(enc: str) -> dict[int, int]:
 
 _BYTES = {e: _to_bytes(e) for e in SINGLE}
 _CHARS = {e: "".join(map(chr, range(128))) + "".join(bytes([b]).decode(e, "replace") for b in range(128, 256)) for e in SINGLE}
-_FIX_TO = {e: {b: (ord(_CHARS[e][b]) if _CHARS[e][b] != LOST else b) for b in range(128, 256)} for e in SINGLE}
+#: What each byte is read as; bytes an encoding leaves open are C1 controls.
+_FIXED = {e: "".join(c if c != LOST else chr(b) for b, c in enumerate(_CHARS[e])) for e in SINGLE}
 
 
 def _translation(enc: str) -> dict[int, str]:
@@ -117,7 +119,7 @@ def undo(text: str, wrong: str, right: str) -> str | None:
             return raw.decode("utf-8")
         except UnicodeDecodeError:
             return None
-    return raw.decode("latin-1").translate(_FIX_TO[right])
+    return charmap_decode(raw, "strict", _FIXED[right])[0]
 
 
 class SampleCounts:
@@ -156,16 +158,28 @@ class CharModel:
         self.tri, self.bi, self.alpha, self.size = tri, bi, alpha, len(chars) + 400
         self.chars = chars | set(signs)
         self.memo: dict[str, float] = {}
+        self.logs: dict[str, float] = {}
 
-    def score(self, chunk: str) -> float:
+    def _log(self, three: str) -> float:
+        got = math.log((self.tri.get(three, 0) + self.alpha) / (self.bi.get(three[:2], 0) + self.alpha * self.size))
+        if len(self.logs) < MEMO_CHUNKS:
+            self.logs[three] = got
+        return got
+
+    def score(self, chunk: str, floor: float = -math.inf) -> float:
+        """Log score of a chunk; minus infinity if it is not above ``floor``, as a score only
+        falls from one character to the next."""
         got = self.memo.get(chunk)
         if got is None:
             s = "  " + chunk + " "
-            got, a, n = 0.0, self.alpha, self.alpha * self.size
+            got, logs, chars = 0.0, self.logs, self.chars
             for i in range(2, len(s)):
-                got += math.log((self.tri.get(s[i - 2 : i + 1], 0) + a) / (self.bi.get(s[i - 2 : i], 0) + n))
-                if s[i] not in self.chars and s[i] > "\x7f":
+                three = s[i - 2 : i + 1]
+                got += logs[three] if three in logs else self._log(three)
+                if s[i] > "\x7f" and s[i] not in chars:
                     got -= 2.5 if s[i].isalnum() else 3.5
+                if got <= floor:
+                    return -math.inf
             if len(self.memo) < MEMO_CHUNKS:
                 self.memo[chunk] = got
         return got
@@ -208,12 +222,13 @@ class Repairer:
         self.by_text: dict[str, tuple[str, str] | None] = {}
 
     # ------------------------------------------------------------ word scores
-    def score(self, chunk: str) -> float:
+    def score(self, chunk: str, floor: float = -math.inf) -> float:
         """Log score of a chunk as correct text: its characters, and the corpus
-        frequency of its words and signs outside ASCII."""
+        frequency of its words and signs outside ASCII. Without corpus words minus infinity
+        if not above ``floor``."""
         known = self.words
         if not known:
-            return self.model.score(chunk)
+            return self.model.score(chunk, floor)
         s = 0.0
         for m in _FOREIGN_WORD.finditer(chunk):
             w = m.group()
@@ -241,9 +256,11 @@ class Repairer:
         return got
 
     def _chunk(self, chunk: str) -> dict[int, tuple[float, str]]:
+        """(score, text) by channel, of those that score above the chunk as it stands."""
         got = self.memo.get(chunk)
         if got is None:
             got = {}
+            floor = self._base(chunk)[0]
             raws = {w: r for w in SINGLE if (r := _bytes_of(chunk, w)) is not None}
             scores: dict[str, float] = {}
             for i, (wrong, right) in enumerate(self.CHANNELS):
@@ -256,10 +273,11 @@ class Repairer:
                     except UnicodeDecodeError:
                         continue
                 else:
-                    fixed = raw.decode("latin-1").translate(_FIX_TO[right])
+                    fixed = charmap_decode(raw, "strict", _FIXED[right])[0]
                 if fixed not in scores:
-                    scores[fixed] = self.score(fixed)
-                got[i] = (scores[fixed], fixed)
+                    scores[fixed] = self.score(fixed, floor)
+                if scores[fixed] > floor:
+                    got[i] = (scores[fixed], fixed)
             if len(self.memo) < MEMO_CHUNKS:
                 self.memo[chunk] = got
         return got

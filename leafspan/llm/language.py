@@ -79,6 +79,7 @@ class LanguageModel:
         # languages written in a script: a tenth of their words at least
         self.written = {s: can for s in {n for n, _, _ in SCRIPTS} if (can := [i for i, k in enumerate(self.langs) if scripts[k][s] * 10 > sum(scripts[k].values())])}
         self.memo: dict[str, np.ndarray] = {}
+        self.logs: list[dict[str, float]] = [{} for _ in self.langs]
         # scores and letters of the words seen so far; row 0 stands for no word
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
@@ -102,6 +103,20 @@ class LanguageModel:
                     out[i] = self.rows[w]
         return out
 
+    def _log(self, i: int, gram: str) -> float:
+        """Log score of the last character of ``gram`` behind the others, in language i."""
+        g, got = self.grams[i], -9.0
+        # longest context that occurred, discounted for each step back
+        for n in range(len(gram), 0, -1):
+            c = g.get(gram[-n:], 0)
+            if c:
+                base = g.get(gram[-n:-1], 0) if n > 1 else sum(map(g.get, "^$", (0, 0))) * 6
+                got = math.log(0.4 ** (len(gram) - n) * c / max(base, c, 1))
+                break
+        if len(self.logs[i]) < 300_000:
+            self.logs[i][gram] = got
+        return got
+
     def score(self, word: str) -> np.ndarray:
         """Log scores of a word, relative to the best; languages of other scripts get a
         low one, and a word of no known script scores alike in all."""
@@ -116,17 +131,10 @@ class LanguageModel:
                 s = f"^{w}$"
                 raw = []
                 for i in can:
-                    g, total = self.grams[i], 0.0
+                    logs, total = self.logs[i], 0.0
                     for j in range(1, len(s)):
-                        # longest context that occurred, discounted for each step back
-                        for n in range(min(self.order, j + 1), 0, -1):
-                            c = g.get(s[j - n + 1 : j + 1], 0)
-                            if c:
-                                base = g.get(s[j - n + 1 : j], 0) if n > 1 else sum(map(g.get, "^$", (0, 0))) * 6
-                                total += math.log(0.4 ** (min(self.order, j + 1) - n) * c / max(base, c, 1))
-                                break
-                        else:
-                            total += -9.0
+                        gram = s[max(0, j + 1 - self.order) : j + 1]
+                        total += logs[gram] if gram in logs else self._log(i, gram)
                     known = self.words[i].get(w, 0)
                     raw.append(0.5 * total + 1.0 * math.log((known + 0.1) / (self.total[i] + 1)))
                 top = max(raw)

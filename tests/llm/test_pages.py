@@ -362,6 +362,16 @@ def test_damaged_nodes(spark, node_table, lang_samples, no_nodes, contents):
     assert encoding.damaged_nodes(no_nodes, lang_samples).count() == 0
 
 
+def test_channels_that_cannot_win_are_left_early():
+    for chunk in ("größer", "grÃ¶ÃŸer", "für", "Ð¼Ð¸Ñ€"):
+        fixer, full = encoding.Repairer(TEXTS), encoding.Repairer(TEXTS)
+        base, every = full.score(chunk), {}
+        for i, c in enumerate(full.CHANNELS):
+            if (t := encoding.undo(chunk, *c)) is not None:
+                every[i] = (full.score(t), t)
+        assert fixer._chunk(chunk) == {i: x for i, x in every.items() if x[0] > base} != every
+
+
 def test_encodings_know_all_samples(node_table, late_samples, contents):
     bad = "grün".encode().decode("cp1252")
     nodes = node_table([(1, f"<p>{bad}</p>")])
