@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import marshal
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_table
 from .encoding import sample_counts
 from .pages import SEP, Page, map_pages, page_chunks
-from .residue import Finder
+from .residue import kept_finder
 
 #: Pages in a block, about.
 BLOCK_PAGES = 64
@@ -138,9 +139,10 @@ def lcp_array(sa: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shared(tokens: list[list[int]], long: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position of the concatenated streams, the group of those that have the
-    same ``long`` tokens from there on; for each group, on how many distinct pages."""
+def shared(tokens: list[list[int]], *longs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By one suffix array, for each of ``longs``: for each position of the concatenated streams
+    the group of those that have the same ``long`` tokens from there on; for each group, on
+    how many distinct pages."""
     sizes = [len(t) for t in tokens]
     total = sum(sizes) + len(tokens)
     s = np.empty(total, np.int64)
@@ -151,20 +153,21 @@ def shared(tokens: list[list[int]], long: int) -> tuple[np.ndarray, np.ndarray]:
         s[at + len(t)] = -1 - k  # a separator of its own ends each page
         owner[at : at + len(t) + 1] = k
         at += len(t) + 1
-    sa, ranks = suffix_array(s, max(4, long))
-    group = np.cumsum(lcp_array(sa, ranks) < long)
-    pages = owner[sa]
-    pairs = np.unique(group * len(tokens) + pages)
-    support = np.bincount(pairs // len(tokens), minlength=int(group.max()) + 1 if total else 1)
-    out = np.empty(total, np.int64)
-    out[sa] = group
-    return out, support
+    sa, ranks = suffix_array(s, max(4, *longs))
+    lcp, pages = lcp_array(sa, ranks), owner[sa]
+    for long in longs:
+        group = np.cumsum(lcp < long)
+        pairs = np.unique(group * len(tokens) + pages)
+        support = np.bincount(pairs // len(tokens), minlength=int(group.max()) + 1 if total else 1)
+        out = np.empty(total, np.int64)
+        out[sa] = group
+        yield out, support
 
 
 def repeated(tokens: list[list[int]], long: int, least: int) -> np.ndarray:
     """For each position of the concatenated streams, whether the ``long`` tokens from
     it on occur on at least ``least`` distinct pages."""
-    group, support = shared(tokens, long)
+    ((group, support),) = shared(tokens, long)
     return support[group] >= least
 
 
@@ -212,119 +215,132 @@ def proposed_runs(pages: list[tuple], least: int) -> tuple[np.ndarray, np.ndarra
     is alone needs only those that ``least`` of its pages have."""
     tokens = [p[2] for p in pages]
     prints, counts = [], []
-    for long in (LONG, 1):
-        group, support = shared(tokens, long)
-        where, fps, at = [], [], 0
-        for _, _, tok, _, kind in pages:
-            # what a run's tokens say, and not where it stands, so that each block proposes the same
-            good = np.flatnonzero(_telling(kind, 4) if long > 1 else np.array(kind, np.int64) == 1)
-            where.append(group[at + good])
-            fps.append(run_prints(tok, long)[good])
-            at += len(tok) + 1
-        groups, first = np.unique(np.concatenate(where), return_index=True)
+    tok, kind, left = _joined(tokens, 1), _joined([p[4] for p in pages], 1), _left([len(t) for t in tokens], 1)
+    for long, (group, support) in zip((LONG, 1), shared(tokens, LONG, 1), strict=True):
+        # what a run's tokens say, and not where it stands, so that each block proposes the same
+        good = np.flatnonzero((_telling(kind, 4) if long > 1 else kind == 1) & (left[: max(0, len(tok) - long + 1)] >= long))
+        groups, first = np.unique(group[good], return_index=True)
         n = support[groups]
         keep = n >= least
-        prints.append(np.concatenate(fps)[first][keep])
+        prints.append(run_prints(tok, long)[good[first[keep]]])
         counts.append(n[keep])
     return np.concatenate(prints), np.concatenate(counts)
 
 
+def _joined(streams: list, apart: int = 0) -> np.ndarray:
+    """The lists or arrays one behind the other, ``apart`` zeros behind each."""
+    gap = [np.zeros(apart, np.int64)]
+    return np.concatenate([np.asarray(x, np.int64) for t in streams for x in (t, *gap)]) if streams else np.zeros(0, np.int64)
+
+
+def _left(sizes: list[int], apart: int = 0) -> np.ndarray:
+    """For each position of what ``_joined`` gives, how many are left of its stream from it on."""
+    return _joined([np.arange(n, 0, -1) for n in sizes], apart)
+
+
+def levels(parents: np.ndarray) -> list[np.ndarray]:
+    """The nodes of a forest by depth, the roots (of parent -1) first."""
+    up, depth = parents.copy(), (parents >= 0).astype(np.int64)
+    while len(go := np.flatnonzero(up >= 0)):  # twice as far up each time
+        depth[go] += depth[up[go]]
+        up[go] = up[up[go]]
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 class Block:
     """Pages of one host, or of several small ones, taken together. ``frequent`` are the
-    fingerprints of what is repeated on the host, ``sums`` the sums by layout path over
-    all blocks of the host (those of this block alone if not given)."""
-
-    def __init__(self, pages: list[tuple], frequent: np.ndarray, sums: dict[int, tuple] | None = None):
-        # (site, parents, tokens, layout paths, kinds)
-        self.pages = pages
-        self.covered: list[list[bool]] = []
-        self.sums: dict[int, list[int]] = {}
-        self.paths: list[list[int]] = []
-        self.weights: list[tuple[list[int], list[int], list[bool]]] = []
-        for _, par, tok, path, kind in self.pages:
-            m = len(tok)
-            mark = np.zeros(m + 1, np.int64)
-            # seeds that overlap chain into runs; a run counts if it holds two texts, or a link and a text
-            starts = np.flatnonzero(np.isin(run_prints(tok, LONG), frequent) & _telling(kind))
-            for a, b in maximal_runs(starts, LONG):
-                mark[a] += 1
-                mark[b] -= 1
-            cov = (np.cumsum(mark)[:m] > 0).tolist()
-            link = np.isin(run_prints(tok, 1), frequent)
-            if link.any():
-                # the target of a repeated link stands for its text, however garbled
-                link = (link & (np.array(kind, np.int64) == 1)).tolist()
-                for i in range(m):
-                    if kind[i] >= 3 and par[i] >= 0 and link[par[i]]:
-                        cov[i] = True
-            texts, hits, head = [0] * m, [0] * m, [False] * m
-            for i in range(m - 1, -1, -1):
-                if kind[i] == 3:
-                    texts[i], hits[i] = 1, int(cov[i])
-                elif kind[i] == 2:
-                    head[i] = True
-                p = par[i]
-                if p >= 0:
-                    texts[p] += texts[i]
-                    hits[p] += hits[i]
-                    head[p] = head[p] or head[i]
-            if sums is None:
-                seen = set()
-                for i in range(m):
-                    if kind[i] < 3 and texts[i]:
-                        s = self.sums.setdefault(path[i], [0, 0, 0, 0])
-                        s[0] += texts[i]
-                        s[1] += hits[i]
-                        s[3] += head[i]
-                        if path[i] not in seen:
-                            seen.add(path[i])
-                            s[2] += 1
-            self.covered.append(cov)
-            self.paths.append(path)
-            self.weights.append((texts, hits, head))
-        if sums is not None:
-            self.sums = sums
+    fingerprints of what is repeated on the host, ``sums`` the rows (path, and four sums) by
+    layout path over all blocks of the host (those of this block alone if not given)."""
+
+    def __init__(self, pages: list[tuple], frequent: np.ndarray, sums: np.ndarray | None = None):
+        # (site, parents, tokens, layout paths, kinds); the nodes of all pages in one array each
+        sizes = [len(p[2]) for p in pages]
+        self.ends = np.cumsum([0, *sizes])
+        owner = np.repeat(np.arange(len(pages)), sizes)
+        par, tok, path, kind = (_joined([p[k] for p in pages]) for k in (1, 2, 3, 4))
+        par = np.where(par >= 0, par + self.ends[owner], -1)
+        # seeds that overlap chain into runs; a run counts if it holds two texts, or a link and a text
+        starts = np.flatnonzero(_telling(kind) & (_left(sizes)[: max(0, len(tok) - LONG + 1)] >= LONG))
+        starts = starts[np.isin(run_prints(tok, LONG)[starts], frequent)]
+        mark = np.zeros(len(tok) + 1, np.int64)
+        for a, b in maximal_runs(starts, LONG):
+            mark[a] += 1
+            mark[b] -= 1
+        cov = np.cumsum(mark)[:-1] > 0
+        # the target of a repeated link stands for its text, however garbled
+        link = np.zeros(len(tok) + 1, bool)
+        at = np.flatnonzero(kind == 1)
+        link[at] = np.isin(run_prints(tok[at], 1), frequent)
+        cov |= (kind >= 3) & link[par]
+        texts, head = (kind == 3).astype(np.int64), kind == 2
+        hits = texts * cov
+        by_depth = levels(par)[1:]
+        for at in reversed(by_depth):
+            p = par[at]
+            np.add.at(texts, p, texts[at])
+            np.add.at(hits, p, hits[at])
+            head[p[head[at]]] = True
+        at = np.flatnonzero((kind < 3) & (texts > 0))
+        if sums is None:
+            paths, place = np.unique(path[at], return_inverse=True)
+            pairs = np.unique(place * max(1, len(pages)) + owner[at]) // max(1, len(pages))
+            of = [np.bincount(place, x[at], len(paths)) for x in (texts, hits, head)]
+            sums = np.stack([paths, of[0], of[1], np.bincount(pairs, minlength=len(paths)), of[2]], 1).astype(np.int64)
+        else:
+            sums = sums[np.argsort(sums[:, 0])]
+            place = np.searchsorted(sums[:, 0], path[at])
+        self.sums = sums
+        self.at, self.place, self.par, self.kind, self.by_depth = at, place, par, kind, by_depth
+        self.weights = texts, hits, head
+        self.gone: list[bool] | None = None
 
     def removed(self, k: int) -> list[bool]:
         """For the nodes of page k, whether they are boilerplate."""
-        _, par, tok, _, kind = self.pages[k]
-        texts, hits, head = self.weights[k]
-        cov, path = self.covered[k], self.paths[k]
-        out = [False] * len(tok)
-        for i in range(len(tok)):
-            p = par[i]
-            if p >= 0 and out[p]:
-                out[i] = True
-            elif kind[i] < 3 and texts[i] and not head[i]:
-                n, c, on, with_head = self.sums[path[i]]
-                own, there = hits[i] / texts[i], c / n
-                if with_head * 2 > on:
-                    continue  # elsewhere this is where the page's own heading stands
-                if (own >= 0.6 and there >= THERE) or (on >= 3 and there >= 0.55) or (own >= 0.3 and there >= 0.45):
-                    # a single phrase in running text or a table is no block
-                    out[i] = texts[i] > 1 or kind[i] == 1 or (on >= 3 and there >= 0.55)
-        return out
+        if self.gone is None:
+            at = self.at
+            texts, hits, head = (x[at] for x in self.weights)
+            n, c, on, with_head = self.sums[self.place, 1:].T
+            own, there = hits / texts, c / n
+            block = (on >= 3) & (there >= 0.55)
+            gone = ((own >= 0.6) & (there >= THERE)) | block | ((own >= 0.3) & (there >= 0.45))
+            # a single phrase in running text or a table is no block
+            gone &= (texts > 1) | (self.kind[at] == 1) | block
+            # elsewhere this is where the page's own heading stands
+            gone &= ~head & (with_head * 2 <= on)
+            out = np.zeros(len(self.par), bool)
+            out[at] = gone
+            for below in self.by_depth:
+                out[below] |= out[self.par[below]]
+            self.gone = out.tolist()
+        return self.gone[self.ends[k] : self.ends[k + 1]]
 
 
 # ------------------------------------------------------------------ operators
-def _summaries(pages: Iterator[Page], samples, extra: Callable | None, together: int = 64):
-    """(page_id, site, blob, extra) for each page; ``extra`` sees some pages at a time, only to
-    share the cost of a call."""
-    finder = Finder(samples)
+#: Of a summary: node ids, parents, tokens, layout paths, kinds, whether residue.
+_TYPES = "iiIIBB"
+
+
+def _summaries(pages: Iterator[Page], samples, extra: Callable | None, together: int = 20_000):
+    """(page_id, site, blob, extra) for each page; ``extra`` sees pages of ``together`` nodes at a
+    time, only to share the cost of a call."""
+    finder = kept_finder(samples)
     batch: list[tuple] = []
+    held = 0
 
     def out():
         more = extra(finder, [b[:3] for b in batch]) if extra else [None] * len(batch)
         for (page, pos, residue, rest), x in zip(batch, more, strict=True):
-            yield page.page_id, site_of(page.url, page.endpoint), marshal.dumps(([page.ids[i] for i in pos], *rest, [i in residue for i in pos])), marshal.dumps(x)
+            yield page.page_id, site_of(page.url, page.endpoint), b"".join(array(t, v).tobytes() for t, v in zip(_TYPES, ([page.ids[i] for i in pos], *rest, [i in residue for i in pos]), strict=True)), marshal.dumps(x)
         batch.clear()
 
     for page in pages:
         residue = finder.find(page)
         pos, *rest = page_tokens(page)
         batch.append((page, pos, residue, rest))
-        if len(batch) >= together:
+        held += 1 + len(page.ids)
+        if held >= together:
             yield from out()
+            held = 0
     if batch:
         yield from out()
 
@@ -361,11 +377,18 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _parsed(table: pa.Table) -> list[tuple]:
-    """(page_id, site, ids, parents, tokens, layout paths, kinds, residue, extra) by page; extra
-    is None where the table leaves it out."""
+    """(page_id, site, ids, parents, tokens, layout paths, kinds, residue, extra) by page, six
+    of them arrays; extra is None where the table leaves it out."""
     names = ["page_id", "site", "blob"] + (["extra"] if "extra" in table.column_names else [])
     rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: r[0])
-    return [(r[0], r[1], *marshal.loads(r[2]), marshal.loads(r[3]) if len(r) > 3 else None) for r in rows]
+    return [(r[0], r[1], *_arrays(r[2]), marshal.loads(r[3]) if len(r) > 3 else None) for r in rows]
+
+
+def _arrays(blob: bytes) -> Iterator[np.ndarray]:
+    at, n = 0, len(blob) // sum(np.dtype(t).itemsize for t in _TYPES)
+    for t in _TYPES:
+        yield np.frombuffer(blob, t, n, at)
+        at += n * np.dtype(t).itemsize
 
 
 def _streams(parsed: list[tuple]) -> list[tuple]:
@@ -392,8 +415,16 @@ def frequent_runs(blocks: DataFrame) -> DataFrame:
     return merged.groupBy("pool", "block").agg(F.collect_list("print").alias("prints"))
 
 
+def _numbers(table: pa.Table, column: str, nested: int = 1) -> np.ndarray:
+    """All numbers of a column of lists, or of lists of lists."""
+    flat = table.column(column).combine_chunks()
+    for _ in range(nested):
+        flat = flat.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _frequent(table: pa.Table) -> np.ndarray:
-    return np.array(table.column("prints")[0].as_py() if table.num_rows else [], np.int64)
+    return _numbers(table, "prints") if table.num_rows else np.zeros(0, np.int64)
 
 
 def layout_sums(blocks: DataFrame, runs: DataFrame) -> DataFrame:
@@ -401,9 +432,8 @@ def layout_sums(blocks: DataFrame, runs: DataFrame) -> DataFrame:
     of a host of several the sums over all its blocks."""
 
     def summed(table: pa.Table, known: pa.Table) -> pa.Table:
-        sums = Block(_streams(_parsed(table)), _frequent(known)).sums if table.num_rows else {}
-        cols = zip(*sums.values(), strict=True) if sums else [[]] * 4
-        return pa.Table.from_arrays([*(_keys(table, len(sums)) if sums else [pa.array([], pa.string()), pa.array([], pa.int32())]), pa.array(list(sums), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["pool", "block", "path", "s0", "s1", "s2", "s3"])
+        sums = Block(_streams(_parsed(table)), _frequent(known)).sums if table.num_rows else np.zeros((0, 5), np.int64)
+        return pa.Table.from_arrays([*(_keys(table, len(sums)) if len(sums) else [pa.array([], pa.string()), pa.array([], pa.int32())]), *(pa.array(c) for c in sums.T)], names=["pool", "block", "path", "s0", "s1", "s2", "s3"])
 
     rows = blocks.where("many").groupBy("pool", "block").cogroup(runs.groupBy("pool", "block")).applyInArrow(summed, "pool string, block int, path bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     on_host = Window.partitionBy("pool", "path")
@@ -428,9 +458,8 @@ def map_blocks(blocks: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
         out: list[tuple] = []
         if table.num_rows:
             parsed = _parsed(table)
-            prints = [x for v in known.column("prints").to_pylist() for x in v or ()]
-            sums = {x[0]: x[1:] for v in known.column("sums").to_pylist() for x in v or ()} if table.column("many")[0].as_py() else None
-            out.extend(rows_of(Block(_streams(parsed), np.array(prints, np.int64), sums), parsed))
+            sums = _numbers(known, "sums", 2).reshape(-1, 5) if table.column("many")[0].as_py() else None
+            out.extend(rows_of(Block(_streams(parsed), _frequent(known), sums), parsed))
         cols = zip(*out, strict=True) if out else [[]] * len(arrow)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -439,9 +468,8 @@ def map_blocks(blocks: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
 
 def _removed_rows(block: Block, parsed):
     for k, (pid, _, ids, _, _, _, kind, skip, _) in enumerate(parsed):
-        for i, gone in enumerate(block.removed(k)):
-            if gone and kind[i] == 3 and not skip[i]:
-                yield pid, ids[i]
+        for i in ids[np.array(block.removed(k), bool) & (kind == 3) & (skip == 0)].tolist():
+            yield pid, i
 
 
 def boilerplate_nodes(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame) -> DataFrame:
@@ -461,9 +489,9 @@ def main_bodies(nodes: DataFrame, pages: DataFrame, lang_samples: DataFrame) ->
 
     def rows(block: Block, parsed):
         for k, (pid, _, _, par, _, _, kind, skip, data) in enumerate(parsed):
-            gone = block.removed(k)
+            gone, par, skip = block.removed(k), par.tolist(), skip.tolist()
             text, last = [], None
-            for i, what in enumerate(kind):
+            for i, what in enumerate(kind.tolist()):
                 if what != 3 or gone[i] or skip[i]:
                     continue
                 p = par[i]

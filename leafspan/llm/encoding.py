@@ -19,6 +19,7 @@ import re
 from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,9 @@ class Repairer:
     ASCII; ``samples`` correct texts for the character model, or the counts of such."""
 
     CHANNELS = [(w, "utf-8") for w in SINGLE] + [(w, r) for r in SINGLE for w in SINGLE if w != r]
+    BY_WRONG = {e: [] for e in SINGLE}
+    for _i, (_w, _r) in enumerate(CHANNELS):
+        BY_WRONG[_w].append((_i, _r))
     BY_NAME = {">".join(c[::-1]): i for i, c in enumerate(CHANNELS)}
     COST = [(0.0 if r == "utf-8" else 2.0) + 2.0 * (w in RARE) + 2.0 * (r in RARE) for w, r in CHANNELS]
 
@@ -217,7 +221,9 @@ class Repairer:
         self.in_utf8 = [(c, c.encode()) for c in self.alphabet]
         self.paths: dict[tuple[str, int], tuple[float, str] | None] = {}
         self.bases: dict[str, tuple[float, float]] = {}
-        self.ones: dict[tuple[str, int], float | None] = {}
+        self.ceilings: dict[str, float] = {}
+        self.ones: dict[str, dict[int, float | None]] = {}
+        self.n_ones = 0
         self.memo: dict[str, dict[int, tuple[float, str]]] = {}
         self.by_text: dict[str, tuple[str, str] | None] = {}
 
@@ -255,6 +261,17 @@ class Repairer:
                 self.bases[chunk] = got
         return got
 
+    def _ceiling(self, chunk: str) -> float:
+        """What no channel makes a chunk score more than: the log score of its ASCII characters
+        beside each other, which all channels leave as they are."""
+        got = self.ceilings.get(chunk)
+        if got is None:
+            s, logs = "  " + chunk + " ", self.model.logs
+            got = sum(logs[three] if three in logs else self.model._log(three) for i in range(2, len(s)) if (three := s[i - 2 : i + 1]).isascii())
+            if len(self.ceilings) < MEMO_CHUNKS:
+                self.ceilings[chunk] = got
+        return got
+
     def _chunk(self, chunk: str) -> dict[int, tuple[float, str]]:
         """(score, text) by channel, of those that score above the chunk as it stands."""
         got = self.memo.get(chunk)
@@ -263,74 +280,85 @@ class Repairer:
             floor = self._base(chunk)[0]
             raws = {w: r for w in SINGLE if (r := _bytes_of(chunk, w)) is not None}
             scores: dict[str, float] = {}
-            for i, (wrong, right) in enumerate(self.CHANNELS):
-                raw = raws.get(wrong)
-                if raw is None:
-                    continue
-                if right == "utf-8":
-                    try:
-                        fixed = raw.decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    fixed = charmap_decode(raw, "strict", _FIXED[right])[0]
-                if fixed not in scores:
-                    scores[fixed] = self.score(fixed, floor)
-                if scores[fixed] > floor:
-                    got[i] = (scores[fixed], fixed)
+            for wrong, raw in raws.items():
+                for i, right in self.BY_WRONG[wrong]:
+                    if right == "utf-8":
+                        try:
+                            fixed = raw.decode("utf-8")
+                        except UnicodeDecodeError:
+                            continue
+                    else:
+                        fixed = charmap_decode(raw, "strict", _FIXED[right])[0]
+                    if fixed not in scores:
+                        scores[fixed] = self.score(fixed, floor)
+                    if scores[fixed] > floor:
+                        got[i] = (scores[fixed], fixed)
             if len(self.memo) < MEMO_CHUNKS:
                 self.memo[chunk] = got
         return got
 
-    def gains(self, text: str, only: int | None = None) -> dict[int, float]:
+    def gains(self, text: str, only: int | None = None, bar: float = -math.inf) -> dict[int, float]:
         """For each channel that explains the text, its gain in nats over the text as it
         stands; a chunk that the channel can't have made (it may have come as a
-        character reference) costs UNMADE. Empty at once if every chunk looks correct.
-        With ``only`` that channel is tried whatever the text looks like."""
+        character reference) costs UNMADE. Empty at once if every chunk looks correct; without
+        channels that can't gain as much as ``bar``. With ``only`` that channel is tried
+        whatever the text looks like."""
         if only is not None:
             total = 0.0
-            for c, n in Counter(c for c in _CHUNK.findall(text) if not c.isascii()).items():
+            counts = Counter(filterfalse(str.isascii, _CHUNK.findall(text)))
+            most = {c: n * (self._ceiling(c) - self._base(c)[0]) for c, n in counts.items()}
+            rest = sum(most.values())
+            for c in sorted(most, key=most.get, reverse=True):
+                rest -= most[c]
                 f = self._one(c, only)
-                total += -UNMADE if f is None else n * (f - self._base(c)[0])
+                total += -UNMADE if f is None else counts[c] * (f - self._base(c)[0])
+                if total + rest < bar - 1e-6:
+                    return {}
             return {only: total}
         if not _ODD.search(text) and not _SIGN_IN_WORD.search(text):
             return {}
-        counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
+        counts = Counter(filterfalse(str.isascii, _CHUNK.findall(text)))
         bases = {c: self._base(c) for c in counts}
-        doubt, worst = max((d, c) for c, (_, d) in bases.items())
+        doubt, worst = max([(b[1], c) for c, b in bases.items()])
         if doubt <= 0:
             return {}
         # the most doubtful chunk says which channels come into question
         base = bases[worst][0]
         n = counts.pop(worst)
         total = {i: n * (s - base) - self.COST[i] for i, (s, _) in self._chunk(worst).items() if s - base > 0.5}
-        # a fixed chunk scores 0 at most, so no channel can gain more on the rest than this
-        rest = -sum(n * bases[c][0] for c, n in counts.items())
-        for c, n in counts.items():
-            base, step = bases[c][0], {}
-            rest += n * base
+        # a fixed chunk scores no more than what channels leave of it, so none can gain more on the rest than this
+        most = {c: n * (self._ceiling(c) - bases[c][0]) for c, n in counts.items()} if total else {}
+        rest = sum(most.values())
+        bar -= 1e-6  # what rounding may take from a sum
+        total = {i: g for i, g in total.items() if g + rest >= bar}
+        for c in sorted(most, key=most.get, reverse=True):
+            if not total:
+                break
+            base, n, step, known = bases[c][0], counts[c], {}, self.ones.get(c, {})
+            rest -= most[c]
             for i, g in total.items():
-                f = self._one(c, i)
+                f = known[i] if i in known else self._one(c, i)
                 g += -UNMADE if f is None else n * (f - base)
-                if g + rest > PRIOR_ON_BAD_PAGE:
+                if g + rest >= bar:
                     step[i] = g
             total = step
-            if not total:
-                break
         return total
 
     def _one(self, chunk: str, channel: int) -> float | None:
-        key = (chunk, channel)
-        if key not in self.ones:
+        known = self.ones.get(chunk)
+        if known is None or channel not in known:
             fixed = undo(chunk, *self.CHANNELS[channel])
-            if len(self.ones) > 4 * MEMO_CHUNKS:
+            if self.n_ones > 4 * MEMO_CHUNKS:
                 self.ones.clear()
-            self.ones[key] = None if fixed is None else self.score(fixed)
-        return self.ones[key]
-
-    def best_channel(self, text: str) -> tuple[int, float]:
-        """(channel, gain); -1 if none applies."""
-        total = self.gains(text)
+                self.n_ones = 0
+            self.n_ones += 1
+            known = self.ones.setdefault(chunk, {})
+            known[channel] = None if fixed is None else self.score(fixed)
+        return known[channel]
+
+    def best_channel(self, text: str, bar: float = -math.inf) -> tuple[int, float]:
+        """(channel, gain); -1 if none applies or gains as much as ``bar``."""
+        total = self.gains(text, bar=bar)
         if not total:
             return -1, 0.0
         i = max(total, key=lambda k: (total[k], -k))
@@ -457,7 +485,7 @@ class Repairer:
     def _lossy(self, text: str) -> tuple[str, str]:
         """A text with lost bytes, restored: under a channel if one explains its other
         characters better than they stand, else by the words that fit."""
-        counts = Counter(c for c in _CHUNK.findall(text) if not c.isascii())
+        counts = Counter(filterfalse(str.isascii, _CHUNK.findall(text)))
         filled = {c: self.fill(c) for c in counts if LOST in c}
         whole = [c for c in counts if LOST not in c]
         odd = [c for c in filled if _ODD.search(c.replace(LOST, ""))]
@@ -552,17 +580,18 @@ class Repairer:
         if text.isascii():
             return self._asked(text) if "?" in text and _ASKED.search(text) else None
         if only is None:
-            channel, gain = self.best_channel(text)
+            # C1 controls stand in no correct text
+            least = 0.0 if _C1.search(text) else PRIOR - shift
+            channel, gain = self.best_channel(text, least)
             several = self._several(text) if _PAIRS.search(text) else None
             if several and several[0] > max(gain, PRIOR - shift):
                 return several[1], several[2]
-            # C1 controls stand in no correct text
-            if channel < 0 or gain < (0.0 if _C1.search(text) else PRIOR - shift):
+            if channel < 0 or gain < least:
                 if _C1.search(text) and not depth:
                     return text, "unknown"
                 return self._asked(text) if "?" in text and _ASKED.search(text) else None
         else:
-            channel, gain = only, self.gains(text, only)[only]
+            channel, gain = only, self.gains(text, only, bar).get(only, -math.inf)
             if gain < bar:
                 return None
         fixed = self.apply(text, channel)

@@ -83,6 +83,7 @@ class LanguageModel:
         # scores and letters of the words seen so far; row 0 stands for no word
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
+        self.shares = np.zeros_like(self.table)  # posteriors of the languages
         self.letters = np.zeros(1024)
         self.foreign = np.zeros(1024, bool)  # in a script of no language of the model
 
@@ -90,6 +91,7 @@ class LanguageModel:
         """Rows of words in ``table`` and ``letters``."""
         out = list(map(self.rows.get, words))
         if None in out:
+            had = len(self.rows) + 1
             for i, at in enumerate(out):
                 if at is None:
                     w = words[i]
@@ -97,10 +99,13 @@ class LanguageModel:
                         n = len(self.rows) + 1
                         if n == len(self.table):
                             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                            self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
                             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
                             self.foreign = np.concatenate([self.foreign, np.zeros_like(self.foreign)])
                         self.table[n], self.letters[n], self.foreign[n], self.rows[w] = self.score(w), len(w), _script(w) not in self.written, n
                     out[i] = self.rows[w]
+            share = np.exp(self.table[had : len(self.rows) + 1])
+            self.shares[had : len(self.rows) + 1] = share / share.sum(1, keepdims=True)
         return out
 
     def _log(self, i: int, gram: str) -> float:
@@ -188,8 +193,7 @@ class LanguageModel:
             m = going[t]
             path[t, :m] = s = state[:m]
             state[:m] = back[t, every[:m], s]
-        share = np.exp(scores)
-        post = np.take_along_axis(share, path[:, :, None], 2)[:, :, 0] / share.sum(2) * (sizes > 0)
+        post = self.shares[words, path]
         foreign = self.foreign[words]
         if foreign.any():
             path[foreign], post[foreign] = n_langs, 1.0
@@ -216,8 +220,7 @@ class LanguageModel:
             stay = best >= switch
             back.append(np.where(stay, np.arange(len(best)), top))
             best = np.where(stay, best, switch) + scores[t]
-        share = np.exp(scores)
-        post = share / share.sum(1, keepdims=True)
+        post = self.shares[rows]
         k, out = int(best.argmax()), []
         for t in range(len(words) - 1, -1, -1):
             a, b = words[t].span()
@@ -245,6 +248,11 @@ def labelled_samples(lang_samples: DataFrame, limit: int = 20_000) -> list[tuple
     return [(primary_subtag(r["lang"]), r["text"]) for r in rows]
 
 
+#: Words up to which a model is kept for the next task of its process.
+KEEP_WORDS = 100_000
+_KEPT: list[tuple[list[tuple[str, str]], LanguageModel, dict[str, tuple]]] = []
+
+
 class _Labeller:
     """Adds to a page summary what languages its texts are in."""
 
@@ -256,8 +264,11 @@ class _Labeller:
 
     def __call__(self, finder: Finder, batch: list[tuple[Page, list[int], dict]]) -> list[tuple]:
         if not hasattr(self, "model"):
-            self.model = LanguageModel(self.samples)
-            self.known: dict[str, tuple] = {}
+            # those of the task before in this process, unless they are of other samples or large
+            if not (_KEPT and _KEPT[0][0] == self.samples and len(_KEPT[0][1].rows) < KEEP_WORDS):
+                _KEPT[:] = [(self.samples, LanguageModel(self.samples), {})]
+            self.model: LanguageModel = _KEPT[0][1]
+            self.known: dict[str, tuple] = _KEPT[0][2]
         todo = []
         for page, pos, residue in batch:
             at = [k for k, i in enumerate(pos) if page.names[i] is None and page.data[i] and not page.in_code[i] and i not in residue and not page.raw(i)]
@@ -291,7 +302,7 @@ def _labels(langs: list[str]):
 
     def rows(block: Block, parsed):
         for k, (pid, _, ids, _, _, _, _, _, (html, label, at, info)) in enumerate(parsed):
-            gone = block.removed(k)
+            gone, ids = block.removed(k), ids.tolist()
             main = [(ids[j], x) for j, x in zip(at, info, strict=True) if not gone[j]]
             letters = [0.0] * (len(langs) + 1)
             post = 0.0
@@ -337,7 +348,7 @@ def language_segments(nodes: DataFrame, pages: DataFrame, lang_samples: DataFram
 
     def rows(block: Block, parsed):
         for k, (pid, _, ids, _, _, _, _, _, (_, _, at, found)) in enumerate(parsed):
-            gone = block.removed(k)
+            gone, ids = block.removed(k), ids.tolist()
             for j, spans in zip(at, found, strict=True):
                 if not gone[j]:
                     for a, b, lang, p in spans:

@@ -96,7 +96,8 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(1).to_numpy(zero_copy_only=False)
         # where a page's ids don't rise there are copies
         back = (np.flatnonzero((ids[1:] <= ids[:-1]) & (keys[1:] == keys[:-1])) + 1).tolist()
-        cols = [batch.column(k).to_pylist() for k in (1, 2, 3, 4)]
+        # as lists by way of numpy, which makes no object of Arrow's for each value
+        cols = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in (1, 2, 3, 4)]
         first, blobs, j = [], [], 0
         for a, b in zip(cuts, cuts[1:], strict=False):
             parts = [c[a:b] for c in cols]

@@ -235,6 +235,57 @@ def test_support_is_the_same_on_hosts_of_every_size(size):
         assert n.tolist() == ([3] if on == 3 else [])
 
 
+def test_sums_of_a_block_node_by_node():
+    """Sums and verdicts for all nodes of a block at once, against one node after the other."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        pages = []
+        for _ in range(int(rng.integers(1, 9))):
+            n = int(rng.integers(0, 30))
+            par = [int(rng.integers(-1, i)) if i else -1 for i in range(n)]
+            kind = [int(k) for k in rng.choice([0, 0, 1, 2, 3, 3, 3, 4], n)]
+            par = [p if p < 0 or kind[p] < 3 else -1 for p in par]
+            pages.append(("s", par, [int(x) for x in rng.integers(1, 4, n)], [int(x) for x in rng.integers(1, 6, n)], kind))
+        frequent = boilerplate.proposed_runs(pages, 2)[0]
+        block, sums, seen = boilerplate.Block(pages, frequent), {}, []
+        for k, (_, par, tok, path, kind) in enumerate(pages):
+            n = len(tok)
+            starts = np.flatnonzero(np.isin(boilerplate.run_prints(tok, 4), frequent) & boilerplate._telling(kind))
+            link = np.isin(boilerplate.run_prints(tok, 1), frequent)
+            cov = {i for a, b in boilerplate.maximal_runs(starts, 4) for i in range(a, b)} | {i for i in range(n) if kind[i] >= 3 and par[i] >= 0 and kind[par[i]] == 1 and link[par[i]]}
+            texts, hits, head = [0] * n, [0] * n, [False] * n
+            for i in reversed(range(n)):
+                if kind[i] == 3:
+                    texts[i], hits[i] = 1, int(i in cov)
+                head[i] |= kind[i] == 2
+                if par[i] >= 0:
+                    texts[par[i]] += texts[i]
+                    hits[par[i]] += hits[i]
+                    head[par[i]] |= head[i]
+            for i in range(n):
+                if kind[i] < 3 and texts[i]:
+                    s = sums.setdefault(path[i], [0, 0, set(), 0])
+                    s[0] += texts[i]
+                    s[1] += hits[i]
+                    s[2].add(k)
+                    s[3] += head[i]
+            seen.append((texts, hits, head))
+        assert {r[0]: r[1:] for r in block.sums.tolist()} == {p: [a, b, len(c), d] for p, (a, b, c, d) in sums.items()}
+        for given in (None, block.sums[::-1]):
+            other = boilerplate.Block(pages, frequent, given)
+            for k, ((_, par, _, path, kind), (texts, hits, head)) in enumerate(zip(pages, seen, strict=True)):
+                out = []
+                for i, p in enumerate(par):
+                    gone = p >= 0 and out[p]
+                    if not gone and kind[i] < 3 and texts[i] and not head[i]:
+                        n, c, on, heads = sums[path[i]][0], sums[path[i]][1], len(sums[path[i]][2]), sums[path[i]][3]
+                        own, there = hits[i] / texts[i], c / n
+                        wide = on >= 3 and there >= 0.55
+                        gone = heads * 2 <= on and ((own >= 0.6 and there >= boilerplate.THERE) or wide or (own >= 0.3 and there >= 0.45)) and (texts[i] > 1 or kind[i] == 1 or wide)
+                    out.append(bool(gone))
+                assert other.removed(k) == out
+
+
 def test_sites():
     assert boilerplate.site_of("HTTPS://u@WWW.A.example:80/x?y", None) == "www.a.example"
     assert boilerplate.site_of(None, "b.example") == "b.example" and boilerplate.site_of(None, "pool-1") == "" and boilerplate.site_of(None, None) == ""
@@ -372,6 +423,30 @@ def test_channels_that_cannot_win_are_left_early():
         assert fixer._chunk(chunk) == {i: x for i, x in every.items() if x[0] > base} != every
 
 
+def test_channels_below_the_bar_are_left_early():
+    texts = ["Der größte Müller zählt die schönen Bücher für jährlich fünf Gäste", "Le thÃ©Ã¢tre de la forÃªt protÃ¨ge l’Ã©cole", "Żółw śpi über größeren Gärten, während Ærø fährt", "Ð¼Ð¸Ñ€ größer"]
+    tried = {}
+    for bar in (-np.inf, encoding.PRIOR):
+        fixer = encoding.Repairer(TEXTS)
+        for t in texts:
+            every = encoding.Repairer(TEXTS).gains(t)
+            got = fixer.gains(t, bar=bar)
+            assert {i: g for i, g in got.items() if g >= bar} == pytest.approx({i: g for i, g in every.items() if g >= bar})
+            for i in (0, 3, 40):
+                full, left = encoding.Repairer(TEXTS).gains(t, i)[i], fixer.gains(t, i, bar)
+                assert left.get(i, -np.inf) == pytest.approx(full) if full >= bar else left.get(i, -np.inf) < bar
+        tried[bar] = fixer.n_ones
+    assert 3 * tried[encoding.PRIOR] < 2 * tried[-np.inf]
+
+
+def test_a_finder_is_kept_for_the_next_task(monkeypatch):
+    samples = encoding.SampleCounts(TEXTS)
+    finder = residue.kept_finder(samples)
+    assert residue.kept_finder(samples) is finder and residue.kept_finder(encoding.SampleCounts(TEXTS)) is not finder
+    monkeypatch.setattr(residue, "KEEP", 0)
+    assert residue.kept_finder(samples) is not residue.kept_finder(samples)
+
+
 def test_encodings_know_all_samples(node_table, late_samples, contents):
     bad = "grün".encode().decode("cp1252")
     nodes = node_table([(1, f"<p>{bad}</p>")])
